@@ -115,8 +115,10 @@ class Rolling:
         return up[:n], down[:n]
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
+        """Prefix sums over bytes, or over code points."""
         out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.powers(len(data) + 1)[0][:-1], out=out[1:])
+        values = self.values[data] if data.dtype == np.uint8 else mix(data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        np.cumsum(values * self.powers(len(data) + 1)[0][:-1], out=out[1:])
         return out
 
     def slices(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -202,3 +204,34 @@ class SliceCache:
 def per_text(counts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Where the numbers of each text start and end, from the count of each slice and the texts' bounds among slices."""
     return np.concatenate(([0], np.cumsum(counts)))[bounds]
+
+
+def append_columns(df: DataFrame, text_col: str, keep: list[str], schema: str, compute) -> DataFrame:
+    """Columns that compute(offsets, bytes) gives for each block of texts, beside those kept.
+
+    schema: DDL of the new columns, none of whose types holds a comma; a kept column of the same name gives way to the new one.
+    """
+    names = [x.split()[0] for x in schema.split(",")]
+    keep = [c for c in keep if c not in names]
+    rows = df.select(*keep) if text_col in keep else df.select(*keep, text_col)
+    at = rows.columns.index(text_col)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, offsets, data in blocks(batch.column(at)):
+                n = len(offsets) - 1
+                kept = [batch.column(i).slice(first, n) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, *compute(offsets, data)], names=[*keep, *names])
+
+    return rows.mapInArrow(run, ", ".join([kinds, schema] if kinds else [schema]))
+
+
+def count_in(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each text a mask holds."""
+    return np.diff(np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))[offsets])
+
+
+def bounded_share(total: int, most: int) -> float:
+    """Share of rows that keeps a hash sample near a documented number of rows."""
+    return 1.0 if total <= most else most / total

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, url_rules
+from . import byte_bpe, language, quality_rules, simhash, toxicity, url_rules
 from .common import table
 
 URL_RULES = [
@@ -27,7 +27,34 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_byte_bpe)}
+def _remainder(most: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % most
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.learn(docs.where(_remainder(4) != 2))
+    rows = language.identify(docs, profiles, ["doc_id"])
+    return rows.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+    return toxicity.score(docs, model, ["doc_id"]).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_byte_bpe, op3_language_id, op4_simhash, op5_toxicity, op6_quality_rules)}
 
 _URL_PARTS = r"""
 SELECT page_id, url,
