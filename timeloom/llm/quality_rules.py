@@ -48,8 +48,8 @@ def block_stats(offsets: np.ndarray, data: np.ndarray) -> list[pa.Array]:
     breaks = np.flatnonzero(data == 0x0A)
     begin = np.unique(np.concatenate((offsets[:-1], breaks + 1)))
     begin = begin[begin < len(data)]
-    stop = np.sort(np.concatenate((breaks, offsets[1:])))
-    end = stop[np.searchsorted(stop, begin)] if len(begin) else begin
+    end = np.append(begin[1:], len(data))[: len(begin)]
+    end = end - (data[end - 1] == 0x0A) if len(end) else end
     full = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
     begin, end = begin[full], end[full]
     line_owner = np.searchsorted(offsets, begin, "right") - 1

@@ -6,7 +6,7 @@ per word. Each hit is judged in its window of words: other hits nearby raise it,
 A logistic model over those window scores gives the document's score.
 
 Defined cases: null and empty texts have no hits and get the score of a text without any. Without labels of both kinds every
-score is 0.5 minus nothing learned, that is 0. Repeated rows are scored each.
+score is 0. Repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -165,9 +165,10 @@ class Model:
     terms: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
     weights: np.ndarray | None = None  # of FEATURES, the last: constant
+    worth: np.ndarray | None = None  # of each code of a hit, 0 to 1; 0: clean texts hold it as well, a misspelling that is a word of its own
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "stems": self.stems, "weights": self.weights}
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -184,10 +185,11 @@ class Model:
             return np.zeros(len(t.starts), np.uint32)
         cache = self.cache()
         hashes = self._rolling.slices(self._rolling.prefix(t.points), t.starts, t.ends)
-        return cache.rows(hashes, t.points.tobytes(), 4 * t.starts, 4 * t.ends)[0]
+        code = cache.rows(hashes, t.points.tobytes(), 4 * t.starts, 4 * t.ends)[0]
+        return code if self.worth is None else np.where(self.worth[code] > 0, code, 0)
 
     def features(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """FEATURES of each text: hits outside and inside quotation, the densest window, misspelled hits, share of words."""
+        """FEATURES of each text: worth of hits outside and number inside quotation, the densest window, misspelled hits, share of words."""
         t = tokens(offsets, data)
         code = self.hits(t)
         at = np.flatnonzero(code)
@@ -198,10 +200,11 @@ class Model:
         left, right = np.maximum(at - WINDOW, first[of]), np.minimum(at + WINDOW + 1, (first + count)[of])
         open_hits = np.concatenate(([0], np.cumsum(np.isin(np.arange(len(code)), at[~quoted]))))
         near = open_hits[right] - open_hits[left]
+        worth = np.ones(len(at)) if self.worth is None else self.worth[code[at]]
         densest = np.zeros(t.n)
         np.maximum.at(densest, of, near)
         fuzzy = (code[at] - 1) % 2 == 1
-        alone = np.bincount(of[~quoted], minlength=t.n)
+        alone = np.bincount(of[~quoted], worth[~quoted], minlength=t.n)
         return np.column_stack([np.log1p(alone), np.log1p(np.bincount(of[quoted], minlength=t.n)), densest, np.log1p(np.bincount(of[fuzzy & ~quoted], minlength=t.n)), np.sqrt(alone / np.maximum(count, 1))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -274,6 +277,24 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("term", "stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
+def _hit_counts(sample: DataFrame, model: Model) -> DataFrame:
+    """(code, toxic documents, other documents) for each term and number of edits that the sample holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = np.asarray(batch.column(1).to_pylist())
+            for first, offsets, data in blocks(batch.column(0)):
+                t = tokens(offsets, data)
+                code = model.hits(t)
+                at = np.flatnonzero(code)
+                pairs = np.unique(np.column_stack([t.owner[at], code[at].astype(np.int64)]), axis=0)
+                kind = toxic[first + pairs[:, 0]] > 0
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(kind)], names=["code", "toxic"])
+
+    rows = sample.select("text", "toxic").mapInArrow(run, "code bigint, toxic boolean")
+    return rows.groupBy("code").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Lexicon and model from a bounded hash sample of the labelled rows given; which rows may be learned from is the caller's choice."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -288,8 +309,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     counts = counts.orderBy(F.desc("a"), "b", "term", "stem").limit(20 * TERMS).collect()
     sizes = {bool(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     model = Model(*lexicon_of([tuple(r) for r in counts], sizes.get(True, 0), sizes.get(False, 0)))
+    model.worth = np.full(2 * len(model.terms + model.stems) + 3, 0.5)  # of misspellings that the sample lacks
+    for code, a, b in _hit_counts(rows, Model(model.terms, model.stems)).collect():  # two rows for each term at most
+        odds = np.log((a + 0.5) / (sizes.get(True, 0) + 1)) - np.log((b + 0.5) / (sizes.get(False, 0) + 1))
+        model.worth[code] = 0.0 if b > 0.2 * (a + b) else min(max(odds / 6, 0.05), 1.0)
     names = [f"x{i}" for i in range(len(FEATURES))]
-    bare = Model(model.terms, model.stems)
+    bare = Model(model.terms, model.stems, None, model.worth)
     seen = append_columns(rows, "text", ["doc_id", "toxic"], ", ".join(f"{n} double" for n in names), lambda o, d: [pa.array(c) for c in bare.features(o, d).T]).orderBy("doc_id").toPandas()
     y = seen["toxic"].to_numpy(float)
     if len(set(y.tolist())) > 1:
@@ -298,12 +323,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score(df: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns, score, predicted and n_hits of every whole text."""
+    """The kept columns, score, predicted and the hits in the densest window of every whole text."""
 
     def run(offsets: np.ndarray, data: np.ndarray) -> list[pa.Array]:
         x = model.features(offsets, data)
         s = model.score(x)
-        hits = np.rint(np.expm1(x[:, 0]) + np.expm1(x[:, 1])).astype(np.int64)
-        return [pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(hits)]
+        return [pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(x[:, 2].astype(np.int32))]
 
-    return append_columns(df, text_col, keep, "score double, predicted int, n_hits bigint", run)
+    return append_columns(df, text_col, keep, "score double, predicted int, densest_window int", run)
