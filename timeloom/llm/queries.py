@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, packing, quality_rules, simhash, token_store, toxicity, url_rules
+from . import byte_bpe, language, nearest, packing, quality_rules, simhash, suffix_dedup, token_store, toxicity, url_rules
 from .common import table
 
 URL_RULES = [
@@ -54,18 +54,27 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove(table(spark, sf_dir, "documents"), ["doc_id"])
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, order = token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
     return token_store.read(files, order).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_byte_bpe, op3_language_id, op4_simhash, op5_toxicity, op6_quality_rules, op8_token_output, op10_packing)
+    for f in (op1_url_filters, op2_byte_bpe, op3_language_id, op4_simhash, op5_toxicity, op6_quality_rules, op7_suffix_dedup, op8_token_output, op9_nearest, op10_packing)
 }
 
 _URL_PARTS = r"""
