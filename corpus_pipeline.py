@@ -1,16 +1,74 @@
-"""The corpus pipeline: stages over documents."""
+"""The corpus pipeline: five stages over documents, each one of the operators of the subpackage for training text.
+
+A stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; docs has the columns of documents. The last
+gives the pieces of packed sequences. Learned parts (decision list, language profiles) are fitted anew on each stage's own input,
+on the bounded samples that the operators document.
+
+Defined cases: documents without words go in the first stage. Rows that repeat a doc_id are one document in the third stage. A text
+that repeats elsewhere as a whole is left empty by the fourth stage, not dropped; a character that a cut splits becomes U+FFFD.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from timeloom.llm import language, packing, quality_rules, simhash, suffix_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text at this distance from every profile is in none of the languages.
+FOREIGN = 0.98
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned decision list reject go."""
+    rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.judge(docs, rules, COLUMNS).where("kept").select(*COLUMNS)
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or far from every learned language, go."""
+    rows = language.identify(docs, language.learn(docs), COLUMNS)
+    return rows.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("distance") < FOREIGN)).select(*COLUMNS)
 
-STAGES: list = []
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays."""
+    groups = simhash.near_duplicates(docs)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of long strings that stand anywhere else as well are cut out."""
+    rows = suffix_dedup.remove(docs, ["doc_id", "lang", "source"])
+    text = F.make_valid_utf8(F.col("kept_bytes").cast("string"))
+    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 4096 ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("language ID", languages),
+    ("SimHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("packing", packed),
+]
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each over what the one before it kept."""
+    """All stages in order; the rows are those of the last."""
+    from timeloom.llm.common import store
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = store(docs, "stage")
     return docs
