@@ -1 +1 @@
-
+"""Whole flows put together from operators."""

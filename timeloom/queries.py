@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from timeloom.functions import text as T
 from timeloom.operators import glossary, jobs, joins, metrics, protect, retime, sequence
+from timeloom.plans import process, training
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -659,3 +660,17 @@ def retime_flow(spark, sf_dir):
 
 def _doc_window():
     return Window.partitionBy(F.col("doc_id") % 25).orderBy("doc_id")
+
+
+@query()
+def process_flow(spark, sf_dir):
+    settings = process.Settings(phantoms=["view", "click click"], corrections=[("view", "seen")], interjections=["click"])
+    return process.process(words(spark, sf_dir), settings, segments(spark, sf_dir)).withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
+
+
+@query()
+def training_rows(spark, sf_dir):
+    ref = cues(spark, sf_dir)
+    spoken = sequence.token_times(ref, T.words_of(F.col("text"))).where((F.col("k") + F.col("seq")) % 9 != 4)
+    spoken = spoken.select("file_id", (F.col("seq") * 1000 + F.col("k")).alias("seq"), F.col("token").alias("text"), F.col("time").alias("start"), F.col("time").alias("end"))
+    return training.training_rows(ref, spoken)
