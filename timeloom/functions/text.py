@@ -48,6 +48,11 @@ def strip(text: Column) -> Column:
     return rstrip(lstrip(text))
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once: inside a lambda, Catalyst repeats a plain subexpression at every use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def turkish_lower(text: Column) -> Column:
     """Lower case with dotted and dotless i kept apart; collations and lower() alone don't do this."""
     return F.lower(F.translate(text, "İI", "iı"))
@@ -116,17 +121,31 @@ def clean_for_ngrams(text: Column) -> Column:
 def wrap_balanced(text: Column, width: int = MAX_LINE) -> Column:
     """Two lines of about equal length: the split with the least difference, plus 3 away from punctuation, plus 100 where a line is
     too long; the first of equals. Texts that fit, and single words, stay."""
-    w = F.split(text, " ")
-    n = F.size(w)
-    side = lambda a, b: F.array_join(F.slice(w, a, b), " ")
-
-    def scored(i: Column) -> Column:
-        a, b = side(F.lit(1), i), side(i + 1, n - i)
-        cost = F.abs(F.length(a) - F.length(b)) + F.when(a.rlike("[,.?!:;]$"), 0).otherwise(3) + F.when((F.length(a) > width) | (F.length(b) > width), 100).otherwise(0)
-        return F.struct(cost.alias("cost"), i.alias("at"), F.concat(a, F.lit("\n"), b).alias("text"))
-
-    best = F.array_min(F.transform(F.sequence(F.lit(1), n - 1), scored))
-    return F.when((F.length(text) <= width) | (n < 2), text).otherwise(best["text"])
+    # A split loses 103 points at most away from the middle, so only spaces near it can win; long lines cost no more than short ones.
+    def places(x: Column) -> Column:
+        before = F.when(F.contains(x["left"], F.lit(" ")), F.length(x["left"]) - F.length(F.substring_index(x["left"], " ", -1)))
+        after = F.nullif(F.call_function("locate", F.lit(" "), text, F.length(x["left"]) + 1), F.lit(0))
+        reach = F.least(F.abs(2 * before - 1 - x["size"]), F.abs(2 * after - 1 - x["size"])) + 104
+        return F.struct(x["size"].alias("size"), reach.alias("reach"), F.greatest(F.lit(1), F.floor((x["size"] + 1 - reach) / 2).cast("int")).alias("low"))
+
+    def around(x: Column) -> Column:
+        # one letter more in front, for the mark before a space
+        return F.struct(x["size"].alias("size"), x["low"].alias("low"), F.concat(F.when(x["low"] > 1, F.substring(text, x["low"] - 1, F.lit(1))).otherwise("x"), F.substring(text, x["low"], x["reach"] + 2)).alias("near"))
+
+    def best(x: Column) -> Column:
+        def scored(k: Column) -> Column:
+            p = x["low"] + k - 2
+            mark = F.substring(x["near"], k - 1, F.lit(1)).isin(*",.?!:;")
+            long = (p - 1 > width) | (x["size"] - p > width)
+            return F.struct((F.abs(2 * p - 1 - x["size"]) + F.when(mark, 0).otherwise(3) + F.when(long, 100).otherwise(0)).alias("cost"), p.alias("at"))
+
+        spaces = F.filter(F.sequence(F.lit(2), F.length(x["near"])), lambda k: F.substring(x["near"], k, F.lit(1)) == " ")
+        return F.array_min(F.transform(spaces, scored))["at"]
+
+    start = F.struct(F.length(text).alias("size"), F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int") + 1).alias("left"))
+    at = bound(bound(bound(start, places), around), best)
+    split = bound(at, lambda p: F.concat(F.substring(text, F.lit(1), p - 1), F.lit("\n"), F.substring(text, p + 1, F.length(text))))
+    return F.when((F.length(text) <= width) | ~F.contains(text, F.lit(" ")), text).otherwise(split)
 
 
 def wrap_greedy(text: Column, width: int = MAX_LINE) -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 ORDER, BETA = 6, 2.0
 OPS = ArrayType(StructType([StructField(name, StringType()) for name in ("op", "ref", "hyp")]))
@@ -83,24 +84,29 @@ def report_line(totals: DataFrame, label: str) -> DataFrame:
     return totals.select(F.format_string(label + ": WER %.1f%% (S %.1f%% D %.1f%% I %.1f%%), %d words", 100 * F.col("wer"), rate("subs"), rate("dels"), rate("inss"), F.col("n_ref").cast("long")).alias("line"))
 
 
-def ngram_stats(pairs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(pair_id, n, matched, hyp, ref) for texts h and r without spaces: n-grams counted per pair and side, matched by the lesser count.
+@F.pandas_udf(ArrayType(ArrayType(LongType())))
+def _gram_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    """For n from 1 to ORDER: n-grams in both (each as often as in the one that has fewer), in hyp, in ref."""
 
-    One aggregate counts both sides at once, so there is no join; grams of a pair never meet those of another.
-    """
-    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    def one(h: str, r: str) -> list[list[int]]:
+        out = []
+        for n in range(1, ORDER + 1):
+            a, b = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (h, r))
+            few, many = (a, b) if len(a) < len(b) else (b, a)
+            out.append([sum(min(k, many[g]) for g, k in few.items() if g in many), max(len(h) - n + 1, 0), max(len(r) - n + 1, 0)])
+        return out
+
+    return pd.Series([one((h or "").replace(" ", ""), (r or "").replace(" ", "")) for h, r in zip(hyp, ref)])
 
-    def grams(text: Column, hyp: int) -> Column:
-        def of(n: Column) -> Column:
-            size = F.length(text) - n + 1
-            at = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-            return F.transform(at, lambda i: F.struct(n.alias("n"), F.substring(text, i, n).alias("gram"), F.lit(hyp).alias("hyp")))
 
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(order)), of))
+def ngram_stats(pairs: DataFrame) -> DataFrame:
+    """(pair_id, n, matched, hyp, ref) for texts h and r without spaces.
 
-    rows = pairs.select("pair_id", F.inline(F.concat(grams(bare("h"), 1), grams(bare("r"), 0))))
-    counts = rows.groupBy("pair_id", "n", "gram").agg(F.sum("hyp").alias("a"), F.sum(1 - F.col("hyp")).alias("b"))
-    return counts.groupBy("pair_id", "n").agg(F.sum(F.least("a", "b")).alias("matched"), F.sum("a").alias("hyp"), F.sum("b").alias("ref"))
+    Both multisets of a pair are counted where the pair is: n-grams as rows would be a hundred times the text, and a shuffle of them.
+    """
+    rows = pairs.select("pair_id", F.posexplode(_gram_counts("h", "r")).alias("n", "c"))
+    some = rows.where((F.col("c")[1] > 0) | (F.col("c")[2] > 0))
+    return some.select("pair_id", (F.col("n") + 1).alias("n"), F.col("c")[0].alias("matched"), F.col("c")[1].alias("hyp"), F.col("c")[2].alias("ref"))
 
 
 def f_score(stats: DataFrame, *keys: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from timeloom.functions import text as T
 from timeloom.operators import glossary, jobs, joins, metrics, protect, retime, sequence
 from timeloom.plans import process, training
+from timeloom.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,7 +56,7 @@ _CUES = """
 SELECT conv_id AS file_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS seq,
   CAST(turn * 3 + (conv_id % 5) * 0.25 AS DOUBLE) AS start,
   CAST(turn * 3 + (conv_id % 5) * 0.25 + 1.0 + (turn + conv_id) % 7 * 0.375 AS DOUBLE) AS "end",
-  substr(text, 1, CAST(20 + (conv_id + turn) % 40 AS INT)) AS text, role AS speaker
+  text, role AS speaker
 FROM conversations
 """
 
@@ -138,12 +139,12 @@ def timing_fix(spark, sf_dir):
 
 
 @query(_with(C, ("e", """SELECT *, CASE WHEN speaker <> lead(speaker) OVER p AND regexp_matches(regexp_replace(text, '\\s+$', ''), '[.?!…]$') AND NOT contains(text, chr(10)) AND NOT contains(lead(text) OVER p, chr(10))
-  AND lead(start) OVER p - "end" <= 2.0 AND length(text) + length(lead(text) OVER p) <= 90 AND lead("end") OVER p - start <= 9.0 THEN 1 ELSE 0 END AS edge, lead("end") OVER p AS end2, lead(text) OVER p AS text2
+  AND lead(start) OVER p - "end" <= 2.0 AND length(text) + length(lead(text) OVER p) <= 900 AND lead("end") OVER p - start <= 9.0 THEN 1 ELSE 0 END AS edge, lead("end") OVER p AS end2, lead(text) OVER p AS text2
   FROM c WINDOW p AS (PARTITION BY file_id ORDER BY seq)"""), ("g", "SELECT *, sum(1 - edge) OVER (PARTITION BY file_id ORDER BY seq) AS chain FROM e"),
   ("m", "SELECT *, CASE WHEN edge = 1 AND sum(edge) OVER (PARTITION BY file_id, chain ORDER BY seq) % 2 = 1 THEN 1 ELSE 0 END AS mrg FROM g"), ("l", "SELECT *, coalesce(lag(mrg) OVER (PARTITION BY file_id ORDER BY seq), 0) AS gone FROM m"))
   + "SELECT file_id, seq, CASE WHEN mrg = 1 THEN end2 ELSE \"end\" END AS \"end\", CASE WHEN mrg = 1 THEN '- ' || text || chr(10) || '- ' || text2 ELSE text END AS text, CASE WHEN mrg = 0 THEN speaker END AS speaker FROM l WHERE gone = 0")
 def dialogue_pairs(spark, sf_dir):
-    return sequence.merge_dialogue(cues(spark, sf_dir), 2.0, 90, 9.0).select("file_id", "seq", "end", "text", "speaker")
+    return sequence.merge_dialogue(cues(spark, sf_dir), 2.0, 900, 9.0).select("file_id", "seq", "end", "text", "speaker")
 
 
 @query(_with(C, ("o", """SELECT *, CASE WHEN NOT regexp_matches(regexp_replace(text, '\\s+$', ''), '[.?!…]$') AND lead(start) OVER p - "end" <= 1.5 AND NOT starts_with(regexp_replace(text, '^\\s+', ''), '-') AND NOT starts_with(regexp_replace(lead(text) OVER p, '^\\s+', ''), '-') THEN 1 ELSE 0 END AS goes
@@ -382,13 +383,13 @@ def cue_checks(spark, sf_dir):
     return cues(spark, sf_dir).select("file_id", "seq", T.cue_flags(F.col("start"), F.col("end"), F.col("text")).alias("flags"))
 
 
-@query(f"""WITH l AS ({_LINES}), s AS (SELECT doc_id, k, substr(line, 1, 80) AS line FROM l WHERE length(line) > 0), w AS (SELECT *, string_split(line, ' ') AS w FROM s),
-b AS (SELECT doc_id, k, i, array_to_string(w[1:i], ' ') AS a, array_to_string(w[i + 1:], ' ') AS z FROM w, unnest(generate_series(1, len(w) - 1)) u(i) WHERE length(line) > 42),
-m AS (SELECT doc_id, k, arg_min(a || chr(10) || z, abs(length(a) - length(z)) * 1000 + CASE WHEN regexp_matches(a, '[,.?!:;]$') THEN 0 ELSE 3000 END + CASE WHEN length(a) > 42 OR length(z) > 42 THEN 100000 ELSE 0 END + i) AS t FROM b GROUP BY doc_id, k)
-SELECT doc_id, k, coalesce(t, line) AS text FROM s LEFT JOIN m USING (doc_id, k)""")
+@query(f"""WITH l AS ({_LINES}), s AS (SELECT doc_id, k, line FROM l WHERE length(line) > 0), w AS (SELECT *, string_split(line, ' ') AS w FROM s),
+b AS (SELECT doc_id, k, i, w[i] AS word, sum(length(w[i]) + 1) OVER (PARTITION BY doc_id, k ORDER BY i) - 1 AS a, length(line) AS n FROM w, unnest(generate_series(1, len(w) - 1)) u(i) WHERE n > 42),
+m AS (SELECT doc_id, k, arg_min(a, (abs(a - (n - a - 1)) + CASE WHEN regexp_matches(word, '[,.?!:;]$') THEN 0 ELSE 3 END + CASE WHEN a > 42 OR n - a - 1 > 42 THEN 100 ELSE 0 END) * 1000000 + i) AS a FROM b GROUP BY doc_id, k)
+SELECT doc_id, k, CASE WHEN a IS NULL THEN line ELSE substr(line, 1, CAST(a AS BIGINT)) || chr(10) || substr(line, CAST(a AS BIGINT) + 2) END AS text FROM s LEFT JOIN m USING (doc_id, k)""")
 def wrap_balanced(spark, sf_dir):
     rows = lines(spark, sf_dir).where(F.length("line") > 0)
-    return rows.select("doc_id", F.col("k").cast("long").alias("k"), T.wrap_balanced(F.substring("line", 1, 80)).alias("text"))
+    return rows.select("doc_id", F.col("k").cast("long").alias("k"), T.wrap_balanced(F.col("line")).alias("text"))
 
 
 _PHANTOMS = ["(the|le|die).{0,12}", "th[a-z]*", "[a-zıçğöşü ]{1,9}"]
@@ -423,7 +424,7 @@ def protect_restore(spark, sf_dir):
 
 @query()
 def entity_report(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where(F.col("n_chars") < 3000)
+    docs = _table(spark, sf_dir, "documents")
     protected = protect.protect(F.col("text"), _FORMS)
     return docs.select("doc_id", F.inline(protect.entity_report(protected, F.col("text"), _FORMS)))
 
@@ -482,7 +483,7 @@ def wer_worst_windows(spark, sf_dir):
 
 
 _CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '<[^>]+>', '', 'g'), '\\([^)]*\\)|\\[[^\\]]*\\]|♪|♫', ' ', 'g'), '(^|\\s)-\\s*', ' ', 'g'), '\\s+', ' ', 'g'))"
-_GRAMS = f"""p AS (SELECT d.doc_id AS pair_id, replace({_CLEAN.format(x="substr(d.text, 1, 400)")}, ' ', '') AS h, replace({_CLEAN.format(x="b.text")}, ' ', '') AS r FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+_GRAMS = f"""p AS (SELECT a.conv_id * 1000 + a.turn AS pair_id, replace({_CLEAN.format(x="a.text")}, ' ', '') AS h, replace({_CLEAN.format(x="b.text")}, ' ', '') AS r FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
 g AS (SELECT pair_id, n, substr(h, i, n) AS gram, 1 AS a, 0 AS b FROM p, unnest(generate_series(1, 6)) x(n), unnest(generate_series(1, length(h) - n + 1)) y(i)
   UNION ALL SELECT pair_id, n, substr(r, i, n), 0, 1 FROM p, unnest(generate_series(1, 6)) x(n), unnest(generate_series(1, length(r) - n + 1)) y(i)),
 k AS (SELECT pair_id, n, gram, sum(a) AS a, sum(b) AS b FROM g GROUP BY ALL),
@@ -490,9 +491,10 @@ s AS (SELECT pair_id, n, sum(least(a, b)) AS matched, sum(a) AS hyp, sum(b) AS r
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, bench = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
-    both = docs.join(bench.select("item_id", F.col("text").alias("ref")), docs["doc_id"] % 40 == F.col("item_id"))
-    return both.select(F.col("doc_id").alias("pair_id"), T.clean_for_ngrams(F.substring("text", 1, 400)).alias("h"), T.clean_for_ngrams(F.col("ref")).alias("r"))
+    turns = _table(spark, sf_dir, "conversations")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ref"))
+    both = turns.join(after, ["conv_id", "turn"])
+    return both.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), T.clean_for_ngrams(F.col("text")).alias("h"), T.clean_for_ngrams(F.col("ref")).alias("r"))
 
 
 @query(f"WITH {_GRAMS} SELECT pair_id, n, CAST(matched AS BIGINT) AS matched, CAST(hyp AS BIGINT) AS hyp, CAST(ref AS BIGINT) AS ref FROM s")
@@ -526,15 +528,15 @@ def peaks_bins(spark, sf_dir):
 
 # ---------------------------------------------------------------- glossary, lists, jobs
 def _casts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    name = lambda c: F.concat(F.lit("name "), (F.col(c) % 120).cast("string"))
+    name = lambda c: F.concat(F.lit("name "), (F.col(c) % 90).cast("string"))
     curated = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), name("c_custkey").alias("actor"), F.lower("c_mktsegment").alias("name"), F.col("c_nationkey").alias("episodes"))
-    curated = curated.where(F.col("ord") < 90).withColumns({"norm": F.lower("actor"), "name_norm": F.col("name"), "alias_norms": F.array(F.lit("zz"))})
+    curated = curated.withColumns({"norm": F.lower("actor"), "name_norm": F.col("name"), "alias_norms": F.array(F.lit("zz"))})
     fetched = _table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, "tmdb").otherwise("tvdb").alias("source"), F.concat(F.lit("name "), F.col("s_suppkey").cast("string")).alias("actor"), F.when(F.col("s_suppkey") % 3 == 0, "machinery").otherwise("auto").alias("character"), F.col("s_nationkey").alias("episodes"))
     fetched = fetched.withColumns({"norm": F.lower("actor"), "character_norm": F.col("character")})
     return glossary.compare_casts(curated, fetched, glossary.key_of_actor())
 
 
-_CAST = """WITH cur AS (SELECT concat('name ', c_custkey % 120) AS actor, lower(c_mktsegment) AS name, c_nationkey AS episodes FROM customer WHERE c_custkey < 90),
+_CAST = """WITH cur AS (SELECT concat('name ', c_custkey % 90) AS actor, arg_max(lower(c_mktsegment), c_custkey) AS name, arg_max(c_nationkey, c_custkey) AS episodes FROM customer GROUP BY 1),
 f AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'tmdb' ELSE 'tvdb' END AS source, concat('name ', s_suppkey) AS actor, CASE WHEN s_suppkey % 3 = 0 THEN 'machinery' ELSE 'auto' END AS character, s_nationkey AS episodes FROM supplier)
 """
 
@@ -650,7 +652,9 @@ def translate_flow(spark, sf_dir):
 
 @query()
 def retime_flow(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").where(F.col("n_chars") < 4000).select((F.col("doc_id") % 25).alias("file_id"), F.row_number().over(_doc_window()).cast("int").alias("seq"), F.substring("text", 1, 60).alias("text"))
+    file_id = F.floor(F.col("conv_id") / 10)
+    seq = F.row_number().over(Window.partitionBy(file_id).orderBy("conv_id", "turn")).cast("int")
+    rows = _table(spark, sf_dir, "conversations").select(file_id.alias("file_id"), seq.alias("seq"), "text")
     timed = rows.withColumns({"start": F.col("seq") * 4.0, "end": F.col("seq") * 4.0 + 3.0, "speaker": F.lit(None).cast("string")})
     moved = timed.withColumns({"start": F.col("start") + 5.1, "end": F.col("end") + 5.1})
     spoken = sequence.token_times(moved, T.words_of(F.col("text"))).select("file_id", (F.col("seq") * 1000 + F.col("k")).alias("seq"), F.col("token").alias("text"), F.col("time").alias("start"), F.col("time").alias("end"))
@@ -658,10 +662,6 @@ def retime_flow(spark, sf_dir):
     return cues_out.select("file_id", "seq", F.round("new_start", 3).alias("new_start"), F.round("new_end", 3).alias("new_end"), "method")
 
 
-def _doc_window():
-    return Window.partitionBy(F.col("doc_id") % 25).orderBy("doc_id")
-
-
 @query()
 def process_flow(spark, sf_dir):
     settings = process.Settings(phantoms=["view", "click click"], corrections=[("view", "seen")], interjections=["click"])
@@ -674,3 +674,18 @@ def training_rows(spark, sf_dir):
     spoken = sequence.token_times(ref, T.words_of(F.col("text"))).where((F.col("k") + F.col("seq")) % 9 != 4)
     spoken = spoken.select("file_id", (F.col("seq") * 1000 + F.col("k")).alias("seq"), F.col("token").alias("text"), F.col("time").alias("start"), F.col("time").alias("end"))
     return training.training_rows(ref, spoken)
+
+
+@query()
+def stream_sessions(spark, sf_dir):
+    """Words as a file stream; finished sessions go to a table beside the stream's checkpoint."""
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    place = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    words(spark, sf_dir).select("file_id", "start", "end").write.parquet(f"{place}/in")
+    stream = spark.readStream.schema("file_id bigint, start double, end double").parquet(f"{place}/in")
+    found = sessions.gap_sessions(stream, late="100000 minutes")
+    run = found.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/out")).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{place}/out")
