@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import functools
 import sys
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from .common import Rolling, SliceCache, append_columns, blocks, bounded_share, count_in
 
 #: Labelled documents that lexicon and model are fitted on at most, on average over a hash sample.
-SAMPLE_ROWS = 30_000
-#: Terms of the lexicon at most.
-TERMS = 400
+SAMPLE_ROWS = 20_000
+#: Terms of the lexicon at most, and terms of toxic documents that are weighed for it.
+TERMS, CANDIDATES = 400, 50_000
 WINDOW = 8
 STEMS = (4, 5, 6, 7)
+_STEM = "*"  # no word ends in it
 
 
 # ---------------------------------------------------------------- words
@@ -108,51 +109,70 @@ class Lexicon:
                     self.ends.append([])
                 node = self.children[node][c]
             self.ends[node].append(i)
-        # an automaton can only accept a word that keeps one half of a term in place
-        self.heads, self.tails = defaultdict(set), defaultdict(set)
+        # an automaton can only accept a word that keeps one half of a term in place, and is about as long
+        self.gates: dict[int, tuple[dict[int, set[str]], dict[int, set[str]]]] = {}
+        self.open_heads: dict[int, set[str]] = defaultdict(set)
         for term, stem in zip(self.terms, self.stem):
-            half = len(term) // 2
-            if stem or not edits_allowed(len(term)):
-                self.heads[len(term)].add(term)
-            else:
-                self.heads[half].add(term[:half])
-                self.tails[len(term) - half].add(term[half:])
-        self.heads, self.tails = dict(self.heads), dict(self.tails)
+            if stem:
+                self.open_heads[len(term)].add(term)
+                continue
+            edits, half = edits_allowed(len(term)), len(term) // 2
+            for size in range(len(term) - edits, len(term) + edits + 1):
+                heads, tails = self.gates.setdefault(size, ({}, {}))
+                if edits:
+                    heads.setdefault(half, set()).add(term[:half])
+                    tails.setdefault(len(term) - half, set()).add(term[half:])
+                else:
+                    heads.setdefault(len(term), set()).add(term)
 
     def maybe(self, word: str) -> bool:
-        return any(word[:n] in found for n, found in self.heads.items()) or any(word[-n:] in found for n, found in self.tails.items())
+        for n, found in self.open_heads.items():
+            if word[:n] in found:
+                return True
+        gate = self.gates.get(len(word))
+        if gate:
+            for n, found in gate[0].items():
+                if word[:n] in found:
+                    return True
+            for n, found in gate[1].items():
+                if word[-n:] in found:
+                    return True
+        return False
 
     def match(self, word: str) -> tuple[int, int]:
-        """Nearest term (fewest edits, then first) and edits, or (-1, 0): the trie is walked with the automaton's state,
-        which is the row of edit distances to all prefixes of the word."""
+        """Nearest term (fewest edits, then first) and edits, or (-1, 0). The trie is walked together with the word's Levenshtein
+        automaton, whose state at depth d is the edits (2: too many) between the path and the word's first d - 1, d and d + 1
+        letters; a branch ends where all three are too many."""
         best = (2, len(self.terms))
-        width = len(word) + 1
-        stack = [(0, list(range(width)), 0)]
+        size = len(word)
+        stack = [(0, 0, 2, 0, 1)]
         while stack:
-            node, row, depth = stack.pop()
+            node, depth, before, here, after = stack.pop()
             for i in self.ends[node]:
                 if self.stem[i]:
-                    if row[min(depth, width - 1)] == 0 and depth < width:
+                    if here == 0 and depth <= size:
                         best = min(best, (0, i))
-                elif row[-1] <= edits_allowed(depth):
-                    best = min(best, (row[-1], i))
+                else:
+                    edits = before if size == depth - 1 else here if size == depth else after if size == depth + 1 else 2
+                    if edits <= edits_allowed(depth):
+                        best = min(best, (edits, i))
             for c, child in self.children[node].items():
-                out = [depth + 1]
-                for j in range(1, width):
-                    out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (word[j - 1] != c)))
-                if min(out) <= 1:
-                    stack.append((child, out, depth + 1))
+                # letters of the word at depth - 1, depth and depth + 1; past its end nothing fits
+                x = 2 if depth > size else min(2, before + (depth < 1 or word[depth - 1] != c), here + 1)
+                y = 2 if depth + 1 > size else min(2, here + (word[depth] != c), x + 1, after + 1)
+                z = 2 if depth + 2 > size else min(2, after + (word[depth + 1] != c), y + 1)
+                if x < 2 or y < 2 or z < 2:
+                    stack.append((child, depth + 1, x, y, z))
         return (best[1], best[0]) if best[1] < len(self.terms) else (-1, 0)
 
     def compute(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For the cache: one number for each word, 0 or 1 + 2 * term + edits."""
-        longest = max(map(len, self.terms), default=0) + 1
         out = np.zeros(len(slices), np.uint32)
         for k, x in enumerate(slices):
             word = x.decode("utf-32-le")
             if self.maybe(word):
-                i, edits = self.match(word[: longest + 1] if any(self.stem) and len(word) > longest else word)
-                if i >= 0 and (self.stem[i] or edits_allowed(len(self.terms[i])) >= edits):
+                i, edits = self.match(word)
+                if i >= 0:
                     out[k] = 1 + 2 * i + edits
         return out, np.ones(len(slices), np.int64)
 
@@ -250,31 +270,31 @@ def lexicon_of(counts: list[tuple[str, bool, int, int]], toxic: int, clean: int,
     return terms[:TERMS], stems[:TERMS]
 
 
-def _word_counts(sample: DataFrame) -> DataFrame:
-    """(term, stem, toxic documents, other documents) over the sample's documents."""
+def _word_counts(sample: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
+    """(term, stem, documents) over the sample's documents; wanted: terms and stems (with a trailing mark) that count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
         for batch in batches:
-            toxic = np.asarray(batch.column(1).to_pylist())
-            for first, offsets, data in blocks(batch.column(0)):
+            for _, offsets, data in blocks(batch.column(0)):
                 t = tokens(offsets, data)
                 raw = t.points.tobytes()
-                found: dict[tuple[str, bool], list[int]] = {}
                 bounds = np.searchsorted(t.owner, np.arange(t.n + 1)).tolist()
-                for d in range(t.n):
-                    at = slice(bounds[d], bounds[d + 1])
-                    own = {raw[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(t.starts[at].tolist(), t.ends[at].tolist())}
-                    stems = {w[:k] for w in own for k in STEMS if len(w) > k}
-                    kind = 0 if toxic[first + d] else 1
-                    for w in own:
-                        found.setdefault((w, False), [0, 0])[kind] += 1
-                    for w in stems:
-                        found.setdefault((w, True), [0, 0])[kind] += 1
-                keys = list(found)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([found[k][0] for k in keys], pa.int64()), pa.array([found[k][1] for k in keys], pa.int64())], names=["term", "stem", "a", "b"])
-
-    rows = sample.select("text", "toxic").mapInArrow(run, "term string, stem boolean, a bigint, b bigint")
-    return rows.groupBy("term", "stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+                for a, b in zip(bounds, bounds[1:]):
+                    own = {raw[4 * i : 4 * j].decode("utf-32-le") for i, j in zip(t.starts[a:b].tolist(), t.ends[a:b].tolist())}
+                    own |= {w[:k] + _STEM for w in own for k in STEMS if len(w) > k}
+                    found.update(own if wanted is None else own & wanted)
+                if len(found) > 500_000:
+                    yield _count_rows(found)
+                    found.clear()
+        yield _count_rows(found)
+
+    rows = sample.select("text").mapInArrow(run, "term string, n bigint")
+    return rows.groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _count_rows(found: Counter[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
 
 def _hit_counts(sample: DataFrame, model: Model) -> DataFrame:
@@ -304,11 +324,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     share = bounded_share(sum(totals.values()), sample_rows)
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # the sample has a bound
-    # terms that could pass lexicon_of at all; each toxic document brings few of them
-    counts = _word_counts(rows).where((F.col("a") >= 3) & (F.col("a") >= 0.7 * (F.col("a") + F.col("b"))))
-    counts = counts.orderBy(F.desc("a"), "b", "term", "stem").limit(20 * TERMS).collect()
+    # what toxic documents use most is counted in the others as well
+    ours = dict(map(tuple, _word_counts(rows.where("toxic > 0")).where("n >= 3").orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()))
+    theirs = dict(map(tuple, _word_counts(rows.where("toxic = 0"), frozenset(ours)).collect()))
+    counts = [(term.rstrip(_STEM), term.endswith(_STEM), a, theirs.get(term, 0)) for term, a in ours.items()]
     sizes = {bool(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
-    model = Model(*lexicon_of([tuple(r) for r in counts], sizes.get(True, 0), sizes.get(False, 0)))
+    model = Model(*lexicon_of(counts, sizes.get(True, 0), sizes.get(False, 0)))
     model.worth = np.full(2 * len(model.terms + model.stems) + 3, 0.5)  # of misspellings that the sample lacks
     for code, a, b in _hit_counts(rows, Model(model.terms, model.stems)).collect():  # two rows for each term at most
         odds = np.log((a + 0.5) / (sizes.get(True, 0) + 1)) - np.log((b + 0.5) / (sizes.get(False, 0) + 1))
