@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as T
-from timeloom.operators import glossary, jobs, joins, metrics, protect, retime, sequence
+from timeloom.operators import glossary, jobs, joins, metrics, protect, retime, review, sequence
 from timeloom.plans import process, training
 from timeloom.streaming import sessions
 
@@ -689,3 +689,25 @@ def stream_sessions(spark, sf_dir):
     run = found.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/out")).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{place}/out")
+
+
+@query(_with(C) + 'SELECT file_id, CAST(arg_min(seq, seq) AS INT) AS seq, arg_min("end", seq) AS "end" FROM c WHERE start <= 7.5 AND "end" > 7.5 GROUP BY file_id')
+def active_cue(spark, sf_dir):
+    return review.active_cue(cues(spark, sf_dir), 7.5).select("file_id", "seq", "end")
+
+
+@query(_with(C) + """SELECT file_id, seq, lag(seq) OVER p AS before, lead(seq) OVER p AS "after" FROM c WHERE speaker = 'user' WINDOW p AS (PARTITION BY file_id ORDER BY seq)""")
+def cue_navigation(spark, sf_dir):
+    return review.neighbours(cues(spark, sf_dir), F.col("speaker") == "user")
+
+
+@query(_with(C) + """SELECT file_id, bool_and(regexp_matches(text, '^\\s*$')) AS placeholder FROM c GROUP BY file_id""")
+def placeholder_files(spark, sf_dir):
+    return review.is_placeholder(cues(spark, sf_dir))
+
+
+@query("""SELECT user_id AS file_id, arg_min(event_id, k) AS idx, arg_min(event_type, k) AS language FROM (SELECT *, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END * 1000000000 + event_id AS k FROM events) GROUP BY user_id""")
+def stream_choice(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "view", "tur").otherwise(F.col("event_type"))
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), F.col("event_id").alias("idx"), kind.alias("language"))
+    return review.pick_stream(rows).withColumn("language", F.when(F.col("language") == "tur", "view").otherwise(F.col("language")))
