@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Rolling, SliceCache, blocks, per_text
+from .common import Rolling, SliceCache, blocks, per_text, small_batches
 
 #: Slices longer than this many bytes are merged with a heap, one by one.
 LONG_SLICE = 64
@@ -335,7 +335,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     out.append(cut(np.frombuffer(model.decode(ids, ends), np.uint8), np.append(0, ends)[bounds]))
                 yield pa.RecordBatch.from_arrays(out, names=[id_col, "ids", "token_ends", *["decoded"] * round_trip])
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step handles; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1_000_000
+#: Bytes of a batch between JVM and Python; the session's own setting counts if it is lower.
+BATCH_BYTES = 8 << 20
 #: Bytes of a literal that may be broadcast; what grows with the data is joined instead.
 BROADCAST_BYTES = 8 << 20
 
@@ -31,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; batches to Python workers are bounded by bytes, as texts have no bound of their own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, "67108864").rstrip("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared folder: a lost executor costs no earlier stage."""
     shared_dir(df.sparkSession)
@@ -95,24 +105,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any slices of a byte array, from prefix sums of random byte values times powers of an odd base."""
+    """Hashes of any slices of a byte array, from prefix sums of random byte values times powers of an odd base.
+
+    Powers are shared by all seeds of a worker, so they cost 16 bytes for each byte of the largest block once.
+    """
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    base = int(mix(np.array([978], np.uint64))[0]) | 5
+    _up, _down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def __init__(self, seed: int = 1) -> None:
         self.values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 7919))
-        self.base = int(mix(np.array([seed + 977], np.uint64))[0]) | 5
-        self.seed = seed
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        up, down = self._powers.get(self.seed, (np.ones(1, np.uint64), np.ones(1, np.uint64)))
-        if len(up) < n:
-            size = 1 << (n - 1).bit_length()
+        if len(Rolling._up) < n:
+            size = n + n // 8
             up, down = np.full(size, self.base, np.uint64), np.full(size, pow(self.base, -1, 1 << 64), np.uint64)
             up[0] = down[0] = 1
-            up, down = np.cumprod(up), np.cumprod(down)
-            self._powers[self.seed] = up, down
-        return up[:n], down[:n]
+            Rolling._up, Rolling._down = np.cumprod(up), np.cumprod(down)
+        return Rolling._up[:n], Rolling._down[:n]
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         """Prefix sums over bytes, or over code points."""
@@ -224,7 +234,7 @@ def append_columns(df: DataFrame, text_col: str, keep: list[str], schema: str, c
                 kept = [batch.column(i).slice(first, n) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *compute(offsets, data)], names=[*keep, *names])
 
-    return rows.mapInArrow(run, ", ".join([kinds, schema] if kinds else [schema]))
+    return small_batches(rows).mapInArrow(run, ", ".join([kinds, schema] if kinds else [schema]))
 
 
 def count_in(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:

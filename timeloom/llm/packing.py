@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import blocks, store
+from .common import blocks, small_batches, store
 from .word_bpe import with_end, word_bpe
 
 LENGTH, WINDOWS, MERGED = 4096, 32, 256
@@ -127,7 +127,7 @@ def pack(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: s
     rows = df.select(F.col(id_col).cast("long"), text_col)
     if not rows.take(1):
         return df.sparkSession.createDataFrame([], PIECES).drop("open")
-    pieces = store(rows.mapInArrow(first, PIECES), "pieces")
+    pieces = store(small_batches(rows).mapInArrow(first, PIECES), "pieces")
     done, level = pieces.where(~F.col("open")), 1
     left = pieces.where("open").withColumn("part", F.shiftright("sequence_id", 28).cast("long"))
     while True:
