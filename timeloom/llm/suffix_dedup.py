@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, blocks, store
+from .common import Rolling, blocks, small_batches, store
 
 #: Bytes of a string that counts, of an anchor, of text in one index.
-LENGTH, K, INDEX_BYTES = 400, 96, 3 << 20
+LENGTH, K, INDEX_BYTES = 400, 96, 1_500_000
 ANCHORS = "doc_id bigint, th int, anchor bigint, passage bigint, first int, windows int"
 
 
@@ -168,7 +168,7 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
                 mine = pa.array(owner + at)
                 yield pa.RecordBatch.from_arrays([ids.take(mine), th.take(mine), pa.array(anchor.view(np.int64)), pa.array(passage.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], names=[x.split()[0] for x in ANCHORS.split(", ")])
 
-    return rows.mapInArrow(run, ANCHORS)
+    return small_batches(rows).mapInArrow(run, ANCHORS)
 
 
 FOUND = "doc_id bigint, th int, first int, windows int, anchor bigint, hash bigint"
@@ -217,12 +217,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """Rows (doc_id, th, spans): for each document that loses bytes the maximal runs [start, bytes], in order."""
     rows = _rows(docs, id_col, text_col)
     all_anchors = _anchor_rows(rows, length)
-    twice = all_anchors.groupBy("anchor").count().where(F.col("count") > 1).select("anchor")
+    # kept as a table: a join of two plain exchanges is one whose hot anchors adaptive execution can split
+    twice = store(all_anchors.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "repeated-anchors")
     candidates = store(all_anchors.join(twice, "anchor", "left_semi"), "anchors")
     passages = candidates.groupBy("anchor", "passage").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "first", "windows")).alias("one"))
     passages = store(passages, "passages")
     groups = passages.groupBy("anchor").agg(F.count("*").alias("different"), F.count_if(F.col("copies") == 1).alias("single"), F.sum(F.col("one.windows") + length).alias("bytes"))
     groups = groups.where((F.col("different") > 1) & (F.col("single") > 0)).select("anchor", F.ceil(F.col("bytes") / index_bytes).cast("int").alias("parts"))
+    groups = store(groups, "groups")
     wanted = passages.join(groups, "anchor").select("anchor", "passage", "copies", "parts", "one.*", F.pmod(F.col("passage"), F.col("parts")).alias("part"))
 
     # text of one copy of each passage that has to be compared
