@@ -209,6 +209,13 @@ def test_components_of_a_long_path(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_simhash_edges(spark):
+    rows = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "other words in here"), (5, None)], "doc_id bigint, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(rows).collect())
+    assert got == [(0, 0), (0, 3), (3, 3), (3, 3), (5, 5)]
+    assert simhash.near_duplicates(rows.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- toxicity
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
@@ -324,6 +331,8 @@ def test_repeated_rows_and_ids(spark):
     df = spark.createDataFrame([(1, a), (1, a), (2, b), (2, b[:500] + "#" + b[500:]), (3, text_of(rng, 90))], "doc_id bigint, text string")
     got = sorted((r["doc_id"], r["n_removed"] == r["n_bytes"]) for r in suffix_dedup.remove(df, ["doc_id"]).collect())
     assert got.count((1, True)) == 2 and (3, False) in got and len(got) == 5
+    nameless = spark.createDataFrame([(None, a), (None, "x" + a), (7, b)], "doc_id bigint, text string")
+    assert sorted(r["n_removed"] for r in suffix_dedup.remove(nameless, ["doc_id"]).collect()) == [0, len(a), len(a)]
     assert suffix_dedup.remove(df.limit(0), ["doc_id"]).count() == 0
 
 
@@ -369,6 +378,9 @@ def test_token_files(spark, odd_texts):
     for i, want in enumerate(ids_of(odd_texts, 1)):
         assert (got[i]["start"], got[i]["n_tokens"], np.frombuffer(got[i]["ids"], "<u4").tolist()) == (start, len(want), want)
         start += len(want)
+    files, order = token_store.write(spark.createDataFrame([(None, "b"), (-5, "a b"), (None, "a"), (-5, "a b")], "doc_id bigint, text string"), WORDS, end=1)
+    rows = [(r["doc_id"], r["start"], r["n_tokens"]) for r in token_store.read(files, order).orderBy("start").collect()]
+    assert rows == [(None, 0, 2), (None, 2, 2), (-5, 4, 3), (-5, 7, 3)]
     files, order = token_store.write(df.limit(0), WORDS, end=1)
     assert token_store.read(files, order).count() == 0
 

@@ -7,7 +7,7 @@ the triangle inequality allows, times `factor`, exceeds the distance of the wors
 Shards' lists are merged by query.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or a component that is not finite take no part, as queries or
-candidates; vectors of other lengths than a query's are no candidates of it. Rows that repeat a vec_id are candidates each, but
+candidates, nor do rows without an id; vectors of other lengths than a query's are no candidates of it. Rows that repeat a vec_id are candidates each, but
 none of them for a query of that id. Equal vectors are one entry of a tree with the least ids that can count.
 """
 

@@ -8,7 +8,7 @@ bits already differ in more than the distance. Of the links a task finds it emit
 fingerprints; components of those give the classes.
 
 Defined cases: null and empty texts and texts of white space have fingerprint zero and are linked like any other; fewer words
-than a shingle are one shingle. Rows that repeat a doc_id each get a row. An empty table gives an empty result.
+than a shingle are one shingle. Rows that repeat a doc_id each get a row; rows without one are linked, and a class of such rows alone has no id. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ of every position with any other) and marks those of LENGTH or more. Passages of
 several, and their strings are counted by hash over all, so that no match between two indexes is lost.
 
 Defined cases: a null text counts as empty; texts shorter than LENGTH lose nothing. Rows that repeat a text repeat each other.
-A doc_id that two different texts carry is two documents. An empty table gives no rows. Cutting at bytes can split a character,
+A doc_id that two different texts carry is two documents; rows without one are documents too. An empty table gives no rows. Cutting at bytes can split a character,
 so what is kept is binary.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, blocks, small_batches, store
@@ -155,8 +155,13 @@ def ranges(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.flatnonzero(edges == -1) - first
 
 
+def _key(id_col: str) -> Column:
+    """The id, or a number in place of a null, which would join with nothing."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
+    return docs.select(_key(id_col).alias("doc_id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
 
 
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
@@ -250,7 +255,7 @@ def remove(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: s
     """The kept columns, n_bytes, n_removed, n_spans, spans (binary: start and end of each run, 64 bits) and kept_bytes."""
     spans = repeated(docs, id_col, text_col, length, index_bytes)
     keep = [c for c in keep if c not in ("n_bytes", "n_removed", "n_spans", "spans", "kept_bytes")]
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.hash(text_col).alias("_th"), F.struct(*keep).alias("_kept"), F.col(text_col).alias("_text"))
+    rows = docs.select(_key(id_col).alias("_id"), F.hash(text_col).alias("_th"), F.struct(*keep).alias("_kept"), F.col(text_col).alias("_text"))
     joined = rows.join(spans.withColumnsRenamed({"doc_id": "_id", "th": "_th"}), ["_id", "_th"], "left").select("_kept", "_text", "spans")
     kept_type = joined.schema["_kept"].dataType.simpleString()
 

@@ -6,7 +6,7 @@ with its control bytes, its data bytes, the documents' ids and lengths; a shard
 one task's file. Reading looks up the four lengths of each control byte in a table and gathers the bytes with numpy.
 
 Defined cases: a null text counts as empty and leaves the end id alone. Rows that repeat a doc_id are kept each, in order of
-their ids' bytes. An empty table gives no blocks and no rows.
+their ids' bytes; rows without a doc_id come first. An empty table gives no blocks and no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .word_bpe import with_end, word_bpe
 
 #: Documents of a shard on average, ids of a block at least.
 DOCS_PER_SHARD, BLOCK_IDS = 8192, 500_000
+#: Stands for a null doc_id in files.
+_NO_ID = -(1 << 63)
 _LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
 _TOTAL = _LENGTHS.sum(axis=1)
 
@@ -133,7 +135,7 @@ def _blocks(order: np.ndarray, kind: str):
 def write(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = DOCS_PER_SHARD) -> tuple[DataFrame, np.ndarray]:
     """Encode all texts into block files in ascending order of ids; gives the files as a table of BLOCKS, and ids by rank."""
     spark = df.sparkSession
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     n_docs = rows.count()
     shards = max(1, -(-n_docs // docs_per_shard))
     shares = [i / shards for i in range(1, shards)]
@@ -152,6 +154,11 @@ def write(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col:
     return store(sorted_.mapInArrow(_blocks(order, kind), BLOCKS), "token-blocks", "none"), order
 
 
+def _ids(raw: bytes) -> pa.Array:
+    ids = np.frombuffer(raw, "<i8")
+    return pa.array(ids, mask=ids == _NO_ID)
+
+
 def read(files: DataFrame, order: np.ndarray) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids) of block files; start: ids of all documents before, ids: binary, 32 bits each."""
     totals = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
@@ -165,7 +172,7 @@ def read(files: DataFrame, order: np.ndarray) -> DataFrame:
             for base, n, docs, lengths, control, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 ids = wide[unpack(control, data, n)]
                 bounds = np.concatenate(([0], np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, "<i8")), pa.array(base + bounds[:-1]), pa.array(np.diff(bounds)), cut_binary(ids, bounds)], names=["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([_ids(docs), pa.array(base + bounds[:-1]), pa.array(np.diff(bounds)), cut_binary(ids, bounds)], names=["doc_id", "start", "n_tokens", "ids"])
 
     picked = joined.select((F.col("base") + F.col("start")).alias("base"), "n_ids", "doc_ids", "lengths", "control", "data")
     return picked.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
