@@ -491,3 +491,49 @@ def test_contract_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+
+
+def set_of(text):
+    w = [x.lower() for x in WORD.findall(text or "")]
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies_of_the_pipeline_equal_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    texts = []
+    for _ in range(60):
+        base = text_of(rng, rng.randint(30, 400), "abcdefghijklmnop").split()
+        for share in (0.0, 0.005, 0.01, 0.02, 0.03, 0.06):
+            texts.append(" ".join(text_of(rng, 1, "qrstuv") if rng.random() < share else w for w in base))
+    rng.shuffle(texts)
+    every = [set_of(t) for t in texts]
+    root = list(range(len(texts)))
+    far = 0  # near copies that three bits of three-word fingerprints do not link
+    for b in range(len(texts)):
+        for a in range(b):
+            if jaccard(every[a], every[b]) >= 0.8:
+                far += bin(fingerprint(texts[a]) ^ fingerprint(texts[b])).count("1") > 3
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert far > 20
+    docs = documents(spark, texts).drop("ids", "n_words")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
+    assert all(r["text"] == texts[r["doc_id"]] for r in kept)
+
+
+def test_large_clusters_of_near_copies():
+    from timeloom.llm import near_copies
+
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    near = [np.array(sorted(set(base[:i] + base[i + 1 :])), np.uint64) for i in range(40)]
+    other = [np.array(sorted(rng.getrandbits(64) for _ in range(300)), np.uint64) for _ in range(20)]
+    found = near_copies.confirmed(near + other)
+    assert len(found) == 39 and max(max(x) for x in found) < 40

@@ -33,13 +33,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def block_fingerprints(offsets: np.ndarray, data: np.ndarray, shingle: int = 3) -> np.ndarray:
-    """The 64-bit fingerprint of each text of a block."""
+def shingles(offsets: np.ndarray, data: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of a block, repeats too, and the text number of each."""
     n = len(offsets) - 1
-    out = np.zeros(n, np.uint64)
     starts, ends, owner = words(data, offsets)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     # words of a text with one space between them
     lengths = ends - starts
     at = np.cumsum(lengths + 1) - (lengths + 1)
@@ -54,8 +53,14 @@ def block_fingerprints(offsets: np.ndarray, data: np.ndarray, shingle: int = 3)
     begins = (np.arange(len(starts)) + shingle <= (first + count)[owner]) | ((np.arange(len(starts)) == first[owner]) & (count[owner] < shingle))
     a, b = at[begins], (at + lengths)[last_word[begins]]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(raw[i:j], SEED) for i, j in zip(a.tolist(), b.tolist())), np.uint64, len(a))
-    of = owner[begins]
+    return np.fromiter((digest(raw[i:j], SEED) for i, j in zip(a.tolist(), b.tolist())), np.uint64, len(a)), owner[begins]
+
+
+def votes(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The 64-bit fingerprint of each of n texts from the hashes of its shingles."""
+    out = np.zeros(n, np.uint64)
+    if not len(of):
+        return out
     full = np.unique(of)
     edges = np.searchsorted(of, full)
     weight = np.bincount(of, minlength=n)[full]
@@ -65,6 +70,11 @@ def block_fingerprints(offsets: np.ndarray, data: np.ndarray, shingle: int = 3)
     return out
 
 
+def block_fingerprints(offsets: np.ndarray, data: np.ndarray, shingle: int = 3) -> np.ndarray:
+    """The 64-bit fingerprint of each text of a block."""
+    return votes(*shingles(offsets, data, shingle), len(offsets) - 1)
+
+
 def fingerprints(df: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The kept columns and `fp` (the fingerprint's 64 bits as a signed number) of every whole text."""
     return append_columns(df, text_col, keep, "fp bigint", lambda offsets, data: [pa.array(block_fingerprints(offsets, data, shingle).view(np.int64))])
