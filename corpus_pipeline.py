@@ -4,8 +4,9 @@ A stage takes (spark, docs, sf_dir) and works on all that the stage before it ke
 gives the pieces of packed sequences. Learned parts (decision list, language profiles) are fitted anew on each stage's own input,
 on the bounded samples that the operators document.
 
-Defined cases: documents without words go in the first stage. Rows that repeat a doc_id are one document in the third stage. A text
-that repeats elsewhere as a whole is left empty by the fourth stage, not dropped; a character that a cut splits becomes U+FFFD.
+Defined cases: documents without words go in the first stage. In the third, rows without a doc_id are documents, and a doc_id with
+several texts is as many; of near copies the row with the least id stays, one without an id only where none has one. A text that
+repeats elsewhere as a whole is left empty by the fourth stage, not dropped; a character that a cut splits becomes U+FFFD.
 """
 
 from __future__ import annotations

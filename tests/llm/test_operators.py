@@ -537,3 +537,16 @@ def test_large_clusters_of_near_copies():
     other = [np.array(sorted(rng.getrandbits(64) for _ in range(300)), np.uint64) for _ in range(20)]
     found = near_copies.confirmed(near + other)
     assert len(found) == 39 and max(max(x) for x in found) < 40
+
+
+def test_rows_without_an_id_or_with_a_repeated_one_in_the_near_dup_stage(spark):
+    import corpus_pipeline
+
+    rng = random.Random(37)
+    a, b, c, d, e = (text_of(rng, 150, "abcdefghijklmnop") for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, b + " end"), (2, c), (2, d), (2, d), (3, c), (None, e), (None, e + " end"), (4, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows], DOCS)
+    kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    assert len(kept) == 6 and kept[0][0] == 0 and {k[1] for k in kept if not k[0]} in ({a, e}, {a, e + " end"})
+    assert kept[2:] == sorted([(1, b + " end"), (2, c), (2, d), (4, "")])
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0

@@ -6,7 +6,8 @@ that agree in one of BANDS bands of BAND_ROWS least hashes each: at similarity 0
 links come together once, in one task; there pairs of a band that are not yet of one class are compared by their whole sets, and
 only links that the comparison confirms count.
 
-Defined cases: texts without words are one class; fewer words than a shingle are one shingle.
+Defined cases: texts without words are one class; fewer words than a shingle are one shingle. A row is known by all its columns, so
+rows without an id and rows that repeat one with another text are rows of their own.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ def row_key(columns: list[str]) -> Column:
 
 
 def keep_first(df: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each class of near copies the row with the least id."""
+    """Of each class of near copies the row with the least id; one without an id only where none has one."""
     keyed = df.select(*columns, row_key(columns).alias("row_key"))
     each = store(append_columns(keyed, text_col, ["row_key", id_col], "name bigint, fp bigint, keys array<bigint>", described), "near-copies")
     distinct = store(each.where(F.size("keys") > 0).groupBy("name").agg(F.min("row_key").alias("row_key"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near-sets")
@@ -150,5 +151,5 @@ def keep_first(df: DataFrame, columns: list[str], id_col: str = "doc_id", text_c
     texts = keyed.select("row_key", text_col).join(wanted, "row_key").select("cluster", "name", F.col(text_col).alias("text"))
     classes = components(_confirmed_links(texts)).toDF("name", "class")
     rooted = each.select("name", "row_key", id_col).join(classes, "name", "left").withColumn("class", F.coalesce("class", "name"))
-    first = rooted.groupBy("class").agg(F.min(id_col).alias(id_col)).select(id_col)
-    return df.select(*columns).join(first, id_col, "left_semi").dropDuplicates([id_col])
+    first = rooted.groupBy("class").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("row_key"))).alias("least")).select(F.col("least.row_key").alias("row_key"))
+    return keyed.join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*columns)
