@@ -558,7 +558,7 @@ SELECT conv_id AS file_id, CAST(seq AS INT) AS seq, u.text AS text, coalesce(a.t
 def bilingual_left_join(spark, sf_dir):
     def of(role: str) -> DataFrame:
         rows = _table(spark, sf_dir, "conversations").where(F.col("role") == role)
-        return rows.select(F.col("conv_id").alias("file_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("seq"), F.substring("text", 1, 30).alias("text"))
+        return rows.select(F.col("conv_id").alias("file_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("seq"), "text")
 
     return joins.positional_join(of("user"), of("assistant")).select("file_id", "seq", "text", "other")
 
