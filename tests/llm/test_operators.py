@@ -550,3 +550,13 @@ def test_rows_without_an_id_or_with_a_repeated_one_in_the_near_dup_stage(spark):
     assert len(kept) == 6 and kept[0][0] == 0 and {k[1] for k in kept if not k[0]} in ({a, e}, {a, e + " end"})
     assert kept[2:] == sorted([(1, b + " end"), (2, c), (2, d), (4, "")])
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_words_under_a_stem_still_match_misspelled():
+    counts = [(w, False, 40, 0) for w in ("nastyword", "nastyones", "nastytalk")] + [("nasty", True, 120, 0)]
+    terms, stems = toxicity.lexicon_of(counts, 150, 850)
+    assert stems == ["nasty"] and set(terms) == {"nastyword", "nastyones", "nastytalk"}
+    lexicon = toxicity.Lexicon(terms, stems)
+    for word, edits in (("nastywords", 0), ("nstyword", 1), ("nasytalk", 1), ("nastyword", 0)):
+        found, n = lexicon.match(word)
+        assert lexicon.maybe(word) and found >= 0 and n == edits

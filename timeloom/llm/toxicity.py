@@ -26,7 +26,7 @@ from .common import Rolling, SliceCache, append_columns, blocks, bounded_share,
 
 #: Labelled documents that lexicon and model are fitted on at most, on average over a hash sample.
 SAMPLE_ROWS = 20_000
-#: Terms of the lexicon at most, and terms of toxic documents that are weighed for it.
+#: Terms of the lexicon at most (words that a stem covers come on top), and terms of toxic documents that are weighed for it.
 TERMS, CANDIDATES = 400, 50_000
 WINDOW = 8
 STEMS = (4, 5, 6, 7)
@@ -248,7 +248,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 
 
 def lexicon_of(counts: list[tuple[str, bool, int, int]], toxic: int, clean: int, least_ratio: float = 25.0, purity: float = 0.7) -> tuple[list[str], list[str]]:
-    """Words and stems whose likelihood ratio of use in toxic documents is large; a word that a stem covers is left out."""
+    """Words and stems whose likelihood ratio of use in toxic documents is large. Words that a stem covers follow the others, beside
+    the TERMS of those, as a stem takes no misspelling."""
     rate = toxic / max(toxic + clean, 1)
     good = []
     for term, stem, a, b in counts:
@@ -266,8 +267,12 @@ def lexicon_of(counts: list[tuple[str, bool, int, int]], toxic: int, clean: int,
         # a stem says more than its words only if several words share it
         if stem and sum(w.startswith(term) for w in words) >= 3 and not any(term.startswith(s) or s.startswith(term) for s in stems):
             stems.append(term)
-    terms = [t for _, t, stem in good if not stem and not any(t.startswith(s) for s in stems)]
-    return terms[:TERMS], stems[:TERMS]
+    stems = stems[:TERMS]
+    terms, covered = [], []
+    for _, t, stem in good:
+        if not stem:
+            (covered if any(t.startswith(s) for s in stems) else terms).append(t)
+    return terms[:TERMS] + covered, stems
 
 
 def _word_counts(sample: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
