@@ -560,3 +560,7 @@ def test_words_under_a_stem_still_match_misspelled():
     for word, edits in (("nastywords", 0), ("nstyword", 1), ("nasytalk", 1), ("nastyword", 0)):
         found, n = lexicon.match(word)
         assert lexicon.maybe(word) and found >= 0 and n == edits
+
+
+def test_the_toxicity_sample_is_as_large_as_before_the_automaton():
+    assert toxicity.SAMPLE_ROWS == toxicity.learn.__defaults__[0] == 30_000
