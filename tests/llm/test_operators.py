@@ -564,3 +564,19 @@ def test_words_under_a_stem_still_match_misspelled():
 
 def test_the_toxicity_sample_is_as_large_as_before_the_automaton():
     assert toxicity.SAMPLE_ROWS == toxicity.learn.__defaults__[0] == 30_000
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    ids = [20 if i < 60 else 40 if i < 64 else i + 100 for i in range(400)]
+    x[100:140] = x[100]
+    rows = [(i, [float(v) for v in r]) for i, r in zip(ids, x)]
+    rows += [(60, rows[100][1])] * 30 + [(61, rows[100][1])] * 30  # one vector, ids that repeat over k times
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = nearest.search(df, F.col("vec_id").isin(20, 40, 60), k=20, shard_rows=1000).toPandas()
+    for q in (20, 40, 60):
+        pairs = [(-sum(a * b for a, b in zip(u, v)), i) for j, u in rows if j == q for i, v in rows if i != q]
+        want = sorted((round(s, 9), i) for s, i in pairs)[:20]
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21)) and mine["vec_id"].tolist() == [i for _, i in want]

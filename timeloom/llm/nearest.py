@@ -8,7 +8,9 @@ Shards' lists are merged by query.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or a component that is not finite take no part, as queries or
 candidates, nor do rows without an id; vectors of other lengths than a query's are no candidates of it. Rows that repeat a vec_id are candidates each, but
-none of them for a query of that id. Equal vectors are one entry of a tree with the least ids that can count.
+none of them for a query of that id; a query id with several rows asks with each, and its list holds the best pairs of all. Equal
+vectors are one entry of a tree with the least ids that can count: of one id the k least rows at most, and 2 k rows, so that k
+remain without any one id.
 """
 
 from __future__ import annotations
@@ -39,27 +41,33 @@ class Node:
 
 
 class Tree:
-    """Over distinct vectors of one length, with at most `ids_kept` least ids of each."""
+    """Over distinct vectors of one length, with the least ids of each that the k first without any one id can need."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, bound: float, ids_kept: int) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, bound: float, k: int) -> None:
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
         _, first, at = np.unique(vectors.view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
         self.vectors = vectors[first].astype(np.float64)
         self.bound = bound  # largest squared norm of all shards
         self.lift = np.sqrt(np.maximum(bound - (self.vectors**2).sum(axis=1), 0.0))
-        by = np.argsort(at, kind="stable")
+        by = np.argsort(at, kind="stable")  # by vector, then id
+        last_id = ids[by[np.append(np.searchsorted(at[by], np.arange(len(first)))[1:], len(by)) - 1]]
+        change = np.concatenate(([True], (at[by][1:] != at[by][:-1]) | (ids[by][1:] != ids[by][:-1])))
+        of_id = np.arange(len(by)) - np.maximum.accumulate(np.where(change, np.arange(len(by)), 0))
+        by = by[of_id < k]
         begin = np.searchsorted(at[by], np.arange(len(first)))
         within = np.arange(len(by)) - begin[at[by]]
+        ids_kept = 2 * k
         self.ids = np.full((len(first), ids_kept), -1, np.int64)
         self.filled = np.zeros((len(first), ids_kept), bool)
         few = within < ids_kept
         self.ids[at[by][few], within[few]] = ids[by][few]
         self.filled[at[by][few], within[few]] = True
+        self.alone = self.ids[:, 0] == last_id  # one id has all rows
         self.places = np.arange(len(first))
         self.random = np.random.default_rng(1)
         self.root = self._build(0, len(first))
-        self.vectors, self.lift, self.ids, self.filled = self.vectors[self.places], self.lift[self.places], self.ids[self.places], self.filled[self.places]
+        self.vectors, self.lift, self.ids, self.filled, self.alone = (x[self.places] for x in (self.vectors, self.lift, self.ids, self.filled, self.alone))
 
     def _build(self, first: int, last: int) -> Node:
         node = Node(first, last)
@@ -97,6 +105,8 @@ class Tree:
                 return
             if node.near is None:
                 found = queries[q] @ self.vectors[node.first : node.last].T
+                own = self.alone[node.first : node.last] & (self.ids[node.first : node.last, 0] == query_ids[q, None])
+                found[own] = -np.inf
                 better = found.max(axis=1) > scores[q, -1]
                 q, found = q[better], found[better]
                 if not len(q):
@@ -151,7 +161,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, id
         return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     count = F.element_at(F.create_map(*[F.lit(x) for p in shards.items() for x in p]), F.col("dim"))
     own = rows.select("dim", F.pmod(F.xxhash64("id"), count).cast("int").alias("shard"), F.lit(0).alias("turn"), "id", "v")
-    asked = rows.where("asks").dropDuplicates(["id"]).select("dim", F.explode(F.sequence(F.lit(0), count - 1)).alias("shard"), F.lit(1).alias("turn"), "id", "v")
+    asked = rows.where("asks").select("dim", F.explode(F.sequence(F.lit(0), count - 1)).alias("shard"), F.lit(1).alias("turn"), "id", "v")
     dealt = own.unionByName(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +192,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, id
                     vectors.append(matrix)
                     continue
                 if tree is None and ids:
-                    tree = Tree(np.concatenate(ids), np.concatenate(vectors), bounds[int(dims[a])], k + 1)
+                    tree = Tree(np.concatenate(ids), np.concatenate(vectors), bounds[int(dims[a])], k)
                     ids.clear(), vectors.clear()
                 if tree is None:
                     continue
