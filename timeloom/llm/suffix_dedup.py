@@ -1,20 +1,26 @@
 """Removal of long repeated byte strings: run-length index over candidate passages.
 
-A byte goes if a string of LENGTH bytes that covers it also starts anywhere else. Every such string holds an anchor, the
-leftmost least hash among its K-byte strings, and equal strings have equal anchors; so only passages around anchors that the
-corpus holds twice can repeat. Passages that are equal as a whole are put together before any shuffle of text, and repeat as
-they are. Those that share an anchor and differ go to one task, which builds the run-compressed Burrows-Wheeler transform of
-their text with suffix-array samples at both ends of each run. From the samples it streams the matching statistics (longest match
-of every position with any other) and marks those of LENGTH or more. Passages of one anchor that exceed an index are dealt over
-several, and their strings are counted by hash over all, so that no match between two indexes is lost.
-
-Defined cases: a null text counts as empty; texts shorter than LENGTH lose nothing. Rows that repeat a text repeat each other.
-A doc_id that two different texts carry is two documents; rows without one are documents too. An empty table gives no rows. Cutting at bytes can split a character,
-so what is kept is binary.
+A byte goes if a string of `length` bytes that covers it also starts anywhere else. Every such string holds an anchor, the
+leftmost least hash among its strings of a quarter of that length, and equal strings have equal anchors; so only passages around
+anchors that the corpus holds twice can repeat. Passages that are equal as a whole are put together before any shuffle of text,
+and repeat as they are. Those that share an anchor and differ go to one task, which builds the run-compressed Burrows-Wheeler
+transform of their text: symbol and length of each run, and a suffix sample with its match at both ends of each. From the samples
+it streams the matching statistics (longest match of every position with any other) and marks those of `length` or more.
+
+Passages of one anchor that exceed an index are cut finer. Strings are sorted by where the anchor stands in them into SPLIT
+ranges; all strings of one range hold the same middle piece (the core), longer than the anchor, and equal strings lie in one range
+with equal cores. So range and core are the anchor of the next level, where pieces that are alone with their core drop out, equal
+ones are put together again, and the others are indexed or cut once more. After at most log_SPLIT(length) levels a core is a whole
+string. A passage gives SPLIT rows a level, and no group comes together in one task unless it fits one index.
+
+Defined cases: a null text counts as empty; texts shorter than the length lose nothing. Rows that repeat a text repeat each other.
+A doc_id that two different texts carry is two documents; rows without one are documents too. An empty table gives no rows. Cutting
+at bytes can split a character, so what is kept is binary.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,18 +28,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, blocks, small_batches, store
+from .common import Rolling, blocks, mix, small_batches, store
 
-#: Bytes of a string that counts, of an anchor, of text in one index.
-LENGTH, K, INDEX_BYTES = 400, 96, 1_500_000
-ANCHORS = "doc_id bigint, th int, anchor bigint, passage bigint, first int, windows int"
+#: Bytes of a string that counts, of text in one index; ranges that a passage is cut to.
+LENGTH, INDEX_BYTES, SPLIT = 400, 1_500_000, 4
+#: shift: how far the anchor stands behind the start of the first string.
+ANCHORS = "doc_id bigint, th int, anchor bigint, passage bigint, first int, windows int, shift int"
 
 
-def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """(text, anchor, passage hash, first string, strings) for each run of strings of `length` bytes that share an anchor."""
+def anchor_bytes(length: int) -> int:
+    return max(1, length // 4)
+
+
+def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(text, anchor, passage hash, first string, strings, shift) for each run of strings of `length` bytes that share an anchor."""
+    k = anchor_bytes(length)
     n, w = len(data), length - k + 1
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+        return none
     rolling = Rolling(11)
     prefix = rolling.prefix(data)
     at = np.arange(n - k + 1)
@@ -51,95 +64,56 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, k: int
     inside = starts + length <= offsets[owner + 1]
     starts, place, owner = starts[inside], place[inside], owner[inside]
     if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+        return none
     head = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]))))
     count = np.diff(np.append(head, len(starts)))
     first, place, owner = starts[head], place[head], owner[head]
-    return owner, rolling.slices(prefix, place, place + k), rolling.slices(prefix, first, first + count + length - 1), first - offsets[owner], count
+    return owner, rolling.slices(prefix, place, place + k), rolling.slices(prefix, first, first + count + length - 1), first - offsets[owner], count, place - first
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of texts, each closed by an end mark of its own, with samples at run ends."""
+    """Run-compressed Burrows-Wheeler transform of texts, each closed by an end mark of its own, with samples at run ends.
+
+    Kept are the runs (symbol, length) and for the suffix at each run's head and tail its place and its longest match with the
+    neighbour in the other run; suffix array and text are dropped after building.
+    """
 
     def __init__(self, texts: list[bytes]) -> None:
         sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(sizes + 1) - (sizes + 1)
         self.stops = self.starts + sizes
-        self.n = int(sizes.sum()) + len(texts)
-        self.symbols = np.zeros(self.n, np.int64)  # 0: an end mark, else 1 + byte
-        body = np.ones(self.n, bool)
+        n = self.n = int(sizes.sum()) + len(texts)
+        body = np.ones(n, bool)
         body[self.stops] = False
-        raw = np.frombuffer(b"".join(texts), np.uint8)
-        self.symbols[body] = raw.astype(np.int64) + 1
-        self.raw = np.zeros(self.n, np.uint8)
-        self.raw[body] = raw
-        self.left = np.repeat(self.stops, sizes + 1) - np.arange(self.n)  # bytes up to the end mark
-        order = self._sorted(int(sizes.max(initial=0)) + 1)
-        before = np.where(order > 0, self.symbols[order - 1], 0)
-        change = np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] == 0)))
-        heads = np.flatnonzero(change)
-        tails = np.append(heads[1:], self.n) - 1
-        self.runs = len(heads)
-        # samples: the suffix at a run's head with its predecessor, the one at its tail with its successor
-        up = heads[heads > 0]
-        down = tails[tails < self.n - 1]
-        self.head_at, self.head_match = order[up], self._common(order[up], order[up - 1])
-        self.tail_at, self.tail_match = order[down], self._common(order[down], order[down + 1])
-
-    def _sorted(self, depth: int) -> np.ndarray:
-        """The suffix array, by doubling of 7-symbol keys; end marks differ, the earlier one sorts first."""
-        n, step = self.n, 7
-        wide = np.concatenate((self.symbols, np.zeros(step, np.int64)))
-        key = np.zeros(n, np.int64)
-        for i in range(step):
-            key = (key << 9) | np.where(self.left >= i, wide[i : i + n], 0)
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        new = np.concatenate(([True], (sorted_[1:] != sorted_[:-1]) | (self.left[order[1:]] < step)))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        while step < depth and not new.all():
-            # only suffixes whose place is not settled move, within their group
-            single = new & np.append(new[1:], True)
-            open_ = np.flatnonzero(~single)
-            some = order[open_]
-            beyond = np.minimum(some + step, n - 1)
-            pair = rank[some] << 32 | rank[beyond]
-            by = np.argsort(pair)
-            some, pair = some[by], pair[by]
-            order[open_] = some
-            new[open_] = np.concatenate(([True], pair[1:] != pair[:-1]))
-            place = np.maximum.accumulate(np.where(new[open_], open_, 0))
-            rank[some] = place
-            step *= 2
-        return order
-
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the longest common beginning of suffixes, by binary search on hashes of their slices."""
-        rolling = Rolling(13)
-        prefix = rolling.prefix(self.raw)
-        low, high = np.zeros(len(a), np.int64), np.minimum(self.left[a], self.left[b])
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                return low
-            middle = (low[open_] + high[open_] + 1) // 2
-            x, y = a[open_], b[open_]
-            same = rolling.slices(prefix, x, x + middle) == rolling.slices(prefix, y, y + middle)
-            low[open_] = np.where(same, middle, low[open_])
-            high[open_] = np.where(same, high[open_], middle - 1)
+        text = np.zeros(n, np.uint8)
+        text[body] = np.frombuffer(b"".join(texts), np.uint8)
+        symbols = np.where(body, text.astype(np.int64) + 1, 0)  # 0: an end mark, else 1 + byte
+        left = np.repeat(self.stops, sizes + 1) - np.arange(n)  # bytes up to the end mark
+        order = suffix_order(symbols, left, int(sizes.max(initial=0)) + 1)
+        before = np.where(order > 0, symbols[order - 1], 0)
+        heads = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] == 0))))
+        self.run_symbols, self.run_lengths = before[heads].astype(np.int16), np.diff(np.append(heads, n))
+        up, tails = heads[1:], heads[1:] - 1
+        match = common_beginnings(text, left, order[up], order[tails])
+        self.head_at, self.head_match = self._by_place(order[up], match)
+        self.tail_at, self.tail_match = self._by_place(order[tails], match)
+
+    @staticmethod
+    def _by_place(at: np.ndarray, match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by = np.argsort(at)
+        return at[by], match[by]
+
+    @property
+    def runs(self) -> int:
+        return len(self.run_lengths)
 
     def matching_statistics(self) -> np.ndarray:
-        """Longest match of the text at each position with the text at any other: between samples it falls by one a step."""
+        """Longest match of the text at each position with the text at any other: after a sample it falls by one a step."""
         out = np.zeros(self.n, np.int64)
         for at, match in ((self.head_at, self.head_match), (self.tail_at, self.tail_match)):
-            sample = np.full(self.n, -1, np.int64)
-            sample[at] = at
-            length = np.zeros(self.n, np.int64)
-            length[at] = match
-            last = np.maximum.accumulate(sample)
-            known = np.where(last >= 0, length[np.maximum(last, 0)] - (np.arange(self.n) - last), 0)
-            out = np.maximum(out, known)
+            if len(at):
+                known = np.repeat(match + at, np.diff(np.append(at, self.n))) - np.arange(at[0], self.n)
+                np.maximum(out[at[0] :], known, out=out[at[0] :])
         return out
 
     def long_matches(self, length: int) -> list[np.ndarray]:
@@ -148,6 +122,65 @@ class RunLengthIndex:
         return [long[a : max(a, b - length + 1)] for a, b in zip(self.starts.tolist(), self.stops.tolist())]
 
 
+def suffix_order(symbols: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in order, by doubling of 7-symbol keys; end marks differ, the earlier one sorts first."""
+    n, step = len(symbols), 7
+    wide = np.concatenate((symbols, np.zeros(step, np.int64)))
+    key = np.zeros(n, np.int64)
+    for i in range(step):
+        key = (key << 9) | np.where(left >= i, wide[i : i + n], 0)
+    order = np.argsort(key, kind="stable")
+    sorted_ = key[order]
+    new = np.concatenate(([True], (sorted_[1:] != sorted_[:-1]) | (left[order[1:]] < step)))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    while step < depth and not new.all():
+        # only suffixes whose place is not settled move, within their group
+        open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
+        some = order[open_]
+        pair = rank[some] << 32 | rank[np.minimum(some + step, n - 1)]
+        by = np.argsort(pair)
+        some, pair = some[by], pair[by]
+        order[open_] = some
+        new[open_] = np.concatenate(([True], pair[1:] != pair[:-1]))
+        rank[some] = np.maximum.accumulate(np.where(new[open_], open_, 0))
+        step *= 2
+    return order
+
+
+def common_beginnings(text: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common beginning of pairs of suffixes, by binary search on hashes of their slices."""
+    rolling = Rolling(13)
+    prefix = rolling.prefix(text)
+    low, high = np.zeros(len(a), np.int64), np.minimum(left[a], left[b])
+    while len(open_ := np.flatnonzero(low < high)):
+        middle = (low[open_] + high[open_] + 1) // 2
+        x, y = a[open_], b[open_]
+        same = rolling.slices(prefix, x, x + middle) == rolling.slices(prefix, y, y + middle)
+        low[open_] = np.where(same, middle, low[open_])
+        high[open_] = np.where(same, high[open_], middle - 1)
+    return low
+
+
+def pieces(texts: list[bytes], windows: np.ndarray, shift: np.ndarray, anchor: np.ndarray, length: int, step: int) -> tuple[np.ndarray, ...]:
+    """(passage, first string, strings, shift, core hash, hash) of the pieces whose strings lie in one range of `step` shifts."""
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+    most = length - anchor_bytes(length)  # the largest shift
+    low, high = (shift - windows + 1) // step, shift // step
+    count = high - low + 1
+    of = np.repeat(np.arange(len(texts)), count)
+    block = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + low[of]
+    s = shift[of]
+    largest, least = np.minimum(s, (block + 1) * step - 1), np.maximum(s - windows[of] + 1, block * step)
+    rolling = Rolling(19)
+    prefix = rolling.prefix(np.frombuffer(b"".join(texts), np.uint8))
+    base = offsets[of] + s
+    core = rolling.slices(prefix, base - block * step, base - np.minimum((block + 1) * step - 1, most) + length)
+    core = mix(core ^ mix(anchor[of].view(np.uint64) + block.astype(np.uint64)))
+    whole = rolling.slices(prefix, base - largest, base - least + length)
+    return of, s - largest, largest - least + 1, largest, core.view(np.int64), whole.view(np.int64)
+
+
 def ranges(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and number of each run of marks."""
     edges = np.diff(np.concatenate(([0], marks.astype(np.int8), [0])))
@@ -169,90 +202,149 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             ids, th = batch.column(0), batch.column(1)
             for at, offsets, data in blocks(batch.column(2)):
-                owner, anchor, passage, first, count = anchors(offsets, data, length)
+                owner, anchor, passage, first, count, shift = anchors(offsets, data, length)
                 mine = pa.array(owner + at)
-                yield pa.RecordBatch.from_arrays([ids.take(mine), th.take(mine), pa.array(anchor.view(np.int64)), pa.array(passage.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], names=[x.split()[0] for x in ANCHORS.split(", ")])
+                yield pa.RecordBatch.from_arrays([ids.take(mine), th.take(mine), pa.array(anchor.view(np.int64)), pa.array(passage.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (first, count, shift))], names=[x.split()[0] for x in ANCHORS.split(", ")])
 
     return small_batches(rows).mapInArrow(run, ANCHORS)
 
 
-FOUND = "doc_id bigint, th int, first int, windows int, anchor bigint, hash bigint"
+#: A run of strings that repeat (anchor null), or a piece of a passage for the next level. single: its strings may need a mark.
+FOUND = "doc_id bigint, th int, first int, windows int, shift int, single boolean, anchor bigint, passage bigint, passage_text binary"
+_FOUND_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+_ASKED = ["doc_id", "th", "first", "windows", "shift", "single", "anchor", "part", "parts", "passage_text"]
+
+
+def _matched(texts: DataFrame, length: int, index_bytes: int, step: int) -> DataFrame:
+    """Runs of strings that repeat within their group, by its index; of groups beyond one index the pieces of the next level."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
+
+    def batch_of(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _FOUND_KINDS)], names=names)
 
+    def columns(held: list[tuple]) -> tuple[np.ndarray, ...]:
+        numbers = np.array([x[:5] for x in held], np.int64)
+        return *numbers.T, np.array([x[5] for x in held], bool), np.array([x[6] for x in held], np.int64), [x[-1] for x in held]
 
-def _indexed(passages: DataFrame, length: int, index_bytes: int) -> DataFrame:
-    """Runs of strings that repeat in their index (hash null); and each string of groups dealt over several, with its hash."""
+    def cut(held: list[tuple]) -> pa.RecordBatch:
+        doc, th, first, windows, shift, single, anchor, text = columns(held)
+        of, begin, n, to, core, whole = pieces(text, windows, shift, anchor, length, step)
+        part = [text[i][a : a + m + length - 1] for i, a, m in zip(of.tolist(), begin.tolist(), n.tolist())]
+        return batch_of([doc[of], th[of], first[of] + begin, n, to, single[of], core, whole, part])
 
     def answer(held: list[tuple]) -> pa.RecordBatch:
-        index = RunLengthIndex([x[-1] for x in held])
-        out: list[tuple] = []
-        rolling = Rolling(17)
-        for (doc, th, first, anchor, parts, copies, text), marks in zip(held, index.long_matches(length)):
-            if copies == 1:
-                for a, n in zip(*ranges(marks)):
-                    out.append((doc, th, first + int(a), int(n), anchor, None))
-            if parts > 1:
-                data = np.frombuffer(text, np.uint8)
-                prefix, at = rolling.prefix(data), np.arange(len(marks))
-                hashes = rolling.slices(prefix, at, at + length).view(np.int64).tolist()
-                for weight in range(min(copies, 2)):
-                    out += [(doc, th, first + i, weight, anchor, h) for i, h in enumerate(hashes)]
-        columns = list(zip(*out)) if out else [[]] * 6
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in FOUND.split(", ")])
+        doc, th, first, windows, shift, single, anchor, text = columns(held)
+        # strings of a range whose core no other passage holds cannot repeat, so their bytes stay out of the index
+        of, begin, n, _, core, _ = pieces(text, windows, shift, anchor, length, step)
+        _, at, count = np.unique(core, return_inverse=True, return_counts=True)
+        open_ = np.flatnonzero(count[at] > 1)
+        if not len(open_):
+            return batch_of([[]] * 9)
+        mine, head = np.unique(of[open_], return_index=True)
+        tail = np.append(head[1:], len(open_)) - 1
+        low, high = begin[open_[tail]], begin[open_[head]] + n[open_[head]]
+        low, high = np.minimum(low, begin[open_[head]]), np.maximum(high, begin[open_[tail]] + n[open_[tail]])
+        index = RunLengthIndex([text[i][a : b + length - 1] for i, a, b in zip(mine.tolist(), low.tolist(), high.tolist())])
+        out: list[list] = [[], [], []]
+        for i, a, marks in zip(mine.tolist(), low.tolist(), index.long_matches(length)):
+            if single[i]:
+                begins, sizes = ranges(marks)
+                out[0] += [i] * len(begins)
+                out[1] += (begins + (first[i] + a)).tolist()
+                out[2] += sizes.tolist()
+        who = np.array(out[0], np.int64)
+        empty = [None] * len(who)
+        return batch_of([doc[who], th[who], out[1], out[2], empty, empty, empty, empty, empty])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, here = 0, None
+        large: list[tuple] = []
+        size, beyond, here = 0, 0, None
         for batch in batches:
-            for doc, th, first, anchor, part, parts, copies, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= index_bytes and (anchor, part) != here:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                anchor, parts, text = row[6], row[8], row[-1]
+                if parts > 1:
+                    large.append(row)
+                    beyond += len(text)
+                    if beyond >= index_bytes:
+                        yield cut(large)
+                        large, beyond = [], 0
+                    continue
+                if size >= index_bytes and anchor != here:
                     yield answer(held)
                     held, size = [], 0
-                here = (anchor, part)
-                held.append((doc, th, first, anchor, parts, copies, text))
+                here = anchor
+                held.append(row)
                 size += len(text)
         if held:
             yield answer(held)
+        if large:
+            yield cut(large)
 
-    dealt = passages.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.select("doc_id", "th", "first", "anchor", "part", "parts", "copies", "passage_text").mapInArrow(run, FOUND)
+    dealt = texts.select(*_ASKED).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    return dealt.mapInArrow(run, FOUND)
+
+
+def _grouped(candidates: DataFrame, length: int, index_bytes: int, more: list) -> tuple[DataFrame, DataFrame]:
+    """Different passages with copies and one place of each (and `more`), and the anchors that different ones share, with parts."""
+    one = F.struct("doc_id", "th", "first", "windows", "shift", "single")
+    passages = store(candidates.groupBy("anchor", "passage").agg(F.count("*").alias("copies"), F.min(one).alias("one"), *more), "passages")
+    alone = (F.col("copies") == 1) & F.col("one.single")
+    groups = passages.groupBy("anchor").agg(F.count("*").alias("different"), F.count_if(alone).alias("alone"), F.sum(F.col("one.windows") + length).alias("bytes"))
+    groups = groups.where((F.col("different") > 1) & (F.col("alone") > 0)).select("anchor", F.ceil(F.col("bytes") / index_bytes).cast("int").alias("parts"))
+    return passages, store(groups, "groups")
+
+
+def _wanted(passages: DataFrame, groups: DataFrame) -> DataFrame:
+    """Passages that have to be compared; those put together with an equal one are partners only."""
+    part = F.pmod(F.col("passage"), F.col("parts")).cast("int")
+    wanted = passages.join(groups, "anchor").select("*", part.alias("part"))
+    single = (F.col("copies") == 1) & F.col("one.single")
+    place = [F.col(f"one.{c}").alias(c) for c in ("doc_id", "th", "first", "windows", "shift")]
+    return wanted.withColumns({"single": single}).select(*place, "single", "anchor", "part", "parts", *[c for c in passages.columns if c == "passage_text"])
+
+
+MARKS = ["doc_id", "th", "first", "windows"]
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """Rows (doc_id, th, spans): for each document that loses bytes the maximal runs [start, bytes], in order."""
+    """Rows (doc_id, th, spans): for each document that loses bytes the runs [start, end] of its strings that repeat, in order."""
     rows = _rows(docs, id_col, text_col)
-    all_anchors = _anchor_rows(rows, length)
+    all_anchors = store(_anchor_rows(rows, length), "all-anchors")
     # kept as a table: a join of two plain exchanges is one whose hot anchors adaptive execution can split
     twice = store(all_anchors.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "repeated-anchors")
-    candidates = store(all_anchors.join(twice, "anchor", "left_semi"), "anchors")
-    passages = candidates.groupBy("anchor", "passage").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "first", "windows")).alias("one"))
-    passages = store(passages, "passages")
-    groups = passages.groupBy("anchor").agg(F.count("*").alias("different"), F.count_if(F.col("copies") == 1).alias("single"), F.sum(F.col("one.windows") + length).alias("bytes"))
-    groups = groups.where((F.col("different") > 1) & (F.col("single") > 0)).select("anchor", F.ceil(F.col("bytes") / index_bytes).cast("int").alias("parts"))
-    groups = store(groups, "groups")
-    wanted = passages.join(groups, "anchor").select("anchor", "passage", "copies", "parts", "one.*", F.pmod(F.col("passage"), F.col("parts")).alias("part"))
-
-    # text of one copy of each passage that has to be compared
-    asked = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "passage", "first", "windows", "part", "parts", "copies")).alias("asked"))
-    both = rows.join(asked, ["doc_id", "th"]).select("doc_id", "th", F.inline("asked"), F.encode("text", "utf-8").alias("bytes"))
-    # substring of the bytes: JVM-side, one slice for each passage
-    texts = both.select("doc_id", "th", "first", "anchor", "passage", "part", "parts", "copies", F.substring("bytes", F.col("first") + 1, F.col("windows") + length - 1).alias("passage_text"))
-    found = store(_indexed(texts.dropDuplicates(["anchor", "passage"]), length, index_bytes), "matches")
-
-    equal = candidates.join(passages.where(F.col("copies") > 1).select("anchor", "passage"), ["anchor", "passage"], "left_semi").select("doc_id", "th", "first", "windows")
-    within = found.where(F.col("hash").isNull()).select("doc_id", "th", "first", "windows")
-    counted = found.where(F.col("hash").isNotNull())
-    across = counted.groupBy("anchor", "hash").count().where(F.col("count") > 1)
-    across = counted.join(across, ["anchor", "hash"], "left_semi").select("doc_id", "th", "first", F.lit(1).alias("windows"))
-    marks = equal.unionByName(within).unionByName(across)
-    # runs of covered bytes: sorted, then joined where they touch
+    candidates = store(all_anchors.join(twice, "anchor", "left_semi").withColumn("single", F.lit(True)), "anchors")
+    passages, groups = _grouped(candidates, length, index_bytes, [])
+
+    # text of one copy of each passage that has to be compared; substring of the bytes: JVM-side, one slice for each passage
+    places = _wanted(passages, groups)
+    asked = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*[c for c in places.columns if c not in ("doc_id", "th")])).alias("asked"))
+    one_each = rows.join(asked, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    cut_out = F.substring("bytes", F.col("first") + 1, F.col("windows") + length - 1)
+    texts = one_each.select("doc_id", "th", F.inline("asked"), F.encode("text", "utf-8").alias("bytes")).withColumn("passage_text", cut_out)
+
+    step, marks = length - anchor_bytes(length) + 1, []
+    while True:
+        step = -(-step // SPLIT)
+        found = store(_matched(texts, length, index_bytes, step), "matches")
+        equal = candidates.where("single").join(passages.where(F.col("copies") > 1).select("anchor", "passage"), ["anchor", "passage"], "left_semi")
+        marks += [equal.select(*MARKS), found.where(F.col("anchor").isNull()).select(*MARKS)]
+        if groups.where(F.col("parts") > 1).isEmpty():
+            break
+        candidates = found.where(F.col("anchor").isNotNull())
+        passages, groups = _grouped(candidates, length, index_bytes, [F.any_value("passage_text").alias("passage_text")])
+        texts = _wanted(passages, groups)
+    all_marks = functools.reduce(DataFrame.unionByName, marks)
+    # strings in order of their start; what they cover is put together where it is cut
     sorted_ = F.array_sort(F.collect_set(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("windows") + (length - 1)).alias("b"))))
-    runs = marks.groupBy("doc_id", "th").agg(sorted_.alias("runs"))
-    return runs.select("doc_id", "th", F.col("runs").alias("spans"))
+    return all_marks.groupBy("doc_id", "th").agg(sorted_.alias("spans"))
+
 
+def remove(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, index_bytes: int = INDEX_BYTES, least_words: int = 0) -> DataFrame:
+    """The kept columns, n_bytes, n_removed, n_spans, spans (binary: start and end of each run, 64 bits) and kept_bytes.
 
-def remove(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The kept columns, n_bytes, n_removed, n_spans, spans (binary: start and end of each run, 64 bits) and kept_bytes."""
+    least_words: a maximal run with fewer words stays.
+    """
     spans = repeated(docs, id_col, text_col, length, index_bytes)
     keep = [c for c in keep if c not in ("n_bytes", "n_removed", "n_spans", "spans", "kept_bytes")]
     rows = docs.select(_key(id_col).alias("_id"), F.hash(text_col).alias("_th"), F.struct(*keep).alias("_kept"), F.col(text_col).alias("_text"))
@@ -272,6 +364,13 @@ def remove(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: s
                         gone[x["b"]] -= 1
                     gone = np.cumsum(gone[:-1]) > 0
                     first, size = ranges(gone)
+                    if least_words and len(first):
+                        enough = np.array([len(text[a : a + n].tobytes().split()) >= least_words for a, n in zip(first.tolist(), size.tolist())])
+                        first, size = first[enough], size[enough]
+                        gone = np.zeros(len(text) + 1, np.int8)
+                        np.add.at(gone, first, 1)
+                        np.add.at(gone, first + size, -1)
+                        gone = np.cumsum(gone[:-1]) > 0
                     removed.append(int(size.sum()))
                     number.append(len(first))
                     spans_out.append(np.column_stack([first, first + size]).astype("<i8").tobytes())
