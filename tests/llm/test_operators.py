@@ -325,6 +325,36 @@ def test_repeated_strings_go(spark, index_bytes):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept_bytes"])) == (n, gone, spans, kept), i
 
 
+@pytest.mark.parametrize("index_bytes", [300, 5000])
+def test_hot_passages_and_near_copies_are_cut_finer(spark, index_bytes):
+    """One passage a little shorter than the length in most texts, and a group of near copies: many texts at one anchor."""
+    rng = random.Random(29)
+    common, base = text_of(rng, 30)[:59], text_of(rng, 60)
+    texts = [text_of(rng, 12) + common + text_of(rng, 12) for _ in range(60)]
+    for _ in range(40):
+        at = rng.randrange(len(base))
+        texts.append(base[:at] + "#" + base[at + 1 :])
+    got = {r["doc_id"]: r for r in suffix_dedup.remove(documents(spark, texts), ["doc_id"], length=64, index_bytes=index_bytes).collect()}
+    for i, (n, gone, spans, kept) in enumerate(removed(texts, 64)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept_bytes"])) == (n, gone, spans, kept), i
+
+
+def test_passages_beside_long_strings(spark):
+    rng = random.Random(31)
+    words_of = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    shared, short, long = words_of(53), words_of(45), words_of(200)
+    texts = [words_of(30) + " " + x + " " + words_of(30) for x in (shared, shared, short, short, long, long)] + [None, "", words_of(300)]
+    docs = documents(spark, texts).withColumn("n_passages", F.lit("clash"))
+    both = {r["doc_id"]: r for r in suffix_dedup.remove(docs, ["doc_id", "n_passages"], passage=(200, 51)).collect()}
+    alone = {r["doc_id"]: r for r in suffix_dedup.remove(docs, ["doc_id"], length=None, passage=(200, 51)).collect()}
+    for i, (n, gone, spans, kept) in enumerate(removed(texts, 400)):
+        assert (both[i]["n_bytes"], both[i]["n_removed"], both[i]["n_spans"], bytes(both[i]["kept_bytes"])) == (n, gone, spans, kept), i
+        assert [both[i][c] for c in ("n_passages", "passage_bytes", "kept_passages")] == [alone[i][c] for c in ("n_passages", "passage_bytes", "kept_passages")]
+    want = removed(texts, 200)
+    assert [alone[i]["passage_bytes"] for i in range(9)] == [want[0][1], want[1][1], 0, 0, want[4][1], want[5][1], 0, 0, 0]
+    assert shared.encode() not in bytes(alone[0]["kept_passages"]) and bytes(alone[2]["kept_passages"]) == texts[2].encode()
+
+
 def test_repeated_rows_and_ids(spark):
     rng = random.Random(17)
     a, b = text_of(rng, 200), text_of(rng, 200)

@@ -32,6 +32,8 @@ from .common import Rolling, blocks, mix, small_batches, store
 
 #: Bytes of a string that counts, of text in one index; ranges that a passage is cut to.
 LENGTH, INDEX_BYTES, SPLIT = 400, 1_500_000, 4
+#: Bytes and words of a passage: over 50 words, which seldom take less than 200 bytes.
+PASSAGE = (200, 51)
 #: shift: how far the anchor stands behind the start of the first string.
 ANCHORS = "doc_id bigint, th int, anchor bigint, passage bigint, first int, windows int, shift int"
 
@@ -307,9 +309,8 @@ def _wanted(passages: DataFrame, groups: DataFrame) -> DataFrame:
 MARKS = ["doc_id", "th", "first", "windows"]
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """Rows (doc_id, th, spans): for each document that loses bytes the runs [start, end] of its strings that repeat, in order."""
-    rows = _rows(docs, id_col, text_col)
+def repeated(rows: DataFrame, length: int, index_bytes: int) -> DataFrame:
+    """Rows (doc_id, th, spans) from rows of _rows: for each document the runs [a, b] of its strings that repeat, in order."""
     all_anchors = store(_anchor_rows(rows, length), "all-anchors")
     # kept as a table: a join of two plain exchanges is one whose hot anchors adaptive execution can split
     twice = store(all_anchors.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "repeated-anchors")
@@ -340,42 +341,75 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     return all_marks.groupBy("doc_id", "th").agg(sorted_.alias("spans"))
 
 
-def remove(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, index_bytes: int = INDEX_BYTES, least_words: int = 0) -> DataFrame:
-    """The kept columns, n_bytes, n_removed, n_spans, spans (binary: start and end of each run, 64 bits) and kept_bytes.
+def _runs(spans: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and number of the maximal runs of bytes that spans cover."""
+    gone = np.zeros(n + 1, np.int64)
+    for x in spans:
+        gone[x["a"]] += 1
+        gone[x["b"]] -= 1
+    return ranges(np.cumsum(gone[:-1]) > 0)
+
+
+def _without(text: np.ndarray, first: np.ndarray, size: np.ndarray) -> bytes:
+    raw, at = text.tobytes(), 0
+    kept = []
+    for a, n in zip(first.tolist(), size.tolist()):
+        kept.append(raw[at:a])
+        at = a + n
+    return b"".join([*kept, raw[at:]])
+
+
+#: Columns of the result for strings of `length`, and those for passages.
+CUT = "n_bytes bigint, n_removed bigint, n_spans bigint, spans binary, kept_bytes binary"
+PASSAGE_CUT = "n_passages bigint, passage_bytes bigint, kept_passages binary"
 
-    least_words: a maximal run with fewer words stays.
+
+def remove(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", length: int | None = LENGTH, index_bytes: int = INDEX_BYTES, passage: tuple[int, int] | None = None) -> DataFrame:
+    """The kept columns; n_bytes, n_removed, n_spans, spans (binary: start and end of each run, 64 bits) and kept_bytes.
+
+    passage: (bytes, words) of what counts as a passage, for texts whose repeats are shorter than `length`: maximal runs of
+    repeated strings of so many bytes go if they hold so many words at least. It adds n_passages, passage_bytes (how many
+    go) and kept_passages (what is left); without a length only these are given. A repeated string of `length` lies in a run
+    of shorter ones, so with both only texts with long enough runs are searched again.
     """
-    spans = repeated(docs, id_col, text_col, length, index_bytes)
-    keep = [c for c in keep if c not in ("n_bytes", "n_removed", "n_spans", "spans", "kept_bytes")]
-    rows = docs.select(_key(id_col).alias("_id"), F.hash(text_col).alias("_th"), F.struct(*keep).alias("_kept"), F.col(text_col).alias("_text"))
-    joined = rows.join(spans.withColumnsRenamed({"doc_id": "_id", "th": "_th"}), ["_id", "_th"], "left").select("_kept", "_text", "spans")
+    rows = _rows(docs, id_col, text_col)
+    found = None
+    if passage:
+        found = repeated(rows, passage[0], index_bytes).withColumnRenamed("spans", "passages")
+        if length and passage[0] <= length:
+            found = store(found, "passages-of-texts")
+            reach = F.array_max(F.transform("passages", lambda x: x["b"])) - F.element_at("passages", 1)["a"]
+            rows = store(rows.join(found.where(reach >= length).select("doc_id", "th"), ["doc_id", "th"], "left_semi"), "long-passages")
+    if length:
+        spans = repeated(rows, length, index_bytes)
+        found = spans if found is None else found.join(spans, ["doc_id", "th"], "full")
+    schema = ", ".join([CUT] * bool(length) + [PASSAGE_CUT] * bool(passage))
+    names = [x.split()[0] for x in schema.split(", ")]
+    keep = [c for c in keep if c not in names]
+    texts = docs.select(_key(id_col).alias("_id"), F.hash(text_col).alias("_th"), F.struct(*keep).alias("_kept"), F.col(text_col).alias("_text"))
+    none = F.lit(None).cast("array<struct<a:int,b:int>>")
+    both = found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), *[(F.col(c) if c in found.columns else none).alias(c) for c in ("spans", "passages")])
+    joined = texts.join(both, ["_id", "_th"], "left").select("_kept", "_text", "spans", "passages")
     kept_type = joined.schema["_kept"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, offsets, data in blocks(batch.column(1)):
                 n = len(offsets) - 1
-                removed, number, spans_out, left = [], [], [], []
-                for i, found in enumerate(batch.column(2).slice(at, n).to_pylist()):
+                out: list[tuple] = []
+                for i, (spans, passages) in enumerate(zip(*(batch.column(c).slice(at, n).to_pylist() for c in (2, 3)))):
                     text = data[offsets[i] : offsets[i + 1]]
-                    gone = np.zeros(len(text) + 1, np.int64)
-                    for x in found or ():
-                        gone[x["a"]] += 1
-                        gone[x["b"]] -= 1
-                    gone = np.cumsum(gone[:-1]) > 0
-                    first, size = ranges(gone)
-                    if least_words and len(first):
-                        enough = np.array([len(text[a : a + n].tobytes().split()) >= least_words for a, n in zip(first.tolist(), size.tolist())])
+                    row: tuple = ()
+                    if length:
+                        first, size = _runs(spans or (), len(text))
+                        row += (len(text), int(size.sum()), len(first), np.column_stack([first, first + size]).astype("<i8").tobytes(), _without(text, first, size))
+                    if passage:
+                        first, size = _runs(passages or (), len(text))
+                        enough = np.array([len(text[a : a + m].tobytes().split()) >= passage[1] for a, m in zip(first.tolist(), size.tolist())], bool)
                         first, size = first[enough], size[enough]
-                        gone = np.zeros(len(text) + 1, np.int8)
-                        np.add.at(gone, first, 1)
-                        np.add.at(gone, first + size, -1)
-                        gone = np.cumsum(gone[:-1]) > 0
-                    removed.append(int(size.sum()))
-                    number.append(len(first))
-                    spans_out.append(np.column_stack([first, first + size]).astype("<i8").tobytes())
-                    left.append(text[~gone].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(spans_out, pa.binary()), pa.array(left, pa.binary())], names=["_kept", "n_bytes", "n_removed", "n_spans", "spans", "kept_bytes"])
-
-    out = joined.mapInArrow(run, f"_kept {kept_type}, n_bytes bigint, n_removed bigint, n_spans bigint, spans binary, kept_bytes binary")
-    return out.select("_kept.*", "n_bytes", "n_removed", "n_spans", "spans", "kept_bytes")
+                        row += (len(first), int(size.sum()), _without(text, first, size))
+                    out.append(row)
+                kinds = [pa.binary() if x.endswith("binary") else pa.int64() for x in schema.split(", ")]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=["_kept", *names])
+
+    return joined.mapInArrow(run, f"_kept {kept_type}, {schema}").select("_kept.*", *names)
