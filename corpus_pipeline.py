@@ -40,9 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of long strings that stand anywhere else as well are cut out."""
-    rows = suffix_dedup.remove(docs, ["doc_id", "lang", "source"])
-    text = F.make_valid_utf8(F.col("kept_bytes").cast("string"))
+    """Passages of over 50 words (200 bytes at least) that stand anywhere else as well are cut out."""
+    rows = suffix_dedup.remove(docs, ["doc_id", "lang", "source"], length=None, passage=suffix_dedup.PASSAGE)
+    text = F.make_valid_utf8(F.col("kept_passages").cast("string"))
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
