@@ -38,10 +38,10 @@ class Rule:
 
     @property
     def pattern(self) -> str:
-        """Over host, a line break and path."""
+        """Over host, a slash, which no host holds, and path."""
         path = ".*".join(re.sub(r"([^A-Za-z0-9])", r"\\\1", part) for part in self.path.split("*"))
         host = re.sub(r"([^A-Za-z0-9])", r"\\\1", self.host)
-        return rf"(?s)^(?:[^\n]*\.)?{host}\n{path}" if self.host else rf"(?s)^[^\n]*\n{path}"
+        return rf"(?s)^(?:[^/]*\.)?{host}/{path}" if self.host else rf"(?s)^[^/]*/{path}"
 
     @property
     def tokens(self) -> list[str]:
@@ -64,7 +64,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.concat(host, F.lit("\n"), path), F.lit(f"({_TOKEN})"), 1))
+    return F.array_distinct(F.regexp_extract_all(F.concat(host, F.lit("/"), path), F.lit(f"({_TOKEN})"), 1))
 
 
 def token_counts(urls: DataFrame, tokens: list[str]) -> DataFrame:
@@ -112,7 +112,7 @@ def _inline(urls: DataFrame, rules: list[Rule], index: dict[str, list[int]]) ->
         literal = F.create_map(*entries)
         hits = F.filter(F.transform("tokens", lambda t: F.element_at(literal, t)), lambda x: x.isNotNull())
         found = F.concat(found, F.flatten(hits)) if always else F.flatten(hits)
-    whole = F.concat("host", F.lit("\n"), "path")
+    whole = F.concat("host", F.lit("/"), "path")
     urls = urls.withColumn("candidates", found)
     fit = F.filter("candidates", lambda c: F.call_function("rlike", whole, c["pattern"]))
     return urls.withColumn("n_candidates", F.size("candidates")).withColumn("best", F.array_max(fit))
@@ -126,6 +126,6 @@ def _joined(urls: DataFrame, rules: list[Rule], index: dict[str, list[int]]) ->
     distinct = urls.select("host", "path").distinct()
     asked = distinct.select("host", "path", F.explode(F.concat(url_tokens(F.col("host"), F.col("path")), F.array(F.lit("")))).alias("token"))
     pairs = asked.join(known, "token")
-    fits = F.call_function("rlike", F.concat("host", F.lit("\n"), "path"), F.col("c.pattern"))
+    fits = F.call_function("rlike", F.concat("host", F.lit("/"), "path"), F.col("c.pattern"))
     judged = pairs.groupBy("host", "path").agg(F.max(F.when(fits, F.col("c"))).alias("best"), F.count("*").cast("int").alias("n_candidates"))
     return urls.join(judged, ["host", "path"], "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
