@@ -51,7 +51,6 @@ class Tree:
         self.bound = bound  # largest squared norm of all shards
         self.lift = np.sqrt(np.maximum(bound - (self.vectors**2).sum(axis=1), 0.0))
         by = np.argsort(at, kind="stable")  # by vector, then id
-        last_id = ids[by[np.append(np.searchsorted(at[by], np.arange(len(first)))[1:], len(by)) - 1]]
         change = np.concatenate(([True], (at[by][1:] != at[by][:-1]) | (ids[by][1:] != ids[by][:-1])))
         of_id = np.arange(len(by)) - np.maximum.accumulate(np.where(change, np.arange(len(by)), 0))
         by = by[of_id < k]
@@ -63,11 +62,10 @@ class Tree:
         few = within < ids_kept
         self.ids[at[by][few], within[few]] = ids[by][few]
         self.filled[at[by][few], within[few]] = True
-        self.alone = self.ids[:, 0] == last_id  # one id has all rows
         self.places = np.arange(len(first))
         self.random = np.random.default_rng(1)
         self.root = self._build(0, len(first))
-        self.vectors, self.lift, self.ids, self.filled, self.alone = (x[self.places] for x in (self.vectors, self.lift, self.ids, self.filled, self.alone))
+        self.vectors, self.lift, self.ids, self.filled = (x[self.places] for x in (self.vectors, self.lift, self.ids, self.filled))
 
     def _build(self, first: int, last: int) -> Node:
         node = Node(first, last)
@@ -88,60 +86,70 @@ class Tree:
         return node
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query its id, and ids and scores of the k best of the shard, without rows of its own id."""
+        """For each query its id, and ids and scores of the k best of the shard, ties to the smaller id, without rows of its own id.
+
+        Products of a leaf come from one matrix product; what may be among the best within its rounding is scored exactly, and
+        the lists hold exact scores only. So of vectors with equal scores the least ids stay, whichever leaf they are in.
+        """
         queries = queries.astype(np.float64)
-        keep = k + 1
-        scores = np.full((len(queries), keep), -np.inf)
-        places = np.full((len(queries), keep), -1, np.int64)
+        scores = np.full((len(queries), k), -np.inf)
+        found_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
         base = (queries**2).sum(axis=1) + self.bound
+        slack = 8 * queries.shape[1] * np.finfo(float).eps * base
         unsorted = np.empty_like(self.places)
         unsorted[self.places] = np.arange(len(self.places))
 
         def worst(q: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(base[q] - 2 * scores[q, -1], 0.0))
+            # distances that cancel to nothing are wrong by the root of the rounding
+            return np.sqrt(np.maximum(base[q] - 2 * scores[q, -1], 0.0)) + np.sqrt(slack[q])
+
+        def exact(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+            """The measure itself, component by component, so that it depends on nothing but the two vectors."""
+            out = np.zeros(len(q))
+            for d in range(queries.shape[1]):
+                out += self.vectors[p, d] * queries[q, d]
+            return out
+
+        def leaf(node: Node, q: np.ndarray) -> None:
+            product = queries[q] @ self.vectors[node.first : node.last].T
+            row, place = np.nonzero(product >= (scores[q, -1] - slack[q])[:, None])
+            if not len(row):
+                return
+            place = place + node.first
+            score = exact(q[row], place)
+            some = self.filled[place] & (self.ids[place] != query_ids[q[row], None]) & (score >= scores[q[row], -1])[:, None]
+            entry, at = np.nonzero(some)
+            changed = np.unique(row[entry])
+            mine = q[changed]
+            # the lists so far and what is new, best first within each query; the k first of each are the lists from now on
+            owner = np.concatenate((np.repeat(np.arange(len(mine)), k), np.searchsorted(changed, row[entry])))
+            all_scores = np.concatenate((scores[mine].ravel(), score[entry]))
+            all_ids = np.concatenate((found_ids[mine].ravel(), self.ids[place[entry], at]))
+            by = np.lexsort((all_ids, -all_scores, owner))
+            first = np.searchsorted(owner[by], np.arange(len(mine)))
+            top = by[first[:, None] + np.arange(k)]
+            scores[mine], found_ids[mine] = all_scores[top], all_ids[top]
 
         def visit(node: Node, q: np.ndarray) -> None:
             if not len(q):
                 return
             if node.near is None:
-                found = queries[q] @ self.vectors[node.first : node.last].T
-                own = self.alone[node.first : node.last] & (self.ids[node.first : node.last, 0] == query_ids[q, None])
-                found[own] = -np.inf
-                better = found.max(axis=1) > scores[q, -1]
-                q, found = q[better], found[better]
-                if not len(q):
-                    return
-                every = np.concatenate((scores[q], found), axis=1)
-                which = np.concatenate((places[q], np.broadcast_to(np.arange(node.first, node.last), found.shape)), axis=1)
-                top = np.argpartition(-every, keep - 1, axis=1)[:, :keep]
-                some = np.take_along_axis(every, top, axis=1)
-                order = np.argsort(-some, axis=1, kind="stable")
-                scores[q] = np.take_along_axis(some, order, axis=1)
-                places[q] = np.take_along_axis(np.take_along_axis(which, top, axis=1), order, axis=1)
-                return
+                return leaf(node, q)
             v = unsorted[node.vantage]
             d = np.sqrt(np.maximum(base[q] - 2 * (queries[q] @ self.vectors[v]), 0.0))
             near_first = d <= (node.near_range[1] + node.far_range[0]) / 2
             least = {}
             for child, (low, high) in ((0, node.near_range), (1, node.far_range)):
-                least[child] = np.maximum(np.maximum(low - d, d - high), 0.0)
+                least[child] = np.maximum(np.maximum(low - d, d - high), 0.0) - np.sqrt(slack[q])
             for child, turn in ((0, near_first), (1, ~near_first), (1, near_first), (0, ~near_first)):
                 some = np.flatnonzero(turn)
                 some = some[least[child][some] * factor <= worst(q[some])]
                 visit(node.near if child == 0 else node.far, q[some])
 
         visit(self.root, np.arange(len(queries)))
-        # the measure itself, component by component, so that it depends on nothing but the two vectors
-        exact_of = np.zeros(places.shape)
-        found = self.vectors[np.maximum(places, 0)]
-        for d in range(queries.shape[1]):
-            exact_of += found[:, :, d] * queries[:, d, None]
-        for i, own in enumerate(query_ids.tolist()):
-            p, exact = places[i][places[i] >= 0], exact_of[i][places[i] >= 0]
-            some = self.filled[p] & (self.ids[p] != own)
-            ids, score = self.ids[p][some], np.broadcast_to(exact[:, None], some.shape)[some]
-            top = np.lexsort((ids, -score))[:k]
-            yield own, ids[top], score[top]
+        for own, ids, score in zip(query_ids.tolist(), found_ids, scores):
+            n = int((score > -np.inf).sum())
+            yield own, ids[:n], score[:n]
 
 
 def usable(vector: Column) -> Column:
