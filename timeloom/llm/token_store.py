@@ -1,25 +1,32 @@
 """Token ids in files: ranks by frequency, byte-aligned variable lengths, control bytes apart from data bytes.
 
 Ids get ranks by how often the corpus holds them, so frequent ids need one byte. Four ranks share a control byte with two bits
-for the length of each (one to four bytes); data bytes follow one another without any mark. A block is a row of a Parquet file
-with its control bytes, its data bytes, the documents' ids and lengths; a shard is a range of document ids in ascending order,
-one task's file. Reading looks up the four lengths of each control byte in a table and gathers the bytes with numpy.
+for the length of each (one to four bytes); data bytes follow one another without any mark. A folder holds everything that
+reading needs: `blocks`, Parquet rows with control bytes, data bytes, documents' ids and lengths, and `order`, the id of each rank.
+A shard is a range of document ids in ascending order, one task's file. Reading looks up the four lengths of each control byte in
+a table and gathers the bytes with numpy.
 
-Defined cases: a null text counts as empty and leaves the end id alone. Rows that repeat a doc_id are kept each, in order of
-their ids' bytes; rows without a doc_id come first. An empty table gives no blocks and no rows.
+Frequencies are counted where texts are encoded, one histogram a block of text, so ids pass through Python once to be encoded and
+once to be written. Shards are range partitions by document id and a hash of the ids, so rows without an id, or with one id that
+many rows carry, are dealt over several.
+
+Defined cases: a null text counts as empty and leaves the end id alone. Rows that repeat a doc_id are kept each, in order of a
+hash of their ids; rows without a doc_id come first. An empty table gives no blocks and no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from .byte_bpe import cut as cut_binary
-from .common import BROADCAST_BYTES, append_columns, store
+from .common import BROADCAST_BYTES, append_columns, shared_dir, store
 from .word_bpe import with_end, word_bpe
 
 #: Documents of a shard on average, ids of a block at least.
@@ -56,37 +63,41 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def encode(df: DataFrame, path: str, end: int, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns, n and ids (binary, unsigned little-endian, 16 bits where the vocabulary fits, else 32) with the end id."""
+    """The kept columns, n, ids (binary, unsigned little-endian, 16 bits where the vocabulary fits, else 32) with the end id, and
+    seen: on one row of each block of texts the ids it holds and how often (pairs of unsigned 32-bit numbers)."""
     kind = _kind(path)
 
     def run(offsets: np.ndarray, data: np.ndarray) -> list[pa.Array]:
         ids, bounds = with_end(*word_bpe(path).encode_block(offsets, data), end)
-        return [pa.array(np.diff(bounds)), cut_binary(ids.astype(kind), bounds)]
+        count = np.bincount(ids)
+        found = np.flatnonzero(count)
+        seen = np.column_stack([found, count[found]]).astype("<u4").tobytes()
+        return [pa.array(np.diff(bounds)), cut_binary(ids.astype(kind), bounds), pa.array([seen] + [None] * (len(offsets) - 2), pa.binary())]
 
-    return append_columns(df, text_col, keep, "n bigint, ids binary", run)
+    return append_columns(df, text_col, keep, "n bigint, ids binary, seen binary", run)
 
 
 def _kind(path: str) -> str:
     return "<u2" if word_bpe(path).size <= 1 << 16 else "<u4"
 
 
-def frequency_order(ids: DataFrame, kind: str) -> np.ndarray:
+def frequency_order(encoded: DataFrame) -> np.ndarray:
     """All ids that occur, the most frequent first, ties by id; as many rows come to the driver as the vocabulary has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            some = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
-            if len(some) > len(total):
-                some[: len(total)] += total
-                total = some
-            else:
-                total[: len(some)] += some
+            for raw in batch.column(0).to_pylist():
+                ids, count = np.frombuffer(raw, "<u4").reshape(-1, 2).T.astype(np.int64)
+                if ids[-1] >= len(total):
+                    total = np.concatenate((total, np.zeros(int(ids[-1]) + 1 - len(total), np.int64)))
+                total[ids] += count
         found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found].astype(np.int64))], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], names=["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    return rows.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy()
+    seen = encoded.where(F.col("seen").isNotNull()).select("seen")
+    rows = seen.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    return rows.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.int64)
 
 
 BLOCKS = "shard int, block int, start bigint, n_ids bigint, doc_ids binary, lengths binary, control binary, data binary"
@@ -97,7 +108,7 @@ def _blocks(order: np.ndarray, kind: str):
     rank[order] = np.arange(len(order), dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number, start = None, 0, 0
+        shard, number, start, held = TaskContext.get().partitionId(), 0, 0, 0
         docs: list[int] = []
         lengths: list[int] = []
         parts: list[bytes] = []
@@ -112,13 +123,8 @@ def _blocks(order: np.ndarray, kind: str):
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
-        held = 0
         for batch in batches:
-            for s, d, n, ids in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if s != shard:
-                    if parts:
-                        yield flush()
-                    shard, number, start, held = s, 0, 0, 0
+            for d, n, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 docs.append(d)
                 lengths.append(n)
                 parts.append(ids)
@@ -132,26 +138,19 @@ def _blocks(order: np.ndarray, kind: str):
     return run
 
 
-def write(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = DOCS_PER_SHARD) -> tuple[DataFrame, np.ndarray]:
-    """Encode all texts into block files in ascending order of ids; gives the files as a table of BLOCKS, and ids by rank."""
+def write(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = DOCS_PER_SHARD, folder: str | None = None) -> str:
+    """Encode all texts into block files in ascending order of ids; gives the folder, a new one where none is named."""
     spark = df.sparkSession
+    folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    n_docs = rows.count()
-    shards = max(1, -(-n_docs // docs_per_shard))
-    shares = [i / shards for i in range(1, shards)]
-    edges = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * shards))).first()[0] if shares else []
-    edges, kind = np.array(edges or [], np.int64), _kind(path)
-    ids = store(encode(rows, path, end, ["doc_id"]), "ids")
-    order = frequency_order(ids, kind)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shard = np.searchsorted(edges, batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], names=["shard", "doc_id", "n", "ids"])
-
-    placed = ids.select("doc_id", "n", "ids").mapInArrow(place, "shard int, doc_id bigint, n bigint, ids binary")
-    sorted_ = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-    return store(sorted_.mapInArrow(_blocks(order, kind), BLOCKS), "token-blocks", "none"), order
+    shards = max(1, -(-rows.count() // docs_per_shard))
+    encoded = store(encode(rows, path, end, ["doc_id"]).withColumn("tie", F.xxhash64("ids")), "ids", "snappy")
+    order = frequency_order(encoded)
+    ranks = spark.createDataFrame(list(enumerate(order.tolist())), "rank int, id bigint")  # as many rows as the vocabulary has
+    ranks.coalesce(1).write.parquet(f"{folder}/order")
+    dealt = encoded.select("doc_id", "n", "ids", "tie").repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    dealt.select("doc_id", "n", "ids").mapInArrow(_blocks(order, _kind(path)), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    return folder
 
 
 def _ids(raw: bytes) -> pa.Array:
@@ -159,8 +158,10 @@ def _ids(raw: bytes) -> pa.Array:
     return pa.array(ids, mask=ids == _NO_ID)
 
 
-def read(files: DataFrame, order: np.ndarray) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids) of block files; start: ids of all documents before, ids: binary, 32 bits each."""
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids) of a folder's files; start: ids of all documents before, ids: binary, 32 bits each."""
+    files = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
+    order = spark.read.parquet(f"{folder}/order").orderBy("rank").toPandas()["id"].to_numpy(np.int64)
     totals = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     n_shards = totals.count()
     bases = totals.select("shard", F.expr("sum(n) over (order by shard) - n").alias("base"))  # a row for each shard
