@@ -144,7 +144,7 @@ def write(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col:
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     shards = max(1, -(-rows.count() // docs_per_shard))
-    encoded = store(encode(rows, path, end, ["doc_id"]).withColumn("tie", F.xxhash64("ids")), "ids", "snappy")
+    encoded = store(encode(rows, path, end, ["doc_id"]).withColumn("tie", F.xxhash64("ids")), "ids")
     order = frequency_order(encoded)
     ranks = spark.createDataFrame(list(enumerate(order.tolist())), "rank int, id bigint")  # as many rows as the vocabulary has
     ranks.coalesce(1).write.parquet(f"{folder}/order")
