@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a shard on average, of a leaf at most, queries searched at once.
-SHARD_ROWS, LEAF, QUERIES_AT_ONCE = 16_384, 96, 1024
+#: Vectors of a shard on average, of a leaf at most, queries searched at once, pairs scored at once.
+SHARD_ROWS, LEAF, QUERIES_AT_ONCE, PAIRS_AT_ONCE = 16_384, 96, 1024, 200_000
 
 
 @dataclass
@@ -55,6 +55,7 @@ class Tree:
         of_id = np.arange(len(by)) - np.maximum.accumulate(np.where(change, np.arange(len(by)), 0))
         by = by[of_id < k]
         begin = np.searchsorted(at[by], np.arange(len(first)))
+        last_id = ids[by[np.append(begin[1:], len(by)) - 1]]
         within = np.arange(len(by)) - begin[at[by]]
         ids_kept = 2 * k
         self.ids = np.full((len(first), ids_kept), -1, np.int64)
@@ -62,10 +63,11 @@ class Tree:
         few = within < ids_kept
         self.ids[at[by][few], within[few]] = ids[by][few]
         self.filled[at[by][few], within[few]] = True
+        self.alone = self.ids[:, 0] == last_id  # one id has all rows
         self.places = np.arange(len(first))
         self.random = np.random.default_rng(1)
         self.root = self._build(0, len(first))
-        self.vectors, self.lift, self.ids, self.filled = (x[self.places] for x in (self.vectors, self.lift, self.ids, self.filled))
+        self.vectors, self.lift, self.ids, self.filled, self.alone = (x[self.places] for x in (self.vectors, self.lift, self.ids, self.filled, self.alone))
 
     def _build(self, first: int, last: int) -> Node:
         node = Node(first, last)
@@ -88,49 +90,58 @@ class Tree:
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query its id, and ids and scores of the k best of the shard, ties to the smaller id, without rows of its own id.
 
-        Products of a leaf come from one matrix product; what may be among the best within its rounding is scored exactly, and
-        the lists hold exact scores only. So of vectors with equal scores the least ids stay, whichever leaf they are in.
+        A first walk finds the k best products by matrix products, which round. A second one, with the k-th as a fixed bound,
+        takes all entries that reach it within rounding; those are scored exactly and cut by score and id. So of different
+        vectors with equal scores the least ids stay, whichever leaf they are in.
         """
         queries = queries.astype(np.float64)
         scores = np.full((len(queries), k), -np.inf)
-        found_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
         base = (queries**2).sum(axis=1) + self.bound
         slack = 8 * queries.shape[1] * np.finfo(float).eps * base
         unsorted = np.empty_like(self.places)
         unsorted[self.places] = np.arange(len(self.places))
 
-        def worst(q: np.ndarray) -> np.ndarray:
-            # distances that cancel to nothing are wrong by the root of the rounding
-            return np.sqrt(np.maximum(base[q] - 2 * scores[q, -1], 0.0)) + np.sqrt(slack[q])
-
-        def exact(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-            """The measure itself, component by component, so that it depends on nothing but the two vectors."""
-            out = np.zeros(len(q))
+        def products(node: Node, q: np.ndarray) -> np.ndarray:
+            found = queries[q] @ self.vectors[node.first : node.last].T
+            found[self.alone[node.first : node.last] & (self.ids[node.first : node.last, 0] == query_ids[q, None])] = -np.inf
+            return found
+
+        def improve(node: Node, q: np.ndarray) -> None:
+            found = products(node, q)
+            better = found.max(axis=1) > scores[q, 0]
+            q = q[better]
+            if len(q):
+                every = np.concatenate((scores[q], found[better]), axis=1)
+                every.partition(every.shape[1] - k, axis=1)
+                scores[q] = every[:, -k:]  # the k-th best first
+
+        best_scores = np.full((len(queries), k), -np.inf)
+        best_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def collect(node: Node, q: np.ndarray) -> None:
+            row, place = np.nonzero(products(node, q) >= np.maximum(scores[q, 0] - slack[q], -np.finfo(float).max)[:, None])
+            held.append((q[row], place + node.first))
+            if sum(len(x[0]) for x in held) > PAIRS_AT_ONCE:
+                settle()
+
+        def settle() -> None:
+            """Entries taken so far go into the lists of exact scores, the k first of each query by score and id."""
+            q, p = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            exact = np.zeros(len(q))  # component by component, so that it depends on nothing but the two vectors
             for d in range(queries.shape[1]):
-                out += self.vectors[p, d] * queries[q, d]
-            return out
-
-        def leaf(node: Node, q: np.ndarray) -> None:
-            product = queries[q] @ self.vectors[node.first : node.last].T
-            row, place = np.nonzero(product >= (scores[q, -1] - slack[q])[:, None])
-            if not len(row):
-                return
-            place = place + node.first
-            score = exact(q[row], place)
-            some = self.filled[place] & (self.ids[place] != query_ids[q[row], None]) & (score >= scores[q[row], -1])[:, None]
-            entry, at = np.nonzero(some)
-            changed = np.unique(row[entry])
-            mine = q[changed]
-            # the lists so far and what is new, best first within each query; the k first of each are the lists from now on
-            owner = np.concatenate((np.repeat(np.arange(len(mine)), k), np.searchsorted(changed, row[entry])))
-            all_scores = np.concatenate((scores[mine].ravel(), score[entry]))
-            all_ids = np.concatenate((found_ids[mine].ravel(), self.ids[place[entry], at]))
+                exact += self.vectors[p, d] * queries[q, d]
+            entry, at = np.nonzero(self.filled[p] & (self.ids[p] != query_ids[q, None]))
+            mine = np.unique(q)
+            owner = np.concatenate((np.repeat(mine, k), q[entry]))
+            all_scores = np.concatenate((best_scores[mine].ravel(), exact[entry]))
+            all_ids = np.concatenate((best_ids[mine].ravel(), self.ids[p[entry], at]))
             by = np.lexsort((all_ids, -all_scores, owner))
-            first = np.searchsorted(owner[by], np.arange(len(mine)))
-            top = by[first[:, None] + np.arange(k)]
-            scores[mine], found_ids[mine] = all_scores[top], all_ids[top]
+            top = by[np.searchsorted(owner[by], mine)[:, None] + np.arange(k)]
+            best_scores[mine], best_ids[mine] = all_scores[top], all_ids[top]
 
-        def visit(node: Node, q: np.ndarray) -> None:
+        def visit(node: Node, q: np.ndarray, leaf) -> None:
             if not len(q):
                 return
             if node.near is None:
@@ -138,16 +149,19 @@ class Tree:
             v = unsorted[node.vantage]
             d = np.sqrt(np.maximum(base[q] - 2 * (queries[q] @ self.vectors[v]), 0.0))
             near_first = d <= (node.near_range[1] + node.far_range[0]) / 2
-            least = {}
-            for child, (low, high) in ((0, node.near_range), (1, node.far_range)):
-                least[child] = np.maximum(np.maximum(low - d, d - high), 0.0) - np.sqrt(slack[q])
+            least = [np.maximum(low - d, d - high) for low, high in (node.near_range, node.far_range)]
             for child, turn in ((0, near_first), (1, ~near_first), (1, near_first), (0, ~near_first)):
                 some = np.flatnonzero(turn)
-                some = some[least[child][some] * factor <= worst(q[some])]
-                visit(node.near if child == 0 else node.far, q[some])
-
-        visit(self.root, np.arange(len(queries)))
-        for own, ids, score in zip(query_ids.tolist(), found_ids, scores):
+                worst = np.sqrt(np.maximum(base[q[some]] - 2 * scores[q[some], 0], 0.0))
+                # distances that cancel to nothing are wrong by the root of the rounding
+                some = some[least[child][some] * factor <= worst + 2 * np.sqrt(slack[q[some]])]
+                visit(node.near if child == 0 else node.far, q[some], leaf)
+
+        visit(self.root, np.arange(len(queries)), improve)
+        visit(self.root, np.arange(len(queries)), collect)
+        if held:
+            settle()
+        for own, ids, score in zip(query_ids.tolist(), best_ids, best_scores):
             n = int((score > -np.inf).sum())
             yield own, ids[:n], score[:n]
 
