@@ -51,8 +51,10 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tupl
         return none
     rolling = Rolling(11)
     prefix = rolling.prefix(data)
-    at = np.arange(n - k + 1)
-    keys = (rolling.slices(prefix, at, at + k) >> np.uint64(31) << np.uint64(31)) | at.astype(np.uint64)
+    # hash of the anchor at each place above the place itself; slices of equal length need no further mixing for their order
+    keys = (prefix[k:] - prefix[: n - k + 1]) * rolling.powers(n + 1)[1][: n - k + 1]
+    keys &= ~np.uint64((1 << 31) - 1)
+    keys |= np.arange(n - k + 1, dtype=np.uint64)
     # least key of each w in a row: suffix minima of one chunk, prefix minima of the next
     chunks = -(-len(keys) // w) + 1
     padded = np.full(chunks * w, ~np.uint64(0))
@@ -60,16 +62,20 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tupl
     padded = padded.reshape(chunks, w)
     before = np.minimum.accumulate(padded, axis=1).ravel()
     after = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = np.arange(n - length + 1)
-    place = (np.minimum(after[starts], before[starts + w - 1]) & np.uint64((1 << 31) - 1)).astype(np.int64)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[starts]
-    inside = starts + length <= offsets[owner + 1]
-    starts, place, owner = starts[inside], place[inside], owner[inside]
-    if not len(starts):
+    least = np.minimum(after[: n - length + 1], before[w - 1 : n - length + w])
+    # strings that cross the end of a text count for none
+    edge = np.zeros(n + 2, np.int32)
+    np.add.at(edge, np.maximum(offsets[1:] - length + 1, offsets[:-1]), 1)
+    np.add.at(edge, offsets[1:], -1)
+    inside = np.cumsum(edge[: len(least)]) == 0
+    head = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (inside[1:] != inside[:-1]))))
+    count = np.diff(np.append(head, len(least)))
+    real = inside[head]
+    first, count = head[real], count[real]
+    if not len(first):
         return none
-    head = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]))))
-    count = np.diff(np.append(head, len(starts)))
-    first, place, owner = starts[head], place[head], owner[head]
+    place = (least[first] & np.uint64((1 << 31) - 1)).astype(np.int64)
+    owner = np.searchsorted(offsets, first, "right") - 1
     return owner, rolling.slices(prefix, place, place + k), rolling.slices(prefix, first, first + count + length - 1), first - offsets[owner], count, place - first
 
 
@@ -343,6 +349,8 @@ def repeated(rows: DataFrame, length: int, index_bytes: int) -> DataFrame:
 
 def _runs(spans: list, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and number of the maximal runs of bytes that spans cover."""
+    if not spans:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     gone = np.zeros(n + 1, np.int64)
     for x in spans:
         gone[x["a"]] += 1
