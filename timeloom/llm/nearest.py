@@ -90,14 +90,16 @@ class Tree:
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query its id, and ids and scores of the k best of the shard, ties to the smaller id, without rows of its own id.
 
-        A first walk finds the k best products by matrix products, which round. A second one, with the k-th as a fixed bound,
-        takes all entries that reach it within rounding; those are scored exactly and cut by score and id. So of different
-        vectors with equal scores the least ids stay, whichever leaf they are in.
+        Queries go through the tree together, so a leaf is one matrix product. First each goes down to the leaf that is nearest,
+        whose k-th product is a bound; a second walk finds the k best products, which are rounded; the last, with the k-th as a
+        fixed bound, takes all entries that reach it within rounding, and those are scored exactly and cut by score and id. So
+        of different vectors with equal scores the least ids stay, whichever leaf they are in.
         """
         queries = queries.astype(np.float64)
         scores = np.full((len(queries), k), -np.inf)
         base = (queries**2).sum(axis=1) + self.bound
         slack = 8 * queries.shape[1] * np.finfo(float).eps * base
+        limit = np.full(len(queries), -np.inf)  # what a query's k-th product reaches at least
         unsorted = np.empty_like(self.places)
         unsorted[self.places] = np.arange(len(self.places))
 
@@ -108,7 +110,7 @@ class Tree:
 
         def improve(node: Node, q: np.ndarray) -> None:
             found = products(node, q)
-            better = found.max(axis=1) > scores[q, 0]
+            better = found.max(axis=1) > np.maximum(scores[q, 0], limit[q] - slack[q])
             q = q[better]
             if len(q):
                 every = np.concatenate((scores[q], found[better]), axis=1)
@@ -118,17 +120,20 @@ class Tree:
         best_scores = np.full((len(queries), k), -np.inf)
         best_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = [0]
 
         def collect(node: Node, q: np.ndarray) -> None:
-            row, place = np.nonzero(products(node, q) >= np.maximum(scores[q, 0] - slack[q], -np.finfo(float).max)[:, None])
+            row, place = np.nonzero(products(node, q) >= np.maximum(limit[q] - slack[q], -np.finfo(float).max)[:, None])
             held.append((q[row], place + node.first))
-            if sum(len(x[0]) for x in held) > PAIRS_AT_ONCE:
+            waiting[0] += len(row)
+            if waiting[0] > PAIRS_AT_ONCE:
                 settle()
 
         def settle() -> None:
             """Entries taken so far go into the lists of exact scores, the k first of each query by score and id."""
             q, p = (np.concatenate(x) for x in zip(*held))
             held.clear()
+            waiting[0] = 0
             exact = np.zeros(len(q))  # component by component, so that it depends on nothing but the two vectors
             for d in range(queries.shape[1]):
                 exact += self.vectors[p, d] * queries[q, d]
@@ -141,24 +146,36 @@ class Tree:
             top = by[np.searchsorted(owner[by], mine)[:, None] + np.arange(k)]
             best_scores[mine], best_ids[mine] = all_scores[top], all_ids[top]
 
+        def distance(node: Node, q: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(base[q] - 2 * (queries[q] @ self.vectors[unsorted[node.vantage]]), 0.0))
+
+        def descend(node: Node, q: np.ndarray) -> None:
+            if node.near is None or not len(q):
+                return improve(node, q) if len(q) else None
+            near = distance(node, q) <= (node.near_range[1] + node.far_range[0]) / 2
+            descend(node.near, q[near])
+            descend(node.far, q[~near])
+
+        # distances that cancel to nothing are wrong by the root of the rounding
+        unsure = 2 * np.sqrt(slack)
+
         def visit(node: Node, q: np.ndarray, leaf) -> None:
-            if not len(q):
-                return
             if node.near is None:
                 return leaf(node, q)
-            v = unsorted[node.vantage]
-            d = np.sqrt(np.maximum(base[q] - 2 * (queries[q] @ self.vectors[v]), 0.0))
-            near_first = d <= (node.near_range[1] + node.far_range[0]) / 2
-            least = [np.maximum(low - d, d - high) for low, high in (node.near_range, node.far_range)]
-            for child, turn in ((0, near_first), (1, ~near_first), (1, near_first), (0, ~near_first)):
-                some = np.flatnonzero(turn)
-                worst = np.sqrt(np.maximum(base[q[some]] - 2 * scores[q[some], 0], 0.0))
-                # distances that cancel to nothing are wrong by the root of the rounding
-                some = some[least[child][some] * factor <= worst + 2 * np.sqrt(slack[q[some]])]
-                visit(node.near if child == 0 else node.far, q[some], leaf)
-
-        visit(self.root, np.arange(len(queries)), improve)
-        visit(self.root, np.arange(len(queries)), collect)
+            d = distance(node, q)
+            for child, (low, high) in ((node.near, node.near_range), (node.far, node.far_range)):
+                worst = np.sqrt(np.maximum(base[q] - 2 * np.maximum(scores[q, 0], limit[q]), 0.0))
+                some = np.maximum(low - d, d - high) * factor <= worst + unsure[q]
+                if some.any():
+                    visit(child, q[some], leaf)
+
+        every_query = np.arange(len(queries))
+        descend(self.root, every_query)
+        limit[:] = scores[:, 0]
+        scores[:] = -np.inf
+        visit(self.root, every_query, improve)
+        limit[:] = np.maximum(scores[:, 0], limit)
+        visit(self.root, every_query, collect)
         if held:
             settle()
         for own, ids, score in zip(query_ids.tolist(), best_ids, best_scores):
