@@ -104,6 +104,13 @@ def positional_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(other, ["file_id", "seq"], "left").withColumn("other", F.coalesce("other", F.lit("")))
 
 
+def count_both(rows: DataFrame, key: Column, kind: Column, left: str, right: str) -> DataFrame:
+    """(k, n_<left>, n_<right>, both): rows of either kind for each key that has one, and how many pairs they make."""
+    some = rows.where(kind.isin(left, right)).groupBy(key.alias("k"))
+    counts = some.agg(F.count_if(kind == left).alias(f"n_{left}"), F.count_if(kind == right).alias(f"n_{right}"))
+    return counts.withColumn("both", F.least(f"n_{left}", f"n_{right}"))
+
+
 def without_phantoms(cues: DataFrame, phantom: Column) -> DataFrame:
     return cues.where(~F.coalesce(phantom, F.lit(False)))
 

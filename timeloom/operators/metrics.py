@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import random
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from timeloom.functions.text import clean_for_ngrams
+from timeloom.storage import cut
+
 ORDER, BETA = 6, 2.0
 OPS = ArrayType(StructType([StructField(name, StringType()) for name in ("op", "ref", "hyp")]))
 
@@ -73,30 +76,70 @@ def total_errors(windows: DataFrame) -> DataFrame:
     return windows.agg(*sums).withColumn("wer", (F.col("subs") + F.col("dels") + F.col("inss")) / F.greatest(F.col("n_ref"), F.lit(1)))
 
 
+def worst_windows(windows: DataFrame, k: int = 8) -> DataFrame:
+    """The windows with the highest rates; of equals the later one first."""
+    return windows.orderBy(F.desc("wer"), F.desc("bin"), F.desc("file_id")).limit(k)
+
+
 def confusions(bins: DataFrame, k: int = 25) -> DataFrame:
-    """The most frequent substitutions, deletions and insertions; ties by the words."""
-    rows = bins.select(F.inline("ops")).where(F.col("op") != "ok").groupBy("op", "ref", "hyp").agg(F.count("*").alias("n"))
-    return rows.orderBy(F.desc("n"), "op", "ref", "hyp").limit(k)
+    """(op, ref, hyp, n): the most frequent substitutions, deletions and insertions, k of each; of equals the one seen first."""
+    rows = bins.select("file_id", "bin", F.posexplode("ops").alias("place", "o")).where(F.col("o.op") != "ok")
+    counts = rows.groupBy("o.op", "o.ref", "o.hyp").agg(F.count("*").alias("n"), F.min(F.struct("file_id", "bin", "place")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("op").orderBy(F.desc("n"), "first"))
+    return counts.withColumn("_k", place).where(F.col("_k") <= k).select("op", "ref", "hyp", "n")
 
 
 def report_line(totals: DataFrame, label: str) -> DataFrame:
     rate = lambda c: 100 * F.col(c) / F.greatest(F.col("n_ref"), F.lit(1))
-    return totals.select(F.format_string(label + ": WER %.1f%% (S %.1f%% D %.1f%% I %.1f%%), %d words", 100 * F.col("wer"), rate("subs"), rate("dels"), rate("inss"), F.col("n_ref").cast("long")).alias("line"))
+    form = f"{label:8s} WER=%.1f%%  sub=%.1f%%  del=%.1f%%  ins=%.1f%%  (ref words=%d, hyp words=%d)"
+    return totals.select(F.format_string(form, 100 * F.col("wer"), rate("subs"), rate("dels"), rate("inss"), F.col("n_ref").cast("long"), F.col("n_hyp").cast("long")).alias("line"))
+
+
+def scored_pairs(pairs: DataFrame) -> DataFrame:
+    """(file_id, seq, h, r) of covered pairs whose reference is no quotation or song and which both leave text when cleaned."""
+    spoken = ~F.regexp_replace("ref_text", r"^[-( ]+", "").rlike(r"^[\"“♪]")
+    rows = pairs.where(spoken).select("file_id", "seq", clean_for_ngrams(F.col("hyp_text")).alias("h"), clean_for_ngrams(F.col("ref_text")).alias("r"))
+    return rows.where((F.col("h") != "") & (F.col("r") != ""))
+
+
+def worst_pairs(stats: DataFrame, n: int) -> DataFrame:
+    """(pair_id, chrf) of the n pairs with the lowest scores, ties by pair."""
+    return f_score(stats, "pair_id").orderBy("chrf", "pair_id").limit(n)
+
+
+def gram_counts(hyp: list[str], ref: list[str]) -> np.ndarray:
+    """[pair, n - 1, (matched, hyp, ref)] for n from 1 to ORDER over all pairs at once: a gram of n characters is a number made of
+    that of its first n - 1 and its last character, and a pair's multisets are sorted runs of those numbers."""
+    n_pairs, texts = len(hyp), [*hyp, *ref]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    sizes = np.array([len(t) for t in texts], np.int64)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # characters from here to the end of the text
+    last = gram = np.unique(points, return_inverse=True)[1].astype(np.int64)
+    kinds = int(last.max(initial=0)) + 1
+    out = np.zeros((n_pairs, ORDER, 3), np.int64)
+    for n in range(1, ORDER + 1):
+        if n > 1:
+            longer, reach = np.zeros(len(gram), np.int64), max(len(gram) - n + 1, 0)
+            longer[:reach] = gram[:reach] * kinds + last[len(gram) - reach :]
+            gram = np.unique(longer, return_inverse=True)[1]
+        whole = left >= n
+        pair, mine = text[whole] % n_pairs, text[whole] < n_pairs
+        code = pair * (int(gram.max(initial=0)) + 1) + gram[whole]
+        a, count_a = np.unique(code[mine], return_counts=True)
+        b, count_b = np.unique(code[~mine], return_counts=True)
+        both, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        owner = both // (int(gram.max(initial=0)) + 1)
+        out[:, n - 1, 0] = np.bincount(owner, np.minimum(count_a[at_a], count_b[at_b]), n_pairs)
+        out[:, n - 1, 1], out[:, n - 1, 2] = np.bincount(pair[mine], minlength=n_pairs), np.bincount(pair[~mine], minlength=n_pairs)
+    return out
 
 
 @F.pandas_udf(ArrayType(ArrayType(LongType())))
 def _gram_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """For n from 1 to ORDER: n-grams in both (each as often as in the one that has fewer), in hyp, in ref."""
-
-    def one(h: str, r: str) -> list[list[int]]:
-        out = []
-        for n in range(1, ORDER + 1):
-            a, b = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (h, r))
-            few, many = (a, b) if len(a) < len(b) else (b, a)
-            out.append([sum(min(k, many[g]) for g, k in few.items() if g in many), max(len(h) - n + 1, 0), max(len(r) - n + 1, 0)])
-        return out
-
-    return pd.Series([one((h or "").replace(" ", ""), (r or "").replace(" ", "")) for h, r in zip(hyp, ref)])
+    bare = lambda x: x.fillna("").str.replace(" ", "", regex=False).tolist()
+    return pd.Series(gram_counts(bare(hyp), bare(ref)).tolist()) if len(hyp) else pd.Series([], dtype=object)
 
 
 def ngram_stats(pairs: DataFrame) -> DataFrame:
@@ -126,31 +169,61 @@ def _score_of(sums: np.ndarray) -> float:
     return 100 * (1 + BETA**2) * p * r / (BETA**2 * p + r) if p + r else 0.0
 
 
-def bootstrap(stats_a: DataFrame, stats_b: DataFrame, rounds: int = 300, seed: int = 0, order: int = ORDER) -> DataFrame:
+#: Pairs whose numbers one task adds up for all rounds.
+BLOCK = 4096
+
+
+def _draws(n: int, rounds: int, seed: int, block: int) -> Iterator[pd.DataFrame]:
+    """How often each of n rows is drawn in each round, by blocks of rows; the generator is sequential, so one task runs it."""
+    draw = random.Random(seed)
+    for r in range(rounds):
+        times = np.bincount([draw.randrange(n) for _ in range(n)], minlength=n)
+        parts = [times[i : i + block] for i in range(0, n, block)]
+        yield pd.DataFrame({"block": range(len(parts)), "round": r, "times": [p.tolist() for p in parts]})
+
+
+def bootstrap(stats_a: DataFrame, stats_b: DataFrame, rounds: int = 300, seed: int = 0, order: int = ORDER, block: int = BLOCK) -> DataFrame:
     """Difference of two systems' chrF over resampled pairs, with the interval from sorted places 7 and 292 of 300.
 
-    Pairs become one row of numbers each; a resample is a vector of multiplicities, so rounds are matrix products on the pairs of
-    one evaluation set, gathered by group, not by driver.
+    Rows are numbered in order of pair_id. A resample is a vector of multiplicities; blocks of rows add up their numbers for all
+    rounds by a matrix product, and only these sums, one row a round and block, come together.
     """
+    spark, width = stats_a.sparkSession, 3 * order
+
     def wide(stats: DataFrame, name: str) -> DataFrame:
         of = lambda n: F.coalesce(F.max(F.when(F.col("n") == n, F.array("matched", "hyp", "ref"))), F.array(*[F.lit(0).cast("long")] * 3))
         return stats.groupBy("pair_id").agg(F.concat(*[of(n) for n in range(1, order + 1)]).alias(name))
 
-    rows = wide(stats_a, "a").join(wide(stats_b, "b"), "pair_id").withColumn("one", F.lit(1))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pair_id")
-        a, b = (np.stack(part[c].to_numpy()).reshape(len(part), order, 3) for c in ("a", "b"))
-        draw, diffs = random.Random(seed), []
-        for _ in range(rounds):
-            pick = np.bincount([draw.randrange(len(part)) for _ in range(len(part))], minlength=len(part))
-            diffs.append(_score_of(np.tensordot(pick, a, 1)) - _score_of(np.tensordot(pick, b, 1)))
-        diffs.sort()
-        low, high = int(0.025 * rounds), int(0.975 * rounds)
-        whole = _score_of(a.sum(axis=0)) - _score_of(b.sum(axis=0))
-        return pd.DataFrame({"pairs": [len(part)], "difference": [whole], "low": [diffs[low]], "high": [diffs[high]]})
-
-    return rows.groupBy("one").applyInPandas(run, "pairs bigint, difference double, low double, high double")
+    both = wide(stats_a, "a").join(wide(stats_b, "b"), "pair_id").select("pair_id", F.concat("a", "b").alias("v"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(both.repartitionByRange(parts, "pair_id").sortWithinPartitions("pair_id").withColumn("part", F.spark_partition_id()))
+    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # a row for each partition
+    total = sum(sizes.values())
+    schema = "pairs bigint, difference double, low double, high double"
+    if not total:
+        return spark.createDataFrame([], schema)
+    before = {p: sum(n for q, n in sizes.items() if q < p) for p in sizes}
+    base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("part")]
+    numbered = rows.withColumn("k", base + F.row_number().over(Window.partitionBy("part").orderBy("pair_id")) - 1)
+    blocks = numbered.select(F.floor(F.col("k") / block).cast("int").alias("block"), "k", "v")
+    draws = spark.range(0, 1, 1, 1).mapInPandas(lambda _: _draws(total, rounds, seed, block), "block int, round int, times array<bigint>")
+
+    def add_up(mine: pd.DataFrame, times: pd.DataFrame) -> pd.DataFrame:
+        values = np.stack(mine.sort_values("k")["v"].to_numpy())
+        sums = np.stack(times["times"].to_numpy()) @ values
+        out = pd.DataFrame({"round": times["round"].to_numpy(), "sums": sums.tolist()})
+        return pd.concat([out, pd.DataFrame({"round": [-1], "sums": [values.sum(axis=0).tolist()]})])
+
+    sums = blocks.groupBy("block").cogroup(draws.groupBy("block")).applyInPandas(add_up, "round int, sums array<bigint>")
+    whole = sums.groupBy("round").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(2 * width)]).alias("sums"))
+
+    def interval(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = {r: np.array(v).reshape(2, order, 3) for f in frames for r, v in zip(f["round"], f["sums"])}
+        score = {r: _score_of(v[0]) - _score_of(v[1]) for r, v in found.items()}
+        diffs = sorted(score[r] for r in range(rounds))
+        yield pd.DataFrame({"pairs": [total], "difference": [score[-1]], "low": [diffs[int(0.025 * rounds)]], "high": [diffs[int(0.975 * rounds)]]})
+
+    return whole.coalesce(1).mapInPandas(interval, schema)
 
 
 def peaks(samples: DataFrame, per_bin: int = 200) -> DataFrame:
