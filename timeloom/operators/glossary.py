@@ -7,12 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from timeloom.functions.text import actor_key, first_name, phrase_key
 
 # --- fixed values ---
-ROLES = ["main", "recurring", "guest"]
+ROLES = ["lead", "main", "recurring", "guest"]
 GENDERS = ["female", "male", "unknown"]
 
 
@@ -27,6 +27,22 @@ def name_key(text: pd.Series) -> pd.Series:
     return text.map(fold_name)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def name_keys(names: pd.Series) -> pd.Series:
+    return names.map(lambda xs: [fold_name(x) for x in ([] if xs is None else xs)])
+
+
+def rank_of(role: Column, roles: list[str] = ROLES) -> Column:
+    """Place of a role in order of importance, from 0; null for none of them."""
+    return F.nullif(F.array_position(F.array(*[F.lit(r) for r in roles]), role), F.lit(0)) - 1
+
+
+def by_importance(characters: DataFrame, *within: str, roles: list[str] = ROLES) -> DataFrame:
+    """Characters with `place`: by role, then the number of episodes, then as they stand."""
+    by = Window.partitionBy(*within).orderBy(rank_of(F.col("role"), roles), F.desc("episodes"), "ord")
+    return characters.withColumn("place", F.row_number().over(by))
+
+
 def lint_characters(characters: DataFrame, roles: list[str] = ROLES, genders: list[str] = GENDERS) -> DataFrame:
     """(ord, problem) for rows without a required field or with an unknown role or gender."""
     missing = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(f"{c} is missing")) for c in ("name", "actor", "gender", "role")]
@@ -59,7 +75,7 @@ def placeholder(k: Column) -> Column:
 
 def prompt(characters: DataFrame, limit: int = 300, roles: list[str] = ROLES) -> DataFrame:
     """Names for a recogniser, the most important first, each once, as many as fit; one that doesn't fit is passed over."""
-    rank = F.array_position(F.array(*[F.lit(r) for r in roles]), F.col("role"))
+    rank = rank_of(F.col("role"), roles)
     first = first_name(F.col("name"))
     forms = F.concat(F.array(first), F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: ~F.contains(a, F.lit(" ")) & (a != first)))
     ordered = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), (-F.col("episodes")).alias("n"), F.col("ord"), forms.alias("forms"))))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import deque
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACTIVE, PROBLEMS = ["queued", "running"], ["failed", "refused", "cancelled"]
@@ -14,6 +17,56 @@ def board(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count("*").alias("n_all"), F.count_if(F.col("state").isin(ACTIVE)).alias("n_active"), F.count_if(F.col("state") == "done").alias("n_done"), F.count_if(F.col("state").isin(PROBLEMS)).alias("n_problems"))
 
 
+def tab_of(state: Column) -> Column:
+    """The tab that shows a job beside `all`."""
+    return F.when(state.isin(ACTIVE), "active").when(state == "done", "done").otherwise("problems")
+
+
+def stems_by_tab(jobs: DataFrame) -> DataFrame:
+    """(tab, n, stems): the different episodes of each tab, in order."""
+    tabs = jobs.withColumn("tab", F.explode(F.array(F.lit("all"), tab_of(F.col("state")))))
+    return tabs.groupBy("tab").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("ep")).alias("stems"))
+
+
+def active_on(jobs: DataFrame, episode: str) -> DataFrame:
+    """Jobs that work on an episode or wait to; while there is one, nothing of it may change."""
+    return jobs.where((F.col("ep") == episode) & F.col("state").isin(ACTIVE))
+
+
+def deciles(progress: DataFrame) -> DataFrame:
+    """Of progress rows (id, at, share from 0 to 1) those at which a further tenth is reached, with `percent`."""
+    share = F.least(F.floor(F.col("share") * 100), F.lit(100))
+    tenth = F.floor(share / 10)
+    best = F.max(tenth).over(Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    return progress.withColumns({"percent": share, "_t": tenth, "_b": F.coalesce(best, F.lit(0))}).where(F.col("_t") > F.col("_b")).drop("_t", "_b")
+
+
+class Queue:
+    """Jobs in order of arrival, one at a time: a driver loop, as each job is a Spark plan of its own."""
+
+    def __init__(self, work: Callable[[str], None]) -> None:
+        self.work, self.waiting, self.rows = work, deque(), []
+
+    def submit(self, name: str) -> None:
+        self.waiting.append(name)
+
+    def cancel(self, name: str) -> None:
+        if name in self.waiting:
+            self.waiting.remove(name)
+            self.rows.append((name, "cancelled", None))
+
+    def drain(self) -> list[tuple[str, str, str | None]]:
+        """Run all that waits; (name, state, error) of every job so far. One that fails stops nothing."""
+        while self.waiting:
+            name = self.waiting.popleft()
+            try:
+                self.work(name)
+                self.rows.append((name, "done", None))
+            except Exception as e:
+                self.rows.append((name, "failed", str(e)))
+        return self.rows
+
+
 def newest(jobs: DataFrame, by: str = "started", tie: str = "id") -> DataFrame:
     return jobs.orderBy(F.desc(by), tie)
 

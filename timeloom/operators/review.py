@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,9 +85,24 @@ def pick_stream(streams: DataFrame, track: int | None = None) -> DataFrame:
 
 
 def took(seconds: Column) -> Column:
-    """A duration as seconds, minutes and seconds, or hours and minutes."""
-    s = F.floor(seconds)
-    return F.when(s < 60, F.format_string("%d s", s)).when(s < 3600, F.format_string("%d min %d s", F.floor(s / 60), s % 60)).otherwise(F.format_string("%d h %d min", F.floor(s / 3600), F.floor(s / 60) % 60))
+    """A duration as seconds, or minutes and seconds."""
+    s = F.round(seconds).cast("long")
+    return F.when(s < 60, F.format_string("%d s", s)).otherwise(F.format_string("%d min %d s", F.floor(s / 60), s % 60))
+
+
+def ago(seconds: Column) -> Column:
+    """How long since, in the largest unit."""
+    s = F.greatest(F.floor(seconds), F.lit(0))
+    return F.when(s < 60, "just now").when(s < 3600, F.format_string("%d min ago", F.floor(s / 60))).when(s < 86400, F.format_string("%d h ago", F.floor(s / 3600))).otherwise(F.format_string("%d d ago", F.floor(s / 86400)))
+
+
+def mirror(cues: DataFrame, write: Callable[[DataFrame], None]) -> str | None:
+    """Write edited cues to a second place; why that failed, if it did: the edit itself is safe, so nothing is raised."""
+    try:
+        write(cues)
+    except Exception as e:
+        return str(e)
+    return None
 
 
 def speed(duration: Column, seconds: Column) -> Column:

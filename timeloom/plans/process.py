@@ -38,6 +38,13 @@ def process(words: DataFrame, settings: Settings = Settings(), segments: DataFra
     return cues.select("file_id", "seq", "start", "end", "text", "n_corrected")
 
 
+def require_speech(words: DataFrame) -> DataFrame:
+    """The same words; none at all is an error."""
+    if words.where(F.col("text") != "").isEmpty():
+        raise ValueError("no speech detected")
+    return words
+
+
 def status_by_file(words: DataFrame, cues: DataFrame) -> DataFrame:
     """(file_id, status, cues): a file without words has failed; the others go on."""
     seen = words.groupBy("file_id").agg(F.count_if(F.col("text") != "").alias("n_words"))

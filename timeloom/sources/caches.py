@@ -66,6 +66,49 @@ def read_jobs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+SEGMENT_CACHE = "key string, segments array<array<string>>, _corrupt_record string"
+
+
+def read_segment_caches(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modified, key, segments, valid) of JSON caches of who speaks when."""
+    rows = spark.read.schema(SEGMENT_CACHE).option("multiLine", "true").option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.diar.json").json(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "key", "segments", "_corrupt_record")
+    return rows.withColumn("valid", F.col("segments").isNotNull() & F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+
+
+def cached_segments(caches: DataFrame) -> DataFrame:
+    """Segments (file_id, start, end, speaker) of cache rows (file_id, segments)."""
+    rows = caches.select("file_id", F.explode("segments").alias("s"))
+    return rows.select("file_id", F.col("s")[0].cast("double").alias("start"), F.col("s")[1].cast("double").alias("end"), F.col("s")[2].alias("speaker"))
+
+
+def encode_cache(words: DataFrame, keys: DataFrame) -> DataFrame:
+    """(file_id, content) of word caches: JSON with the key (a map of the settings), the duration and the words in order.
+
+    keys: file_id, key (a struct or map), duration. A file without words gets no cache."""
+    item = F.concat(F.lit("["), F.regexp_extract(F.to_json(F.array("text")), r"(?s)^\[(.*)\]$", 1), F.lit(", "), F.col("start").cast("string"), F.lit(", "), F.col("end").cast("string"), F.lit("]"))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", item.alias("item"))))
+    rows = words.groupBy("file_id").agg(F.array_join(F.transform(ordered, lambda x: x["item"]), ", ").alias("items")).join(keys, "file_id")
+    content = F.concat(F.lit('{"key": '), F.to_json("key"), F.lit(', "duration": '), F.col("duration").cast("string"), F.lit(', "words": ['), F.col("items"), F.lit("]}"))
+    return rows.select("file_id", content.alias("content"))
+
+
+ROWS = "audio string, text string, ref string, episode int, start double, end double, cwer double"
+
+
+def read_rows(spark: SparkSession, path: str, schema: str = ROWS) -> DataFrame:
+    """Training rows from JSON lines."""
+    return spark.read.schema(schema).json(path)
+
+
+def list_models(folders: DataFrame, stock: str) -> DataFrame:
+    """(model, place): folders (path, is_dir) of tuned models, the last name first, and the stock model after them."""
+    tuned = folders.where("is_dir").select(F.col("path").alias("model"), F.lit(0).alias("stock"))
+    every = tuned.unionByName(folders.sparkSession.range(1).select(F.lit(stock).alias("model"), F.lit(1).alias("stock")))
+    place = F.row_number().over(Window.orderBy("stock", F.desc("model")))  # one row for each model
+    return every.select("model", place.alias("place"))
+
+
 def write_rows(rows: DataFrame, path: str) -> None:
     """Training rows as JSON lines."""
     rows.write.mode("errorifexists").json(path)

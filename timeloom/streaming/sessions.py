@@ -11,7 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def gap_sessions(words: DataFrame, pause: str = "300 milliseconds", late: str = "10 minutes", key: str = "file_id") -> DataFrame:
-    """Sessions of words of a key by silence: each word holds its session open until its end plus the pause."""
+    """Sessions of words of a key by silence: each word holds its session open until its end plus the pause. In append mode a session
+    comes out, and its state goes, once the watermark (`late` behind the latest word) has passed its end."""
     rows = words.withColumn("_at", F.timestamp_seconds("start")).withWatermark("_at", late)
     rows = rows.withColumn("_gap", F.concat(F.round((F.greatest(F.col("end") - F.col("start"), F.lit(0.0)) + _seconds(pause)) * 1000).cast("long").cast("string"), F.lit(" milliseconds")))
     return rows.groupBy(key, F.session_window("_at", F.col("_gap")).alias("w")).agg(F.count("*").alias("n_words"), F.max("end").alias("end")).select(key, F.unix_micros("w.start").alias("start_us"), "end", "n_words")
