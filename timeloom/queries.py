@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from timeloom.functions import text as T
 from timeloom.operators import glossary, jobs, joins, metrics, protect, retime, review, sequence
-from timeloom.plans import process, training
+from timeloom.plans import batch, process, training
+from timeloom.sources import glossaries
+from timeloom.storage import shared_dir
 from timeloom.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,7 +174,17 @@ def flip_smooth(spark, sf_dir):
     return sequence.smooth_flips(words(spark, sf_dir)).select("file_id", "seq", "speaker")
 
 
-@query()
+def _stray_round(rows: str) -> str:
+    """One round over rows (file_id, seg, seq, start, end, k from 1, n): the first far gap with a few words on the smaller side closes."""
+    return f"""(SELECT g.* EXCLUDE (b, way) REPLACE (CASE WHEN b IS NULL THEN start WHEN 2 * b < n AND k <= b THEN start + way WHEN 2 * b > n AND k > b THEN start - way ELSE start END AS start,
+        CASE WHEN b IS NULL THEN "end" WHEN 2 * b < n AND k <= b THEN "end" + way WHEN 2 * b > n AND k > b THEN "end" - way ELSE "end" END AS "end")
+      FROM (SELECT r.*, m.b, m.way FROM {rows} r LEFT JOIN (
+        SELECT file_id, seg, min(k) AS b, arg_min(gap - 0.05, k) AS way FROM (SELECT *, lead(start) OVER (PARTITION BY file_id, seg ORDER BY seq) - "end" AS gap FROM {rows})
+        WHERE gap > 3 AND least(k, n - k) <= 3 AND 2 * k <> n GROUP BY file_id, seg) m USING (file_id, seg)) g)"""
+
+
+@query(_with(W, ("r0", 'SELECT file_id, (seq - 1) // 12 AS seg, seq, start, "end", row_number() OVER (PARTITION BY file_id, (seq - 1) // 12 ORDER BY seq) AS k, count(*) OVER (PARTITION BY file_id, (seq - 1) // 12) AS n FROM w'),
+  *((f"r{i}", f"SELECT * FROM {_stray_round(f'r{i - 1}')}") for i in (1, 2, 3))) + 'SELECT file_id, seq, round(start, 6) AS start, round("end", 6) AS "end" FROM r3')
 def stray_repair(spark, sf_dir):
     rows = words(spark, sf_dir).withColumn("segment", F.floor((F.col("seq") - 1) / 12).cast("int"))
     return sequence.repair_stray_words(rows).select("file_id", "seq", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
@@ -312,12 +324,12 @@ def train_windows(spark, sf_dir):
     return rows.groupBy("file_id", "island", "part").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n")).drop("island", "part")
 
 
-@query("""WITH r AS (SELECT CASE WHEN contains(text, '"') THEN 'lyrics' WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) < 3 THEN 'short' WHEN n_chars > 9000 THEN 'long' END AS reason, n_chars FROM documents)
+@query("""WITH r AS (SELECT CASE WHEN contains(text, '"') OR regexp_matches(text, '♪|çalıyor|şarkı|müzik', 'i') THEN 'lyrics' WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) < 3 THEN 'short' WHEN n_chars > 9000 THEN 'poor_alignment' END AS reason, n_chars FROM documents)
 SELECT coalesce(reason, 'kept') AS reason, count(*) AS n, sum(n_chars) / 3600.0 AS hours FROM r GROUP BY 1""")
 def skip_reasons(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    reason = F.when(F.contains("text", F.lit('"')) | F.col("text").rlike(T.LYRICS), "lyrics").when(F.size(T.words_of(F.col("text"))) < 3, "short").when(F.col("n_chars") > 9000, "long").otherwise("kept")
-    return docs.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), (F.sum("n_chars") / 3600.0).alias("hours"))
+    docs = _table(spark, sf_dir, "documents").withColumns({"start": F.lit(0), "end": F.col("n_chars")})
+    reason = training.skip_reason(F.col("text"), F.size(T.words_of(F.col("text"))) < 3, F.col("n_chars") > 9000)
+    return training.skip_counts(docs.withColumn("reason", reason))
 
 
 # ---------------------------------------------------------------- text
@@ -405,7 +417,21 @@ def phantom_filter(spark, sf_dir):
 _CORRECTIONS = [("the", "thé"), ("of", "off"), ("und", "&"), ("les", "lés")]
 
 
-@query()
+def _corrected_sql(text: str) -> tuple[str, str]:
+    """Text and number of replacements; a boundary is part of a match here, so each correction is made twice."""
+    n = "0"
+    for heard, correct in _CORRECTIONS:
+        for _ in (1, 2):
+            pattern = f"(^|[^{T.TURKISH_WORD}]){heard}($|[^{T.TURKISH_WORD}])"
+            n += f" + len(regexp_extract_all({text}, '{pattern}'))"
+            text = f"regexp_replace({text}, '{pattern}', '\\1{correct}\\2', 'g')"
+    return text, n
+
+
+_CORRECTED = _corrected_sql("text")
+
+
+@query(f"SELECT doc_id, length({_CORRECTED[0]}) AS n_chars, CAST({_CORRECTED[1]} AS INT) AS n FROM documents")
 def corrections_count(spark, sf_dir):
     text, n = T.apply_corrections(F.col("text"), _CORRECTIONS)
     return _table(spark, sf_dir, "documents").select("doc_id", F.length(text).alias("n_chars"), n.alias("n"))
@@ -414,15 +440,37 @@ def corrections_count(spark, sf_dir):
 _FORMS = protect.make_forms([("THE", ["the", "The"]), ("and", ["and"]), ("$1 of", ["thatof", "that"]), ("les", ["les"]), ("nicht", ["nicht"])])
 
 
-@query("SELECT doc_id, text IS NOT NULL AS same, regexp_matches(text, '\\S') AS has_text FROM documents")
+def _protected_sql(text: str) -> str:
+    """Longest form first, whatever its case, at ASCII boundaries, which are kept beside the placeholder."""
+    for form, mark, _ in sorted(_FORMS, key=lambda f: -len(f[0])):
+        for _ in (1, 2):  # a boundary between two neighbours serves one of them at a time
+            text = f"regexp_replace({text}, '(^|[^A-Za-z0-9_])(?:{form})($|[^A-Za-z0-9_])', '\\1{mark}\\2', 'gi')"
+    return text
+
+
+def _restored_sql(text: str) -> str:
+    for _, mark, canonical in _FORMS:
+        for _ in (1, 2):
+            text = f"regexp_replace({text}, '(^|[^A-Za-z0-9_]){mark}($|[^A-Za-z0-9_])', '\\1{canonical}\\2', 'gi')"
+    return text
+
+
+@query(f"""SELECT doc_id, {_protected_sql("text")} AS protected, {_restored_sql(_protected_sql("text"))} AS restored FROM documents""")
 def protect_restore(spark, sf_dir):
-    forms = [(f, m, f) for f, m, _ in _FORMS]
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = protect.restore(protect.protect(F.col("text"), forms), forms)
-    return docs.select("doc_id", (F.lower(back) == F.lower("text")).alias("same"), back.rlike(r"\S").alias("has_text"))
+    docs = _table(spark, sf_dir, "documents").withColumn("protected", protect.protect(F.col("text"), _FORMS))
+    return docs.select("doc_id", "protected", protect.restore(F.col("protected"), _FORMS).alias("restored"))
 
 
-@query()
+def _count_sql(text: str, form: str) -> str:
+    """Whole-word matches: each is found with the character after it left for the next."""
+    return f"len(regexp_extract_all(regexp_replace({text}, '([^A-Za-z0-9_])', '\\1\\1', 'g'), '(?i)(?:^|[^A-Za-z0-9_]){form}(?:$|[^A-Za-z0-9_])'))"
+
+
+_ENTITIES = " UNION ALL ".join(f"SELECT doc_id, {i} AS k, '{c}' AS canonical, {_count_sql('p', mark)} AS n_source, {_count_sql('text', T.quote(c))} AS n_target FROM d" for i, (_, mark, c) in enumerate(_FORMS))
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, {_protected_sql("text")} AS p FROM documents), r AS ({_ENTITIES}), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, canonical ORDER BY k) AS n FROM r WHERE n_source > 0)
+SELECT doc_id, canonical, CAST(n_source AS INT) AS n_source, CAST(n_target AS INT) AS n_target FROM s WHERE n = 1""")
 def entity_report(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     protected = protect.protect(F.col("text"), _FORMS)
@@ -479,7 +527,7 @@ def wer_confusions(spark, sf_dir):
 
 @query()
 def wer_worst_windows(spark, sf_dir):
-    return metrics.window_errors(_bins(spark, sf_dir)).orderBy(F.desc("wer"), F.desc("n_ref"), F.desc("file_id"), F.desc("bin")).limit(8)
+    return metrics.worst_windows(metrics.window_errors(_bins(spark, sf_dir)))
 
 
 _CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '<[^>]+>', '', 'g'), '\\([^)]*\\)|\\[[^\\]]*\\]|♪|♫', ' ', 'g'), '(^|\\s)-\\s*', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -511,7 +559,7 @@ def chrf_corpus(spark, sf_dir):
 @query()
 def chrf_bootstrap(spark, sf_dir):
     ref, hyp = _versions(spark, sf_dir)
-    pair = F.xxhash64("file_id", "seq").alias("pair_id")
+    pair = F.struct("file_id", "seq").alias("pair_id")
     cleaned = T.clean_for_ngrams(F.col("text"))
     texts = ref.select(pair, cleaned.alias("r")).join(hyp.select(pair, cleaned.alias("h")), "pair_id")
     other = texts.withColumn("h", F.left("h", F.length("h") - 3))
@@ -552,8 +600,8 @@ def cast_diff(spark, sf_dir):
     return a.unionByName(b).unionByName(c)
 
 
-@query("""WITH u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, substr(text, 1, 30) AS text FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, substr(text, 1, 30) AS text FROM conversations WHERE role = 'assistant')
+@query("""WITH u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, text FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, text FROM conversations WHERE role = 'assistant')
 SELECT conv_id AS file_id, CAST(seq AS INT) AS seq, u.text AS text, coalesce(a.text, '') AS other FROM u LEFT JOIN a USING (conv_id, seq)""")
 def bilingual_left_join(spark, sf_dir):
     def of(role: str) -> DataFrame:
@@ -567,7 +615,9 @@ def bilingual_left_join(spark, sf_dir):
 def nested_flatten(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
     roles = F.array_compact(F.array(F.when(F.col("event_type") == "view", "viewer"), F.when(F.col("value") > 20, "big"), F.when(F.col("event_id") % 2 == 0, "even")))
-    return events.select("event_id", F.explode(roles).alias("role"), F.from_json("props", "k int")["k"].alias("k"))
+    k = F.from_json("props", "k int")["k"]
+    cast = F.array(F.struct(F.col("event_id").cast("string").alias("name"), F.transform(roles, lambda r: F.struct(r.alias("character"), k.alias("episode_count"))).alias("roles")))
+    return glossaries.cast_of(events.select(cast.alias("cast"))).select(F.col("actor").cast("long").alias("event_id"), F.col("character").alias("role"), F.col("episodes").alias("k"))
 
 
 @query("""WITH c AS (SELECT c_custkey AS ord, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS name, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS actor, CASE WHEN c_nationkey < 12 THEN 'female' WHEN c_nationkey < 20 THEN 'male' ELSE 'robot' END AS gender, CASE WHEN c_custkey % 11 = 0 THEN 'extra' ELSE 'main' END AS role FROM customer)
@@ -612,7 +662,8 @@ def job_retention(spark, sf_dir):
 
 @query("SELECT o_orderstatus AS status, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
 def status_counts(spark, sf_dir):
-    return _table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
+    rows = batch.status_counts(_table(spark, sf_dir, "orders"), "o_orderstatus", "o_custkey")
+    return rows.withColumnRenamed("distinct", "customers")
 
 
 @query(f"""WITH j AS (SELECT user_id % 20 AS id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS "at", event_type AS state FROM events) SELECT id, "at", before, state FROM (SELECT *, lag(state) OVER (PARTITION BY id ORDER BY "at") AS before FROM j) WHERE before <> state""")
@@ -622,7 +673,14 @@ def job_transitions(spark, sf_dir):
     return jobs.transitions(polls).select("id", "at", "before", "state")
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT c_nationkey AS series_id, c_custkey AS ord, concat(substr(c_mktsegment, 1, 4), c_custkey % 50) AS first, substr(c_name, 10, 9) AS alias, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 3 END AS rank, c_custkey % 9 AS n FROM customer),
+f AS (SELECT series_id, rank, n, ord, 1 AS part, first AS form FROM c UNION ALL SELECT series_id, rank, n, ord, 2, alias FROM c WHERE NOT contains(alias, ' ') AND alias <> first),
+o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY rank, n DESC, ord, part) AS k FROM f),
+p AS (SELECT DISTINCT series_id, 0::BIGINT AS k, []::VARCHAR[] AS taken FROM o UNION ALL
+  SELECT p.series_id, o.k, CASE WHEN NOT list_contains(taken, form) AND length(array_to_string(list_append(taken, form), ', ')) <= 300 THEN list_append(taken, form) ELSE taken END
+  FROM p JOIN o ON o.series_id = p.series_id AND o.k = p.k + 1)
+SELECT series_id, array_to_string(arg_max(taken, k), ', ') AS prompt FROM p GROUP BY series_id""")
 def prompt_build(spark, sf_dir):
     rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("series_id"), F.col("c_custkey").alias("ord"), F.concat(F.substring("c_mktsegment", 1, 4), (F.col("c_custkey") % 50).cast("string"), F.lit(" x")).alias("name"), F.array(F.substring("c_name", 10, 9)).alias("aliases"), F.when(F.col("c_custkey") % 3 == 0, "main").otherwise("guest").alias("role"), (F.col("c_custkey") % 9).cast("int").alias("episodes"))
     return glossary.prompt(rows)
@@ -630,17 +688,14 @@ def prompt_build(spark, sf_dir):
 
 @query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, -turn) AS place FROM conversations")
 def role_rank_sort(spark, sf_dir):
-    rank = F.array_position(F.array(F.lit("system"), F.lit("user"), F.lit("assistant")), F.col("role"))
-    by = Window.partitionBy("conv_id").orderBy(rank, F.desc("turn"))
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.row_number().over(by).alias("place"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("turn").alias("episodes"), F.col("turn").alias("ord"))
+    return glossary.by_importance(rows, "conv_id", roles=["system", "user", "assistant"]).select("conv_id", "turn", "role", "place")
 
 
 @query("""WITH a AS (SELECT user_id % 50 AS k, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1), b AS (SELECT user_id % 50 AS k, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1)
 SELECT k, coalesce(a.n, 0) AS n_view, coalesce(b.n, 0) AS n_click, least(coalesce(a.n, 0), coalesce(b.n, 0)) AS both FROM a FULL JOIN b USING (k)""")
 def set_ops_bins(spark, sf_dir):
-    kind = lambda x: F.count_if(F.col("event_type") == x)
-    rows = _table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click")).groupBy((F.col("user_id") % 50).alias("k")).agg(kind("view").alias("n_view"), kind("click").alias("n_click"))
-    return rows.withColumn("both", F.least("n_view", "n_click"))
+    return joins.count_both(_table(spark, sf_dir, "events"), F.col("user_id") % 50, F.col("event_type"), "view", "click")
 
 
 @query()
@@ -676,19 +731,27 @@ def training_rows(spark, sf_dir):
     return training.training_rows(ref, spoken)
 
 
-@query()
+@query(_with(W, ("o", """SELECT *, max(greatest("end", start) + 0.3) OVER (PARTITION BY file_id ORDER BY start, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open FROM w"""),
+  ("k", "SELECT *, sum(CASE WHEN open IS NULL OR round((start - open) * 1000) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY start, seq) AS session FROM o"))
+  + 'SELECT file_id, CAST(round(min(start) * 1000) AS BIGINT) * 1000 AS start_us, max("end") AS "end", count(*) AS n_words FROM k GROUP BY file_id, session')
 def stream_sessions(spark, sf_dir):
-    """Words as a file stream; finished sessions go to a table beside the stream's checkpoint."""
+    """Words as a file stream in append mode; finished sessions go to a table beside the stream's checkpoint.
+
+    A last word a day later lets the watermark pass all sessions before it."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    place = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    words(spark, sf_dir).select("file_id", "start", "end").write.parquet(f"{place}/in")
-    stream = spark.readStream.schema("file_id bigint, start double, end double").parquet(f"{place}/in")
-    found = sessions.gap_sessions(stream, late="100000 minutes")
-    run = found.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/out")).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = words(spark, sf_dir).select("file_id", "start", "end")
+    last = rows.agg((F.max("end") + 86_400).alias("start")).select(F.lit(-1).cast("long").alias("file_id"), "start", F.col("start").alias("end"))
+    schema = "file_id bigint, start double, end double"
+    rows.write.parquet(f"{place}/in")
+    stream = lambda: sessions.gap_sessions(spark.readStream.schema(schema).parquet(f"{place}/in"))
+    for part in (None, last):
+        if part is not None:
+            part.write.mode("append").parquet(f"{place}/in")
+        run = stream().writeStream.outputMode("append").format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(f"{place}/out").where(F.col("file_id") >= 0)
 
 
 @query(_with(C) + 'SELECT file_id, CAST(arg_min(seq, seq) AS INT) AS seq, arg_min("end", seq) AS "end" FROM c WHERE start <= 7.5 AND "end" > 7.5 GROUP BY file_id')
