@@ -211,7 +211,7 @@ def links(distinct: DataFrame, distance: int = 3, group_rows: int = GROUP_ROWS)
         found = part if found is None else found.union(part)
         if not n:
             return found
-        rows = rows.join(large, "key", "left_semi")
+        rows = store(rows.join(large, "key", "left_semi"), "large-group-rows")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
