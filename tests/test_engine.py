@@ -290,8 +290,8 @@ def test_batch(spark, tmp_path):
 def test_job_lists(spark):
     rows = spark.createDataFrame([("1", "queued", "s/e1"), ("2", "done", "s/e1"), ("3", "refused", "s/e2")], "id string, state string, ep string")
     assert {r["tab"]: (r["n"], r["stems"]) for r in jobs.stems_by_tab(rows).collect()} == {"all": (3, ["s/e1", "s/e2"]), "active": (1, ["s/e1"]), "done": (1, ["s/e1"]), "problems": (1, ["s/e2"])}
-    outputs = spark.createDataFrame([(p,) for p in ("s/e2.tr.srt", "s/e2.en.srt.orig", "s/.subai/film.words.json", "s/.subai/other.words.json", "s/e3.tr.srt")], "path string")
-    assert sorted(r["path"] for r in batch.doomed(outputs, rows, "s/e2", "film").collect()) == ["s/.subai/film.words.json", "s/e2.en.srt.orig", "s/e2.tr.srt"]
+    outputs = spark.createDataFrame([(p,) for p in ("s/e2.tr.srt", "s/e2.en.srt.orig", "s/.cache/film.words.json", "s/.cache/other.words.json", "s/e3.tr.srt")], "path string")
+    assert sorted(r["path"] for r in batch.doomed(outputs, rows, "s/e2", "film").collect()) == ["s/.cache/film.words.json", "s/e2.en.srt.orig", "s/e2.tr.srt"]
     with pytest.raises(ValueError, match="working"):
         batch.doomed(outputs, rows, "s/e1")
     shares = spark.createDataFrame([("a", i, s) for i, s in enumerate([0.05, 0.12, 0.17, 0.35, 0.39, 1.02])], "id string, at int, share double")

@@ -69,13 +69,13 @@ def write_report(results: DataFrame, path: str) -> None:
     results.coalesce(1).write.mode("overwrite").json(path)
 
 
-def doomed(outputs: DataFrame, running: DataFrame, episode: str, stem: str | None = None) -> DataFrame:
+def doomed(outputs: DataFrame, running: DataFrame, episode: str, stem: str | None = None, cache: str = ".cache") -> DataFrame:
     """Files (path) to delete when a review of an episode is finished; an active job on it is an error.
 
-    Subtitles in both languages with the copy before edits, the video link, picture and sound caches, and cached words of the stem."""
+    Subtitles in both languages with the copy before edits, the video link, picture and sound caches, and what the folder `cache` beside it keeps of the stem."""
     if not jobs.active_on(running, episode).isEmpty():
         raise ValueError("a job is working on this episode")
     own = [f"{episode}{ending}" for ending in (".tr.srt", ".en.srt", ".en.srt.orig", ".video", ".web.mp4", ".peaks.json")]
     folder = episode.rpartition("/")[0]
-    cache = f"{folder}/.subai/".lstrip("/") + (stem or episode.rpartition("/")[2]) + "."
-    return outputs.where(F.col("path").isin(own) | F.col("path").startswith(cache))
+    kept = f"{folder}/{cache}/".lstrip("/") + (stem or episode.rpartition("/")[2]) + "."
+    return outputs.where(F.col("path").isin(own) | F.col("path").startswith(kept))
