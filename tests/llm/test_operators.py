@@ -595,6 +595,33 @@ def test_near_copies_of_the_pipeline_equal_brute_force(spark):
     assert all(r["text"] == texts[r["doc_id"]] for r in kept)
 
 
+@pytest.mark.parametrize(("cluster_sets", "pivots"), [(1, 2), (4, 3)])
+def test_clusters_too_large_for_a_task_equal_brute_force(spark, cluster_sets, pivots):
+    """Chains of edits, where a text is near its neighbours only, and many edits of one text, through pivots and bands."""
+    from timeloom.llm import near_copies
+
+    rng = random.Random(41)
+    texts = []
+    for _ in range(3):
+        words_now = text_of(rng, 80, "abcdefghijklmnop").split()
+        for _ in range(12):
+            texts.append(" ".join(words_now))
+            for _ in range(rng.randint(1, 2)):
+                words_now[rng.randrange(len(words_now))] = text_of(rng, 1, "qrstuv")
+        for _ in range(12):
+            texts.append(" ".join(text_of(rng, 1, "qrstuv") if rng.random() < 0.01 else w for w in words_now))
+    rng.shuffle(texts)
+    every, root = [set_of(t) for t in texts], list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if jaccard(every[a], every[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    docs = documents(spark, texts).drop("ids", "n_words")
+    kept = near_copies.keep_first(docs, docs.columns, cluster_sets=cluster_sets, pivots=pivots).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root))
+
+
 def test_large_clusters_of_near_copies():
     from timeloom.llm import near_copies
 
