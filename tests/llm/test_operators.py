@@ -595,7 +595,7 @@ def test_near_copies_of_the_pipeline_equal_brute_force(spark):
     assert all(r["text"] == texts[r["doc_id"]] for r in kept)
 
 
-@pytest.mark.parametrize(("cluster_sets", "pivots"), [(1, 2), (4, 3)])
+@pytest.mark.parametrize(("cluster_sets", "pivots"), [(1, (2, 4)), (4, (3, 3))])
 def test_clusters_too_large_for_a_task_equal_brute_force(spark, cluster_sets, pivots):
     """Chains of edits, where a text is near its neighbours only, and many edits of one text, through pivots and bands."""
     from timeloom.llm import near_copies

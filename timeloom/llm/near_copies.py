@@ -31,9 +31,10 @@ from .simhash import links, shingles, votes
 SHINGLE, BANDS, BAND_ROWS = 5, 24, 5
 #: Similarity from which two texts are near copies, as a fraction.
 LEAST = (4, 5)
-#: Sets, and shingles of all sets together, of a cluster that comes together in one task; sets that all of a larger one are compared
-#: with at once; rows of a chunk of those comparisons.
-CLUSTER_SETS, CLUSTER_SHINGLES, PIVOTS, CHUNK_ROWS = 1024, 2_000_000, 16, 512
+#: Sets, and shingles of all sets together, of a cluster that comes together in one task; rows of a chunk of a larger one.
+CLUSTER_SETS, CLUSTER_SHINGLES, CHUNK_ROWS = 8192, 4_000_000, 512
+#: Sets that all of a larger cluster are compared with at once, before and after it is dealt by bands.
+PIVOTS = (16, 512)
 _TURN = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES = mix(_TURN) | np.uint64(1)
 
@@ -181,6 +182,8 @@ def _to_pivots(rows: DataFrame, pivots: DataFrame) -> DataFrame:
                     held.append((name, mine))
                     continue
                 for pivot, other in held:
+                    if down * min(len(other), len(mine)) < (2 * up - down) * max(len(other), len(mine)):
+                        continue
                     common = common_of(other, mine)
                     union = len(other) + len(mine) - common
                     if down * common >= (2 * up - down) * union:
@@ -192,10 +195,10 @@ def _to_pivots(rows: DataFrame, pivots: DataFrame) -> DataFrame:
     return small_batches(dealt).mapInArrow(run, "group bigint, name bigint, pivot bigint, distance double, near boolean")
 
 
-def large_links(rows: DataFrame, members: DataFrame, cluster_sets: int, cluster_shingles: int, pivots: int) -> DataFrame:
+def large_links(rows: DataFrame, members: DataFrame, cluster_sets: int, cluster_shingles: int, pivots: tuple[int, int]) -> DataFrame:
     """Links (a, b) that join all near copies of a band in groups too large for one task.
 
-    rows: group, name, keys, n_shingles; members: name, members. Each round takes `pivots` sets out of every large group, so it ends.
+    rows: group, name, keys, n_shingles; members: name, members. Each round takes that many sets (first, later) out of every large group, so it ends.
     """
     reach = (LEAST[1] - LEAST[0]) / LEAST[1] + 1e-9
     whole, found, first = rows.withColumn("class", F.col("name")), None, True
@@ -209,7 +212,7 @@ def large_links(rows: DataFrame, members: DataFrame, cluster_sets: int, cluster_
         if large.isEmpty():
             break
         turn = F.row_number().over(Window.partitionBy("group").orderBy("name"))
-        leading = store(large.select("group", "chunks", "name", "class").withColumn("turn", turn).where(F.col("turn") <= pivots).drop("turn"), "near-pivots")
+        leading = store(large.select("group", "chunks", "name", "class").withColumn("turn", turn).where(F.col("turn") <= pivots[0 if first else 1]).drop("turn"), "near-pivots")
         ids = ["group", "chunks", "name", "members"]
         pairs = store(_to_pivots(large.join(members, "name").select(ids), leading.join(members, "name").select(ids)), "near-pairs")
         new = pairs.where("near AND name != pivot").select(F.col("name").alias("a"), F.col("pivot").alias("b"))
@@ -234,7 +237,7 @@ def row_key(columns: list[str]) -> Column:
 
 
 def keep_first(
-    df: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", cluster_sets: int = CLUSTER_SETS, cluster_shingles: int = CLUSTER_SHINGLES, pivots: int = PIVOTS
+    df: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", cluster_sets: int = CLUSTER_SETS, cluster_shingles: int = CLUSTER_SHINGLES, pivots: tuple[int, int] = PIVOTS
 ) -> DataFrame:
     """Of each class of near copies the row with the least id; one without an id only where none has one."""
     keyed = df.select(*columns, row_key(columns).alias("row_key"))
