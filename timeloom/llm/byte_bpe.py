@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import json
 import sys
 from collections.abc import Iterator
 
@@ -142,12 +143,24 @@ def boundaries(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[before, kinds])
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Bytes and rank of each token: of lines of base64 and rank, or of a JSON file, whose entries spell each byte as a letter."""
+    if not path.endswith(".json"):
+        with open(path, "rb") as lines:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    special = {x["content"] for x in made["added_tokens"]}
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that are spelled by their own letter
+    letter = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {bytes(letter[c] for c in entry): i for entry, i in made["model"]["vocab"].items() if entry not in special}
+
+
 class Bpe:
     """Ranks of a vocabulary file, merging and decoding."""
 
     def __init__(self, path: str) -> None:
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ranks = read_ranks(path)
         size = max(self.ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in self.ranks.items():

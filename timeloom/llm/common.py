@@ -136,19 +136,31 @@ class Rolling:
         return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: Masks of the lowest bytes of a number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class SliceCache:
-    """Results (rows of numbers) of slices of bytes, found by 64-bit hash in an open-addressing table.
+    """Results (rows of numbers) of slices of bytes, found by 64-bit hash in an open-addressing table and compared byte by byte.
 
-    A slice that is not there is computed once; when the table would fill, it starts anew, so memory is bounded.
+    A slice that is not there is computed once; one whose hash belongs to another slice is computed apart. When the table or what
+    it holds would grow beyond its bound, it starts anew, so memory is bounded.
     """
 
+    #: Numbers and bytes of long slices that are held at most, but for those of one block.
+    most_held = 1 << 24
+
     def __init__(self, compute, bits: int = 20) -> None:
         self.compute, self.bits, self.most = compute, bits, (1 << bits) // 2
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        self.starts, self.counts, self.flat, self.used, self.filled = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0, 0
+        self.flat, self.used, self.filled, self.held = np.zeros(1 << 14, np.uint32), 0, 0, 0
+        # of each entry: where its numbers start and how many they are, its length and its first sixteen bytes
+        self.starts, self.counts, self.sizes = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.head, self.next = (np.zeros(1 << 12, np.uint64) for _ in range(2))
+        self.long: dict[int, bytes] = {}
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of the entry of each hash, or -1."""
@@ -175,22 +187,47 @@ class SliceCache:
             self.entry[at[mine]] = entries[mine]
             hashes, entries, at = hashes[~mine], entries[~mine], (at[~mine] + 1) & mask
 
-    def _learn(self, hashes: np.ndarray, first: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
-        flat, counts = self.compute([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+    @staticmethod
+    def _first_bytes(raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the second eight bytes of each slice as numbers, zero where it ends before."""
+        eight = np.ndarray((len(raw) + 9,), "<u8", raw + bytes(16), strides=(1,))
+        return eight[starts] & _LOW[np.minimum(sizes, 8)], eight[np.minimum(starts + 8, len(raw))] & _LOW[np.clip(sizes - 8, 0, 8)]
+
+    def _learn(self, slices: list[bytes]) -> np.ndarray:
+        """Entries of different slices."""
+        flat, counts = self.compute(slices)
         n = self.used + len(counts)
         while len(self.starts) < n:
-            self.starts, self.counts = np.concatenate((self.starts, self.starts)), np.concatenate((self.counts, self.counts))
+            self.starts, self.counts, self.sizes, self.head, self.next = (np.concatenate((x, x)) for x in (self.starts, self.counts, self.sizes, self.head, self.next))
         while len(self.flat) < self.filled + len(flat):
             self.flat = np.concatenate((self.flat, self.flat))
-        self.starts[self.used : n] = self.filled + np.cumsum(counts) - counts
-        self.counts[self.used : n] = counts
+        sizes = np.fromiter(map(len, slices), np.int64, len(slices))
+        mine = slice(self.used, n)
+        self.starts[mine] = self.filled + np.cumsum(counts) - counts
+        self.counts[mine], self.sizes[mine] = counts, sizes
+        self.head[mine], self.next[mine] = self._first_bytes(b"".join(slices), np.cumsum(sizes) - sizes, sizes)
+        for i in np.flatnonzero(sizes > 16).tolist():
+            self.long[self.used + i] = slices[i]
         self.flat[self.filled : self.filled + len(flat)] = flat
-        self._insert(hashes, np.arange(self.used, n, dtype=np.int32))
+        self.held += len(flat) + int(sizes[sizes > 16].sum())
         self.used, self.filled = n, self.filled + len(flat)
+        return np.arange(n - len(counts), n, dtype=np.int32)
+
+    def _differ(self, at: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which slices are not those of their entries."""
+        sizes = ends - starts
+        head, after = self._first_bytes(raw, starts, sizes)
+        same = (self.sizes[at] == sizes) & (self.head[at] == head) & (self.next[at] == after)
+        long = np.flatnonzero(same & (sizes > 16))
+        if len(long):
+            same[long] = [raw[a:b] == self.long[i] for a, b, i in zip(starts[long].tolist(), ends[long].tolist(), at[long].tolist())]
+        return np.flatnonzero(~same)
 
     def rows(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The results of all slices in a row, and how many numbers each has."""
         hashes = np.maximum(hashes, np.uint64(1))
+        if self.held > self.most_held or self.used > self.most:
+            self.clear()
         at = self.find(hashes)
         new = np.flatnonzero(at < 0)
         if len(new):
@@ -203,8 +240,14 @@ class SliceCache:
                     self.bits += 1
                     self.most *= 2
                     self.clear()
-            self._learn(unique, new[first], raw, starts, ends)
+            chosen = new[first]
+            self._insert(unique, self._learn([raw[a:b] for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist())]))
             at[new] = self.find(hashes[new])
+        apart = self._differ(at, raw, starts, ends)
+        if len(apart):
+            slices = [raw[a:b] for a, b in zip(starts[apart].tolist(), ends[apart].tolist())]
+            entries = dict(zip(different := list(dict.fromkeys(slices)), self._learn(different).tolist()))
+            at[apart] = [entries[s] for s in slices]
         counts = self.counts[at]
         ends_out = np.cumsum(counts)
         total = int(ends_out[-1]) if len(ends_out) else 0
