@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, nearest, packing, quality_rules, simhash, suffix_dedup, token_store, toxicity, url_rules
+from . import alignment, byte_bpe, fill_middle, language, mixing, nearest, packing, quality_rules, simhash, suffix_dedup, token_store, toxicity, url_rules
 from .common import table
 
 URL_RULES = [
@@ -74,9 +74,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_byte_bpe, op3_language_id, op4_simhash, op5_toxicity, op6_quality_rules, op7_suffix_dedup, op8_token_output, op9_nearest, op10_packing)
+    for f in (op1_url_filters, op2_byte_bpe, op3_language_id, op4_simhash, op5_toxicity, op6_quality_rules, op7_suffix_dedup, op8_token_output, op9_nearest, op10_packing, op11_mixing, op12_alignment, op13_fill_middle)
 }
 
 _URL_PARTS = r"""
@@ -86,7 +99,20 @@ SELECT page_id, url,
 FROM pages
 """
 
+_CUT = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('1:', doc_id)) AS x FROM documents),
+n AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM h),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, substring(t, 1, a) AS before, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS after FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', before, '<S>', after, '<M>', middle) ELSE concat('<S>', after, '<P>', before, '<M>', middle) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
 ORACLES = {
+    "op13_fill_middle": _CUT,
     "op9_nearest": """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
