@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -18,25 +19,57 @@ ORDER, BETA = 6, 2.0
 OPS = ArrayType(StructType([StructField(name, StringType()) for name in ("op", "ref", "hyp")]))
 
 
+class EditRows:
+    """Rows of the edit matrix from ref (rows) to hyp (columns), each two numbers of as many bits as hyp has tokens.
+
+    Bit j of `diagonal` says that cell j costs what the cell before it in the row before costs; bit j of `down`, that it costs one more
+    than the cell above. All cells of a row come from a few operations on whole numbers.
+    """
+
+    def __init__(self, hyp: list[str]) -> None:
+        self.full, self.places = (1 << len(hyp)) - 1, {}
+        for j, token in enumerate(hyp):
+            self.places[token] = self.places.get(token, 0) | 1 << j
+
+    def first(self) -> tuple[int, int]:
+        """Where a row rises and falls from a cell to the next, for the row of no ref tokens."""
+        return self.full, 0
+
+    def after(self, row: tuple[int, int], token: str) -> tuple[tuple[int, int], int, int]:
+        rises, falls = row
+        same = self.places.get(token, 0) | falls
+        diagonal = ((same & rises) + rises ^ rises | same) & self.full
+        up, down = rises & diagonal, falls | self.full & ~(rises | diagonal)
+        shifted = down << 1 | 1
+        return ((up << 1 | ~(diagonal | shifted)) & self.full, shifted & diagonal & self.full), diagonal, down
+
+
 def align_tokens(ref: list[str], hyp: list[str]) -> list[dict[str, str]]:
-    """Least edits from ref to hyp. Traced from the end; of equal ways a pair comes before a deletion, that before an insertion."""
-    names = {t: i for i, t in enumerate(dict.fromkeys([*ref, *hyp]))}
-    a, b = np.array([names[t] for t in ref], np.int64), np.array([names[t] for t in hyp], np.int64)
-    n, m = len(a), len(b)
-    cost = np.empty((n + 1, m + 1), np.int32)
-    cost[0] = np.arange(m + 1)
-    step = np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.empty(m + 1, np.int32)
-        row[0] = i
-        row[1:] = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (b != a[i - 1]))
-        cost[i] = np.minimum.accumulate(row - step) + step  # insertions run along the row
-    out, i, j = [], n, m
+    """Least edits from ref to hyp. Traced from the end; of equal ways a pair comes before a deletion, that before an insertion.
+
+    Only each so many-th row is kept on the way down; on the way back the rows between two of them are made again. So n by m tokens
+    take about 4 * sqrt(n) * m bits, not n * m numbers."""
+    matrix, span = EditRows(hyp), max(1, math.isqrt(len(ref)))
+    row, kept = matrix.first(), []
+    for i, token in enumerate(ref):
+        if i % span == 0:
+            kept.append(row)
+        row = matrix.after(row, token)[0]
+    out, i, j = [], len(ref), len(hyp)
+    below = i  # the first row of those at hand
+    rows: list[tuple[int, int]] = []
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+        if i and i <= below:
+            below = (i - 1) // span * span
+            row, rows = kept[below // span], []
+            for token in ref[below:i]:
+                row, *bits = matrix.after(row, token)
+                rows.append(tuple(bits))
+        diagonal, down = rows[i - 1 - below] if i else (0, 0)
+        if i and j and (ref[i - 1] == hyp[j - 1] or not diagonal >> (j - 1) & 1):
             i, j = i - 1, j - 1
-            out.append({"op": "ok" if a[i] == b[j] else "sub", "ref": ref[i], "hyp": hyp[j]})
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+            out.append({"op": "ok" if ref[i] == hyp[j] else "sub", "ref": ref[i], "hyp": hyp[j]})
+        elif i and (not j or down >> (j - 1) & 1):
             i -= 1
             out.append({"op": "del", "ref": ref[i], "hyp": ""})
         else:
@@ -58,7 +91,7 @@ def binned_tokens(cues: DataFrame, tokens: Column, window: float, name: str) ->
 
 
 def aligned_bins(ref: DataFrame, hyp: DataFrame, ref_tokens: Column, hyp_tokens: Column, window: float = 60.0) -> DataFrame:
-    """(file_id, bin, ref, hyp, ops): windows bound the quadratic alignment and are its unit of parallel work."""
+    """(file_id, bin, ref, hyp, ops): windows are the unit of parallel work; a long one takes more time, hardly more memory."""
     a, b = binned_tokens(ref, ref_tokens, window, "ref"), binned_tokens(hyp, hyp_tokens, window, "hyp")
     none = F.array().cast("array<string>")
     both = a.join(b, ["file_id", "bin"], "full_outer").withColumns({"ref": F.coalesce("ref", none), "hyp": F.coalesce("hyp", none)})
