@@ -2,9 +2,10 @@
 
 Both tokenizers cut a text's bytes into tokens; places where both end cut it into groups, and two tokens whose bytes overlap are a
 link. Each block of texts gives one posting list for each pair of ids that it links: which of its texts hold the pair, and how
-often. Lists are dealt by the id of side B; the corpus's counts of pairs and the highest count of each id meet them in sorted
-streams (Spark's sorter spills them), so a task holds one row of counts and adds up what each text gets. An id whose lists are many
-is dealt in parts, each with a copy of its counts. What texts get is summed by text at the end.
+often. Lists are dealt by the id of side B, in groups of ids; the corpus's counts of pairs and the highest count of each id meet them
+in sorted streams (Spark's sorter spills them), so a task holds one row of counts and adds up what each text gets. Blocks are dealt
+in parts of a bounded number of list entries, which have the counts of their own pairs each: so the lists of a frequent id are
+many tasks' work, and a text gets one row of sums from each group of ids, however large the corpus. They are summed by text at the end.
 
 Side A is byte-level BPE; side B is a piece model, which puts a space before a text. Runs of spaces with what follows are encoded
 once and kept in a bounded table: no piece of the model holds a space behind another character, which is checked, so none crosses.
@@ -21,15 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .byte_bpe import bpe
 from .common import Rolling, SliceCache, blocks, small_batches, store
 
-#: Bytes of texts that share posting lists; texts in the lists of an id's part; texts whose sums a task holds before it hands them on.
-BLOCK, PART, HELD = 2_000_000, 1 << 18, 1 << 20
+#: Bytes of texts that share posting lists; list entries of a part of the blocks; groups of ids; texts whose sums a task holds before
+#: it hands them on.
+BLOCK, PART, GROUPS, HELD = 2_000_000, 1 << 23, 16, 1 << 20
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 FOUND = "block bigint, idx int, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, b int, a int, links bigint, texts int, in_block int, postings binary"
 
@@ -103,11 +105,11 @@ def unlike(model, ids: np.ndarray, bounds: np.ndarray, offsets: np.ndarray, data
 
 
 def _digits(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Decimal digits of each number below `size`, from the left, and how many they are."""
+    """Decimal digits of each number below `size`, from the left with a place behind them, and how many they are."""
     n = np.arange(size)
     width = len(str(max(size - 1, 0)))
-    count = np.maximum(1, np.sum(n[:, None] >= 10 ** np.arange(1, width + 1), axis=1) + 1)
-    place = count[:, None] - 1 - np.arange(width)
+    count = np.sum(n[:, None] >= 10 ** np.arange(1, width + 1), axis=1) + 1
+    place = count[:, None] - 1 - np.arange(width + 1)
     return (n[:, None] // 10 ** np.maximum(place, 0) % 10 + 0x30).astype(np.uint8), count
 
 
@@ -117,55 +119,57 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str) -> None:
         self.a, self.b = bpe(path_a), piece_bpe(path_b)
         self.digits, self.widths = _digits(max(len(self.a.lengths), self.b.size))
+        self.shown = np.arange(self.digits.shape[1]) <= self.widths[:, None]
 
     def tokens(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Ids, ends and text of each token of either side, but for texts that a side doesn't give back."""
-        offsets, data = spaced(offsets, data)
-        sides = [(m, *m.encode_block(offsets, data)) for m in (self.a, self.b)]
-        bad = functools.reduce(np.logical_or, [unlike(m, ids, bounds, offsets, data) for m, ids, bounds in sides]) if len(data) else np.zeros(len(offsets) - 1, bool)
+        """Ids, places of the last byte and text of each token of either side, but for texts that side B doesn't give back.
+
+        Side A has a token for each byte, so its tokens always are the text."""
+        n = len(offsets) - 1
+        ids_b, bounds = self.b.encode_block(offsets, data)
+        bad = unlike(self.b, ids_b, bounds, offsets, data)
         out: list[np.ndarray] = []
-        for model, ids, bounds in sides:
-            text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-            keep = ~bad[text]
-            ids, text = ids[keep].astype(np.int64), text[keep]
+        for model, ids, bounds in ((self.a, *self.a.encode_block(offsets, data)), (self.b, ids_b, bounds)):
+            count = np.diff(bounds)
+            if bad.any():
+                ids = ids[np.repeat(~bad, count)]
+                count = np.where(bad, 0, count)
             lengths = model.lengths[ids]
-            inside = np.cumsum(lengths)
-            begin = np.searchsorted(text, text)  # the text's first token
-            inside -= (inside - lengths)[begin] if len(ids) else 0
-            out += [ids, offsets[text] + inside, text]
+            ends = np.cumsum(lengths)
+            text = np.repeat(np.arange(n), count)
+            if bad.any():  # bytes of texts that are left out stand between
+                ends += np.cumsum(np.where(bad, np.diff(offsets), 0))[text]
+            out += [ids.astype(np.int64), ends - 1, text]
         return tuple(out)
 
     def align(self, offsets: np.ndarray, data: np.ndarray) -> dict:
+        offsets, data = spaced(offsets, data)
         n = len(offsets) - 1
         a, end_a, text_a, b, end_b, text_b = self.tokens(offsets, data)
-        both = np.intersect1d(end_a, end_b, assume_unique=True)
-        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        ends_a, ends_b = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        ends_a[end_a] = ends_b[end_b] = True
+        rank_a, rank_b, common = (np.cumsum(x, dtype=np.int32) for x in (ends_a, ends_b, ends_a & ends_b))
+        both = np.flatnonzero(ends_a & ends_b)
+        group_a, group_b = (common[x] - (ends_a & ends_b)[x] for x in (end_a, end_b))
         # every stretch between neighbouring ends of either side is the overlap of one pair
-        ends = np.union1d(end_a, end_b)
-        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        text = text_a[at_a] if len(ends) else np.zeros(0, np.int64)
-        counts = [np.bincount(x, minlength=n) for x in (text_a, text_b, text_a[np.searchsorted(end_a, both)] if len(both) else text_a[:0], text)]
-        return {"counts": counts, "groups": self._written(a, b, group_a, group_b, text_a, text_b, n), "pair": b[at_b] * len(self.a.lengths) + a[at_a], "text": text}
-
-    def _written(self, a, b, group_a, group_b, text_a, text_b, n: int) -> list[str]:
+        ends = np.flatnonzero(ends_a | ends_b)
+        at_a, at_b = rank_a[ends] - ends_a[ends], rank_b[ends] - ends_b[ends]
+        text = text_a[at_a]
+        counts = [np.bincount(x, minlength=n) for x in (text_a, text_b, text_a[rank_a[both] - 1], text)]
+        # a token stands behind its side's tokens before it, and behind the other side's of groups before its own (side B: up to it)
+        put_a = np.arange(len(a)) + np.concatenate(([0], rank_b[both]))[group_a]
+        put_b = np.arange(len(b)) + rank_a[both][group_b]
+        ids, behind = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[put_a], ids[put_b] = a, b
+        behind[put_a[rank_a[both] - 1]], behind[put_b[rank_b[both] - 1]] = ord("|"), ord(";")
+        return {"counts": counts, "groups": self._written(ids, behind, counts[0] + counts[1]), "pair": b[at_b] * len(self.a.lengths) + a[at_a], "text": text}
+
+    def _written(self, ids: np.ndarray, behind: np.ndarray, counts: np.ndarray) -> list[str]:
         """Hash of each text's groups as text; empty where a text has no tokens."""
-        ids, text = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.int64)
-        behind = np.full(len(ids), ord(","), np.uint8)
-        # a token stands behind all of its side before it, and behind the other side's of groups before its own (B: up to its own)
-        put_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
-        put_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
-        ids[put_a], ids[put_b], text[put_a], text[put_b] = a, b, text_a, text_b
-        behind[put_a[np.append(group_a[1:] != group_a[:-1], True)[: len(a)]]] = ord("|")
-        behind[put_b[np.append(group_b[1:] != group_b[:-1], True)[: len(b)]]] = ord(";")
-        widths = self.widths[ids] + 1
-        ends = np.cumsum(widths)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-        for k in range(self.digits.shape[1]):
-            some = np.flatnonzero(widths > k + 1)
-            out[(ends - widths)[some] + k] = self.digits[ids[some], k]
-        if len(ends):
-            out[ends - 1] = behind
-        raw, bounds = out.tobytes(), np.concatenate(([0], ends))[np.searchsorted(text, np.arange(n + 1))].tolist()
+        rows = self.digits[ids]
+        rows[np.arange(len(ids)), self.widths[ids]] = behind
+        raw = rows[self.shown[ids]].tobytes()
+        bounds = np.concatenate(([0], np.cumsum(self.widths[ids] + 1)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
         return [hashlib.sha256(raw[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(bounds[:-1], bounds[1:])]
 
     def postings(self, pair: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
@@ -210,7 +214,7 @@ SUMS = "block bigint, idx int, n_best bigint, count_sum bigint"
 
 
 def _contributions(streams: DataFrame) -> DataFrame:
-    """Rows of SUMS from streams that hold, for each part of an id, a pair's counts (no postings) and then its lists."""
+    """Rows of SUMS from streams that hold a pair's counts (no postings) and then its lists in a part of the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, 0), np.int64)
@@ -261,16 +265,18 @@ def align(docs: DataFrame, path_a: str, path_b: str, keep: list[str], text_col:
     """The kept columns; n_a, n_b (tokens), n_groups, n_links, n_best, count_sum and groups_sha256 of each row of docs."""
     new = [*NUMBERS, "n_best", "count_sum", "groups_sha256"]
     found = store(_blocks(docs, path_a, path_b, [c for c in keep if c not in new], text_col), "aligned")
-    lists = found.where(F.col("b").isNotNull()).select("b", "a", "links", "texts", "block", "in_block", "postings")
-    pairs = store(lists.groupBy("b", "a").agg(F.sum("links").alias("n"), F.sum("texts").alias("texts")), "pairs")
-    ids = pairs.groupBy("b").agg(F.max("n").alias("most"), F.ceil(F.sum("texts") / part).cast("int").alias("parts"))  # a row for each id of side B
-    counts = pairs.join(ids, "b").select("b", "a", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "n", (F.col("n") == F.col("most")).alias("best"))
+    lists = found.where(F.col("b").isNotNull())
+    entries = lists.agg(F.sum("texts")).first()[0] or 0
+    of = F.pmod(F.xxhash64("block"), F.lit(-(-entries // part) or 1)).cast("int").alias("part")
+    lists = lists.select(of, "b", "a", "links", "block", "in_block", "postings")
+    there = store(lists.groupBy("part", "b", "a").agg(F.sum("links").alias("links")), "pairs-of-parts")
+    pairs = there.groupBy("b", "a").agg(F.sum("links").alias("n"))
+    pairs = store(pairs.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b"))), "pairs")  # as many rows of an id as side A has ids at most
     none = lambda kind: F.lit(None).cast(kind)
-    counts = counts.select("b", "part", "a", F.lit(0).alias("kind"), "n", "best", none("bigint").alias("block"), none("int").alias("in_block"), none("binary").alias("postings"))
-    many = store(ids.where(F.col("parts") > 1).select("b", "parts"), "many")
-    dealt = lists.join(many, "b", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"), F.lit(0)))
-    dealt = dealt.select("b", "part", "a", F.lit(1).alias("kind"), none("bigint").alias("n"), none("boolean").alias("best"), "block", "in_block", "postings")
-    streams = counts.unionByName(dealt).repartition("b", "part").sortWithinPartitions("b", "part", "a", "kind")
+    counts = there.join(pairs, ["b", "a"]).select("part", "b", "a", F.lit(0).alias("kind"), "n", "best", none("bigint").alias("block"), none("int").alias("in_block"), none("binary").alias("postings"))
+    dealt = lists.select("part", "b", "a", F.lit(1).alias("kind"), none("bigint").alias("n"), none("boolean").alias("best"), "block", "in_block", "postings")
+    group = F.pmod(F.xxhash64("b"), F.lit(GROUPS))
+    streams = counts.unionByName(dealt).withColumn("group", group).repartition("part", "group").sortWithinPartitions("part", "group", "b", "a", "kind")
     sums = _contributions(small_batches(streams.select("n", "best", "block", "in_block", "postings")))
     sums = sums.groupBy("block", "idx").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     texts = found.where(F.col("b").isNull()).select("kept", "block", "idx", *NUMBERS, "groups_sha256")
