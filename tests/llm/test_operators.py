@@ -366,6 +366,48 @@ def test_repeated_rows_and_ids(spark):
     assert suffix_dedup.remove(df.limit(0), ["doc_id"]).count() == 0
 
 
+def thue_morse(n, first="ab"):
+    """A text of two letters and, with the letters changed, another: sums of powers modulo 2 ** 64 cannot tell them apart."""
+    return "".join(first[i.bit_count() % 2] for i in range(n))
+
+
+def test_texts_of_one_hash_stay_apart_in_suffix_dedup(spark):
+    rng = random.Random(37)
+    passage, other = text_of(rng, 120)[:420], text_of(rng, 120)[:420]
+    ids = spark.range(60_000)
+    left = ids.select(F.concat("id", F.lit(" " + passage)).alias("x")).select("x", F.hash("x").alias("h"))
+    right = ids.select(F.concat("id", F.lit(" " + other)).alias("y")).select("y", F.hash("y").alias("h"))
+    pair = left.join(right, "h").orderBy("h").first()
+    for own in (None, 5):
+        texts = ["start " + passage, pair["x"], pair["y"]]
+        df = spark.createDataFrame([(1, texts[0]), (own, texts[1]), (own, texts[2])], "doc_id bigint, text string")
+        got = sorted((r["n_bytes"], r["n_removed"], bytes(r["kept_bytes"])) for r in suffix_dedup.remove(df, ["doc_id"]).collect())
+        assert got == sorted((n, gone, kept) for n, gone, _, kept in removed(texts, 400))
+    texts = [thue_morse(2048), thue_morse(2048, "ba"), "x" + thue_morse(2048)]
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove(documents(spark, texts), ["doc_id"], length=1500).collect()}
+    assert [got[i] for i in range(3)] == [gone for _, gone, _, _ in removed(texts, 1500)]
+
+
+def test_long_slices_of_one_hash_stay_apart(spark):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(MULTI, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [thue_morse(n, x) for n in (1024, 2048, 4096) for x in ("ab", "ba")]
+    rows = byte_bpe.encode(documents(spark, texts).coalesce(1), MULTI, round_trip=True).collect()
+    assert all(np.frombuffer(r["ids"], "<u4").tolist() == library.encode_ordinary(texts[r["doc_id"]]) and bytes(r["decoded"]).decode() == texts[r["doc_id"]] for r in rows)
+    model = WordBpe(WORDS)
+    want = [x.ids for x in model.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    folder = token_store.write(documents(spark, texts).coalesce(1), WORDS, end=1)
+    assert all(np.frombuffer(r["ids"], "<u4").tolist() == [*want[r["doc_id"]], 1] for r in token_store.read(spark, folder).collect())
+    pieces = packing.pack(documents(spark, texts).coalesce(1), WORDS, end=2, with_ids=True).collect()
+    for i in range(len(texts)):
+        mine = sorted((r["start"], bytes(r["ids"])) for r in pieces if r["doc_id"] == i)
+        assert np.frombuffer(b"".join(x for _, x in mine), "<u4").tolist() == [*want[i], 2]
+
+
 def test_matching_statistics_equal_brute_force():
     rng = random.Random(19)
     for _ in range(30):

@@ -107,14 +107,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hashes of any slices of a byte array, from prefix sums of random byte values times powers of an odd base.
 
-    Powers are shared by all seeds of a worker, so they cost 16 bytes for each byte of the largest block once.
+    Sums modulo 2 ** 64 give some long texts of two letters one hash whatever the base. Where a hash alone decides, `prime` adds a
+    second sum modulo a prime, where such texts differ as others do. Powers are shared by all seeds of a worker, so they cost 16
+    bytes (with a prime 32) for each byte of the largest block once.
     """
 
     base = int(mix(np.array([978], np.uint64))[0]) | 5
+    modulus = (1 << 31) - 1
+    prime_base = base % modulus
     _up, _down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+    _prime_up, _prime_down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def __init__(self, seed: int = 1) -> None:
+    def __init__(self, seed: int = 1, prime: bool = False) -> None:
         self.values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 7919))
+        self.prime = prime
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(Rolling._up) < n:
@@ -124,16 +130,33 @@ class Rolling:
             Rolling._up, Rolling._down = np.cumprod(up), np.cumprod(down)
         return Rolling._up[:n], Rolling._down[:n]
 
+    def prime_powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(Rolling._prime_up) < n:
+            found = []
+            for base in (self.prime_base, pow(self.prime_base, -1, self.modulus)):
+                out = np.ones(1, np.uint64)
+                while len(out) < n + n // 8:  # twice as many each time
+                    out = np.concatenate((out, out * np.uint64(pow(base, len(out), self.modulus)) % np.uint64(self.modulus)))
+                found.append(out)
+            Rolling._prime_up, Rolling._prime_down = found
+        return Rolling._prime_up[:n], Rolling._prime_down[:n]
+
     def prefix(self, data: np.ndarray) -> np.ndarray:
-        """Prefix sums over bytes, or over code points."""
-        out = np.zeros(len(data) + 1, np.uint64)
+        """Prefix sums over bytes, or over code points; those modulo a prime are a second row."""
+        out = np.zeros((2, len(data) + 1) if self.prime else len(data) + 1, np.uint64)
         values = self.values[data] if data.dtype == np.uint8 else mix(data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        np.cumsum(values * self.powers(len(data) + 1)[0][:-1], out=out[1:])
+        np.cumsum(values * self.powers(len(data) + 1)[0][:-1], out=out[0, 1:] if self.prime else out[1:])
+        if self.prime:  # 2 ** 33 terms below 2 ** 31 have room
+            np.cumsum((values >> np.uint64(33)) * self.prime_powers(len(data) + 1)[0][:-1] % np.uint64(self.modulus), out=out[1, 1:])
         return out
 
     def slices(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        down = self.powers(len(prefix))[1]
-        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        long = prefix[0] if self.prime else prefix
+        out = mix((long[ends] - long[starts]) * self.powers(len(long))[1][starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        if self.prime:
+            rest = (prefix[1, ends] - prefix[1, starts]) % np.uint64(self.modulus) * self.prime_powers(len(long))[1][starts] % np.uint64(self.modulus)
+            out = mix(out ^ mix(rest + np.uint64(1)))
+        return out
 
 
 #: Masks of the lowest bytes of a number.

@@ -55,10 +55,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns for strings of 400 bytes; text: what is left when passages of over 50 words that repeat go."""
-    rows = suffix_dedup.remove(table(spark, sf_dir, "documents"), ["doc_id"], passage=suffix_dedup.PASSAGE)
-    text = F.make_valid_utf8(F.col("kept_passages").cast("string"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), "n_passages", "passage_bytes", text.alias("text"))
+    """text: what is left, with U+FFFD where a cut splits a character."""
+    rows = suffix_dedup.remove(table(spark, sf_dir, "documents"), ["doc_id"])
+    text = F.make_valid_utf8(F.col("kept_bytes").cast("string"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), text.alias("text"))
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ ones are put together again, and the others are indexed or cut once more. After
 string. A passage gives SPLIT rows a level, and no group comes together in one task unless it fits one index.
 
 Defined cases: a null text counts as empty; texts shorter than the length lose nothing. Rows that repeat a text repeat each other.
-A doc_id that two different texts carry is two documents; rows without one are documents too. An empty table gives no rows. Cutting
+A doc_id that two different texts carry is two documents; rows without one are documents too. A document is known by 128 bits of
+its id and text, a passage by 64 bits beside its anchor's and both by two kinds of hash. An empty table gives no rows. Cutting
 at bytes can split a character, so what is kept is binary.
 """
 
@@ -35,7 +36,7 @@ LENGTH, INDEX_BYTES, SPLIT = 400, 1_500_000, 4
 #: Bytes and words of a passage: over 50 words, which seldom take less than 200 bytes.
 PASSAGE = (200, 51)
 #: shift: how far the anchor stands behind the start of the first string.
-ANCHORS = "doc_id bigint, th int, anchor bigint, passage bigint, first int, windows int, shift int"
+ANCHORS = "row bigint, row2 bigint, anchor bigint, passage bigint, first int, windows int, shift int"
 
 
 def anchor_bytes(length: int) -> int:
@@ -49,10 +50,10 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tupl
     none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     if n < length:
         return none
-    rolling = Rolling(11)
+    rolling = Rolling(11, prime=True)
     prefix = rolling.prefix(data)
     # hash of the anchor at each place above the place itself; slices of equal length need no further mixing for their order
-    keys = (prefix[k:] - prefix[: n - k + 1]) * rolling.powers(n + 1)[1][: n - k + 1]
+    keys = (prefix[0, k:] - prefix[0, : n - k + 1]) * rolling.powers(n + 1)[1][: n - k + 1]
     keys &= ~np.uint64((1 << 31) - 1)
     keys |= np.arange(n - k + 1, dtype=np.uint64)
     # least key of each w in a row: suffix minima of one chunk, prefix minima of the next
@@ -158,7 +159,7 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray, depth: int) -> np.ndarra
 
 def common_beginnings(text: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the longest common beginning of pairs of suffixes, by binary search on hashes of their slices."""
-    rolling = Rolling(13)
+    rolling = Rolling(13, prime=True)
     prefix = rolling.prefix(text)
     low, high = np.zeros(len(a), np.int64), np.minimum(left[a], left[b])
     while len(open_ := np.flatnonzero(low < high)):
@@ -180,7 +181,7 @@ def pieces(texts: list[bytes], windows: np.ndarray, shift: np.ndarray, anchor: n
     block = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + low[of]
     s = shift[of]
     largest, least = np.minimum(s, (block + 1) * step - 1), np.maximum(s - windows[of] + 1, block * step)
-    rolling = Rolling(19)
+    rolling = Rolling(19, prime=True)
     prefix = rolling.prefix(np.frombuffer(b"".join(texts), np.uint8))
     base = offsets[of] + s
     core = rolling.slices(prefix, base - block * step, base - np.minimum((block + 1) * step - 1, most) + length)
@@ -196,31 +197,32 @@ def ranges(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.flatnonzero(edges == -1) - first
 
 
-def _key(id_col: str) -> Column:
-    """The id, or a number in place of a null, which would join with nothing."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    """Two numbers that name a document by its id and text, 128 bits together: rows without an id differ by their texts."""
+    name, text = F.col(id_col).cast("string"), F.col(text_col)
+    return [F.xxhash64(name.isNull(), name, text).alias("row"), F.xxhash64(F.lit("second"), text, name, name.isNull()).alias("row2")]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(_key(id_col).alias("doc_id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
+    return docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
 
 
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, th = batch.column(0), batch.column(1)
+            row, row2 = batch.column(0), batch.column(1)
             for at, offsets, data in blocks(batch.column(2)):
                 owner, anchor, passage, first, count, shift = anchors(offsets, data, length)
                 mine = pa.array(owner + at)
-                yield pa.RecordBatch.from_arrays([ids.take(mine), th.take(mine), pa.array(anchor.view(np.int64)), pa.array(passage.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (first, count, shift))], names=[x.split()[0] for x in ANCHORS.split(", ")])
+                yield pa.RecordBatch.from_arrays([row.take(mine), row2.take(mine), pa.array(anchor.view(np.int64)), pa.array(passage.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (first, count, shift))], names=[x.split()[0] for x in ANCHORS.split(", ")])
 
     return small_batches(rows).mapInArrow(run, ANCHORS)
 
 
 #: A run of strings that repeat (anchor null), or a piece of a passage for the next level. single: its strings may need a mark.
-FOUND = "doc_id bigint, th int, first int, windows int, shift int, single boolean, anchor bigint, passage bigint, passage_text binary"
-_FOUND_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-_ASKED = ["doc_id", "th", "first", "windows", "shift", "single", "anchor", "part", "parts", "passage_text"]
+FOUND = "row bigint, row2 bigint, first int, windows int, shift int, single boolean, anchor bigint, passage bigint, passage_text binary"
+_FOUND_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+_ASKED = ["row", "row2", "first", "windows", "shift", "single", "anchor", "part", "parts", "passage_text"]
 
 
 def _matched(texts: DataFrame, length: int, index_bytes: int, step: int) -> DataFrame:
@@ -235,13 +237,13 @@ def _matched(texts: DataFrame, length: int, index_bytes: int, step: int) -> Data
         return *numbers.T, np.array([x[5] for x in held], bool), np.array([x[6] for x in held], np.int64), [x[-1] for x in held]
 
     def cut(held: list[tuple]) -> pa.RecordBatch:
-        doc, th, first, windows, shift, single, anchor, text = columns(held)
+        row, row2, first, windows, shift, single, anchor, text = columns(held)
         of, begin, n, to, core, whole = pieces(text, windows, shift, anchor, length, step)
         part = [text[i][a : a + m + length - 1] for i, a, m in zip(of.tolist(), begin.tolist(), n.tolist())]
-        return batch_of([doc[of], th[of], first[of] + begin, n, to, single[of], core, whole, part])
+        return batch_of([row[of], row2[of], first[of] + begin, n, to, single[of], core, whole, part])
 
     def answer(held: list[tuple]) -> pa.RecordBatch:
-        doc, th, first, windows, shift, single, anchor, text = columns(held)
+        row, row2, first, windows, shift, single, anchor, text = columns(held)
         # strings of a range whose core no other passage holds cannot repeat, so their bytes stay out of the index
         of, begin, n, _, core, _ = pieces(text, windows, shift, anchor, length, step)
         _, at, count = np.unique(core, return_inverse=True, return_counts=True)
@@ -262,7 +264,7 @@ def _matched(texts: DataFrame, length: int, index_bytes: int, step: int) -> Data
                 out[2] += sizes.tolist()
         who = np.array(out[0], np.int64)
         empty = [None] * len(who)
-        return batch_of([doc[who], th[who], out[1], out[2], empty, empty, empty, empty, empty])
+        return batch_of([row[who], row2[who], out[1], out[2], empty, empty, empty, empty, empty])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -295,7 +297,7 @@ def _matched(texts: DataFrame, length: int, index_bytes: int, step: int) -> Data
 
 def _grouped(candidates: DataFrame, length: int, index_bytes: int, more: list) -> tuple[DataFrame, DataFrame]:
     """Different passages with copies and one place of each (and `more`), and the anchors that different ones share, with parts."""
-    one = F.struct("doc_id", "th", "first", "windows", "shift", "single")
+    one = F.struct("row", "row2", "first", "windows", "shift", "single")
     passages = store(candidates.groupBy("anchor", "passage").agg(F.count("*").alias("copies"), F.min(one).alias("one"), *more), "passages")
     alone = (F.col("copies") == 1) & F.col("one.single")
     groups = passages.groupBy("anchor").agg(F.count("*").alias("different"), F.count_if(alone).alias("alone"), F.sum(F.col("one.windows") + length).alias("bytes"))
@@ -308,15 +310,15 @@ def _wanted(passages: DataFrame, groups: DataFrame) -> DataFrame:
     part = F.pmod(F.col("passage"), F.col("parts")).cast("int")
     wanted = passages.join(groups, "anchor").select("*", part.alias("part"))
     single = (F.col("copies") == 1) & F.col("one.single")
-    place = [F.col(f"one.{c}").alias(c) for c in ("doc_id", "th", "first", "windows", "shift")]
+    place = [F.col(f"one.{c}").alias(c) for c in ("row", "row2", "first", "windows", "shift")]
     return wanted.withColumns({"single": single}).select(*place, "single", "anchor", "part", "parts", *[c for c in passages.columns if c == "passage_text"])
 
 
-MARKS = ["doc_id", "th", "first", "windows"]
+MARKS = ["row", "row2", "first", "windows"]
 
 
 def repeated(rows: DataFrame, length: int, index_bytes: int) -> DataFrame:
-    """Rows (doc_id, th, spans) from rows of _rows: for each document the runs [a, b] of its strings that repeat, in order."""
+    """Rows (row, row2, spans) from rows of _rows: for each document the runs [a, b] of its strings that repeat, in order."""
     all_anchors = store(_anchor_rows(rows, length), "all-anchors")
     # kept as a table: a join of two plain exchanges is one whose hot anchors adaptive execution can split
     twice = store(all_anchors.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "repeated-anchors")
@@ -325,10 +327,10 @@ def repeated(rows: DataFrame, length: int, index_bytes: int) -> DataFrame:
 
     # text of one copy of each passage that has to be compared; substring of the bytes: JVM-side, one slice for each passage
     places = _wanted(passages, groups)
-    asked = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*[c for c in places.columns if c not in ("doc_id", "th")])).alias("asked"))
-    one_each = rows.join(asked, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    asked = places.groupBy("row", "row2").agg(F.collect_list(F.struct(*[c for c in places.columns if c not in ("row", "row2")])).alias("asked"))
+    one_each = rows.join(asked, ["row", "row2"]).dropDuplicates(["row", "row2"])
     cut_out = F.substring("bytes", F.col("first") + 1, F.col("windows") + length - 1)
-    texts = one_each.select("doc_id", "th", F.inline("asked"), F.encode("text", "utf-8").alias("bytes")).withColumn("passage_text", cut_out)
+    texts = one_each.select("row", "row2", F.inline("asked"), F.encode("text", "utf-8").alias("bytes")).withColumn("passage_text", cut_out)
 
     step, marks = length - anchor_bytes(length) + 1, []
     while True:
@@ -344,7 +346,7 @@ def repeated(rows: DataFrame, length: int, index_bytes: int) -> DataFrame:
     all_marks = functools.reduce(DataFrame.unionByName, marks)
     # strings in order of their start; what they cover is put together where it is cut
     sorted_ = F.array_sort(F.collect_set(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("windows") + (length - 1)).alias("b"))))
-    return all_marks.groupBy("doc_id", "th").agg(sorted_.alias("spans"))
+    return all_marks.groupBy("row", "row2").agg(sorted_.alias("spans"))
 
 
 def _runs(spans: list, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -387,17 +389,17 @@ def remove(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: s
         if length and passage[0] <= length:
             found = store(found, "passages-of-texts")
             reach = F.array_max(F.transform("passages", lambda x: x["b"])) - F.element_at("passages", 1)["a"]
-            rows = store(rows.join(found.where(reach >= length).select("doc_id", "th"), ["doc_id", "th"], "left_semi"), "long-passages")
+            rows = store(rows.join(found.where(reach >= length).select("row", "row2"), ["row", "row2"], "left_semi"), "long-passages")
     if length:
         spans = repeated(rows, length, index_bytes)
-        found = spans if found is None else found.join(spans, ["doc_id", "th"], "full")
+        found = spans if found is None else found.join(spans, ["row", "row2"], "full")
     schema = ", ".join([CUT] * bool(length) + [PASSAGE_CUT] * bool(passage))
     names = [x.split()[0] for x in schema.split(", ")]
     keep = [c for c in keep if c not in names]
-    texts = docs.select(_key(id_col).alias("_id"), F.hash(text_col).alias("_th"), F.struct(*keep).alias("_kept"), F.col(text_col).alias("_text"))
+    texts = docs.select(*[c.alias(f"_{c0}") for c, c0 in zip(_keys(id_col, text_col), ("row", "row2"))], F.struct(*keep).alias("_kept"), F.col(text_col).alias("_text"))
     none = F.lit(None).cast("array<struct<a:int,b:int>>")
-    both = found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), *[(F.col(c) if c in found.columns else none).alias(c) for c in ("spans", "passages")])
-    joined = texts.join(both, ["_id", "_th"], "left").select("_kept", "_text", "spans", "passages")
+    both = found.select(F.col("row").alias("_row"), F.col("row2").alias("_row2"), *[(F.col(c) if c in found.columns else none).alias(c) for c in ("spans", "passages")])
+    joined = texts.join(both, ["_row", "_row2"], "left").select("_kept", "_text", "spans", "passages")
     kept_type = joined.schema["_kept"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
