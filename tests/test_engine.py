@@ -296,18 +296,6 @@ def test_job_lists(spark):
         batch.doomed(outputs, rows, "s/e1")
     shares = spark.createDataFrame([("a", i, s) for i, s in enumerate([0.05, 0.12, 0.17, 0.35, 0.39, 1.02])], "id string, at int, share double")
     assert [(r["at"], r["percent"]) for r in jobs.deciles(shares).orderBy("at").collect()] == [(1, 12), (3, 35), (5, 100)]
-    done = []
-
-    def work(name):
-        done.append(name)
-        if name == "b":
-            raise RuntimeError("broken")
-
-    queue = jobs.Queue(work)
-    for name in "abcd":
-        queue.submit(name)
-    queue.cancel("c")
-    assert queue.drain() == [("c", "cancelled", None), ("a", "done", None), ("b", "failed", "broken"), ("d", "done", None)] and done == ["a", "b", "d"]
 
     def refuse(_):
         raise OSError("read only")

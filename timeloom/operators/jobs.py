@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,32 +38,6 @@ def deciles(progress: DataFrame) -> DataFrame:
     return progress.withColumns({"percent": share, "_t": tenth, "_b": F.coalesce(best, F.lit(0))}).where(F.col("_t") > F.col("_b")).drop("_t", "_b")
 
 
-class Queue:
-    """Jobs in order of arrival, one at a time: a driver loop, as each job is a Spark plan of its own."""
-
-    def __init__(self, work: Callable[[str], None]) -> None:
-        self.work, self.waiting, self.rows = work, deque(), []
-
-    def submit(self, name: str) -> None:
-        self.waiting.append(name)
-
-    def cancel(self, name: str) -> None:
-        if name in self.waiting:
-            self.waiting.remove(name)
-            self.rows.append((name, "cancelled", None))
-
-    def drain(self) -> list[tuple[str, str, str | None]]:
-        """Run all that waits; (name, state, error) of every job so far. One that fails stops nothing."""
-        while self.waiting:
-            name = self.waiting.popleft()
-            try:
-                self.work(name)
-                self.rows.append((name, "done", None))
-            except Exception as e:
-                self.rows.append((name, "failed", str(e)))
-        return self.rows
-
-
 def newest(jobs: DataFrame, by: str = "started", tie: str = "id") -> DataFrame:
     return jobs.orderBy(F.desc(by), tie)
 

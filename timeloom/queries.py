@@ -6,8 +6,10 @@ of both kinds occur), cues are conversation turns or lines of documents, speaker
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from timeloom.operators import glossary, jobs, joins, metrics, protect, retime,
 from timeloom.plans import batch, process, training
 from timeloom.sources import glossaries
 from timeloom.storage import shared_dir
-from timeloom.streaming import sessions
+from timeloom.streaming import queue, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -735,23 +737,83 @@ def training_rows(spark, sf_dir):
   ("k", "SELECT *, sum(CASE WHEN open IS NULL OR round((start - open) * 1000) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY start, seq) AS session FROM o"))
   + 'SELECT file_id, CAST(round(min(start) * 1000) AS BIGINT) * 1000 AS start_us, max("end") AS "end", count(*) AS n_words FROM k GROUP BY file_id, session')
 def stream_sessions(spark, sf_dir):
-    """Words as a file stream in append mode; finished sessions go to a table beside the stream's checkpoint.
-
-    A last word a day later lets the watermark pass all sessions before it."""
-    import uuid
+    """Words of three groups of files that arrive one after another, a batch each; the stream starts anew for each from its checkpoint.
 
+    A last word a day later is what lets the timers of the files before it run out."""
     place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    arrived = lambda n: F.timestamp_seconds(F.lit(n)).alias("arrived")
     rows = words(spark, sf_dir).select("file_id", "start", "end")
-    last = rows.agg((F.max("end") + 86_400).alias("start")).select(F.lit(-1).cast("long").alias("file_id"), "start", F.col("start").alias("end"))
-    schema = "file_id bigint, start double, end double"
-    rows.write.parquet(f"{place}/in")
-    stream = lambda: sessions.gap_sessions(spark.readStream.schema(schema).parquet(f"{place}/in"))
-    for part in (None, last):
-        if part is not None:
-            part.write.mode("append").parquet(f"{place}/in")
-        run = stream().writeStream.outputMode("append").format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    parts = [rows.where(F.pmod("file_id", F.lit(3)) == i).select("*", arrived(3600 * (i + 1))) for i in range(3)]
+    parts.append(spark.range(1).select(F.lit(-1).cast("bigint").alias("file_id"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), arrived(86_400)))
+    for part in parts:
+        part.write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{place}/in")
+        with sessions.state_store(spark):
+            run = sessions.gap_sessions(stream).writeStream.outputMode("append").format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(sessions.SESSIONS).parquet(f"{place}/out").where(F.col("file_id") >= 0)
+
+
+_EVENT = "CASE event_type WHEN 'view' THEN 'submit' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'fail' ELSE 'cancel' END"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event, event_id) AS k, event, concat(event, ' ', event_id) AS line FROM (SELECT *, {_EVENT} AS event FROM events)),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS k, CASE WHEN user_id % 2 = 0 THEN 'queued' ELSE '' END AS state FROM e UNION ALL
+  SELECT f.user_id, e.k, CASE WHEN f.state = '' AND event = 'submit' THEN 'queued' WHEN f.state = 'queued' AND event = 'start' THEN 'running' WHEN f.state = 'queued' AND event = 'cancel' THEN 'cancelled'
+    WHEN f.state = 'running' AND event = 'finish' THEN 'done' WHEN f.state = 'running' AND event = 'fail' THEN 'failed' WHEN f.state = 'running' AND event = 'cancel' THEN 'cancelled' ELSE f.state END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1),
+l AS (SELECT user_id, list(line ORDER BY k) AS lines FROM e GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS id, arg_max(state, k) AS state, max(k) AS n_events, len(list_concat(CASE WHEN user_id % 2 = 0 THEN ['was there'] ELSE [] END, any_value(lines))[-40:]) AS n_lines,
+  any_value(lines)[-1] AS last FROM f JOIN l USING (user_id) GROUP BY user_id""")
+def job_stream(spark, sf_dir):
+    """Events as a stream of job events in two batches, over a history in which every second job waits already."""
+    place = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    kind = F.col("event_type")
+    event = F.when(kind == "view", "submit").when(kind == "click", "start").when(kind == "purchase", "finish").when(kind == "error", "fail").otherwise("cancel")
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("at"), event.alias("event"), F.concat_ws(" ", event, F.col("event_id").cast("string")).alias("line"))
+    before, middle = rows.agg(F.min("at"), F.timestamp_micros(((F.unix_micros(F.min("at")) + F.unix_micros(F.max("at"))) / 2).cast("bigint"))).first()
+    history = rows.select("id").distinct().where(F.col("id").cast("bigint") % 2 == 0)
+    history = history.select("id", F.lit("queued").alias("state"), F.lit(0).cast("bigint").alias("n_events"), F.array(F.lit("was there")).alias("log"), F.lit(before).alias("at"))
+    for part in (rows.where(F.col("at") < middle), rows.where(F.col("at") >= middle)):
+        part.write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{place}/in")
+        with sessions.state_store(spark):
+            run = sessions.job_states(stream, history, keep="3650 days").writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{place}/out/{n}")).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
         run.awaitTermination()
-    return spark.read.parquet(f"{place}/out").where(F.col("file_id") >= 0)
+    updates = spark.read.schema(f"{sessions.STATES}, batch int").option("recursiveFileLookup", "true").parquet(f"{place}/out")
+    last = updates.groupBy("id").agg(F.max_by(F.struct("state", "n_events", "log"), "batch").alias("x"))
+    return last.select("id", "x.state", "x.n_events", F.size("x.log").alias("n_lines"), F.element_at("x.log", -1).alias("last"))
+
+
+@query("""SELECT CAST(o_custkey % 7 AS VARCHAR) AS id, CASE o_custkey % 7 WHEN 5 THEN 'failed' WHEN 6 THEN 'cancelled' ELSE 'done' END AS state,
+  CASE WHEN o_custkey % 7 < 5 THEN count(*) END AS n_orders, CASE WHEN o_custkey % 7 < 5 THEN CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) END AS cents, 1 AS times FROM orders GROUP BY o_custkey % 7""")
+def queue_flow(spark, sf_dir):
+    """Seven jobs, a file each, that add up orders. The stream stops between the third job's entry and its end and starts again; one
+    job fails and one is cancelled. Every job is in the ledger once."""
+    place = f"{shared_dir(spark)}/queue-{uuid.uuid4().hex}"
+    for i in range(7):
+        spark.range(1).select(F.lit(str(i)).alias("id"), F.lit("fail" if i == 5 else "add").alias("task")).coalesce(1).write.mode("append").json(f"{place}/inbox")
+    queue.cancel(spark, place, ["6"])
+
+    def work(jobs: DataFrame) -> DataFrame:
+        if not jobs.where("task = 'fail'").isEmpty():
+            raise ValueError("a task that is not known")
+        orders = _table(jobs.sparkSession, sf_dir, "orders").select(F.pmod("o_custkey", F.lit(7)).cast("string").alias("id"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+        return orders.join(jobs.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("n_orders"), F.sum("cents").alias("cents"))
+
+    stops = iter([False, False, True])
+
+    def stop(batch: int) -> None:
+        if next(stops, False):
+            raise RuntimeError("stopped before the batch could end")
+
+    for _ in range(2):
+        try:
+            queue.drain(spark, f"{place}/inbox", place, "id string, task string", work, after_commit=stop)
+        except StreamingQueryException:
+            continue
+    entries = queue.ledger(spark, place).groupBy("id").agg(F.first("state").alias("state"), F.count("*").alias("times"))
+    return entries.join(queue.results(spark, place, "id string, n_orders bigint, cents bigint"), "id", "left").select("id", "state", "n_orders", "cents", "times")
 
 
 @query(_with(C) + 'SELECT file_id, CAST(arg_min(seq, seq) AS INT) AS seq, arg_min("end", seq) AS "end" FROM c WHERE start <= 7.5 AND "end" > 7.5 GROUP BY file_id')
