@@ -5,6 +5,8 @@ import random
 import time
 import tracemalloc
 
+import numpy as np
+
 from timeloom.operators.metrics import align_tokens
 from timeloom.operators.retime import matching_blocks
 
@@ -67,3 +69,59 @@ def test_matching_blocks_of_long_files():
     found = matching_blocks(a, b, 3)
     assert all(a[i : i + n] == b[j : j + n] for i, j, n in found) and sum(n for _, _, n in found) > 20_000
     assert time.time() - began < 60
+
+
+def folded(rows, cut):
+    """Piece of each item by one item after another."""
+    out, first, part = [], 0, 0
+    for i in range(len(rows)):
+        if i > first and cut(rows, first, i):
+            first, part = i, part + 1
+        out.append(part)
+    return out
+
+
+def test_pieces_by_pointers_equal_a_fold(spark):
+    from pyspark.sql import functions as F
+
+    from timeloom.operators import cuts
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for key, n in enumerate([1, 2, 7, 8, 9, 30, 100, 333, 5, 64]):
+        sizes = [rng.choice([1, 1, 2, 3, 9 if key % 3 else 1]) for _ in range(n)]
+        rows += [(key, i, s) for i, s in enumerate(sizes)]
+        for i, p in enumerate(folded(sizes, lambda r, a, b: sum(r[a : b + 1]) > 9)):
+            want[key, i] = p
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k bigint, i int, size int").withColumn("_kept", F.lit("clash"))
+
+    def cut(columns, first, later):
+        total = np.append(0, np.cumsum(columns[0]))
+        return total[later + 1] - total[first] > 9
+
+    for chunk, ahead in ((8, 4), (16, 12), (64, 12), (1000, 12)):  # 4 of the next chunk are too few for some pieces
+        got = cuts.number_pieces(df, ["k"], "i", {"size": F.col("size")}, cut, chunk, ahead).collect()
+        assert {(r["k"], r["i"]): r["part"] for r in got} == want and len(got) == len(want), (chunk, ahead)
+        assert all(r["_kept"] == "clash" for r in got)
+    assert cuts.number_pieces(df.limit(0), ["k"], "i", {"size": F.col("size")}, cut).count() == 0
+
+
+def test_a_million_words_without_a_pause(spark):
+    from pyspark.sql import functions as F
+
+    from timeloom.operators import sequence
+
+    n = 1_000_000
+    words = spark.range(n).select(F.lit(1).cast("bigint").alias("file_id"), F.col("id").cast("int").alias("seq"), F.concat(F.repeat(F.lit("a"), (F.xxhash64("id") % 5 + 5).cast("int")), F.when(F.col("id") % 11 == 0, ".").otherwise("")).alias("text"), (F.col("id") * 0.3).alias("start"), (F.col("id") * 0.3 + 0.25).alias("end"), F.lit(None).cast("string").alias("speaker"))
+    began = time.time()
+    got = sequence.cue_numbers(words).select("seq", "part", F.length("text").alias("size"), F.col("text").endswith(".").alias("ends")).orderBy("seq").toPandas()
+    assert time.time() - began < 60 and len(got) == n
+    part, first, chars, cues, last = [], 0, 0, 0, False
+    for i, (size, ends) in enumerate(zip(got["size"].tolist(), got["ends"].tolist())):
+        chars = chars + size + 1 if i > first else size
+        if i > first and (chars > 84 or i * 0.3 + 0.25 - first * 0.3 > 6.5 or (last and chars >= 30)):
+            first, chars, cues = i, size, cues + 1
+        part.append(cues)
+        last = ends
+    assert got["part"].tolist() == part
