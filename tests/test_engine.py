@@ -11,7 +11,7 @@ from timeloom import schema
 from timeloom.functions import text as T
 from timeloom.operators import glossary, jobs, joins, metrics, protect, retime, review, sequence
 from timeloom.plans import batch, process, training
-from timeloom.sources import caches, glossaries, srt
+from timeloom.sources import caches, files, glossaries, srt
 
 
 def value(spark, column):
@@ -172,8 +172,8 @@ def test_discovery_and_trees(spark, tmp_path):
     assert names(srt.discover(spark, str(tmp_path), recursive=True)) == [("a.MP4", "."), ("b.mkv", "."), ("c.mkv", "sub")]
     assert names(srt.discover(spark, str(tmp_path), inputs=[str(tmp_path / "n.txt"), str(tmp_path / "b.mkv"), str(tmp_path / "none")])) == [("b.mkv", "."), ("n.txt", "."), ("a.MP4", "."), ("b.mkv", ".")]
     cues = spark.createDataFrame([(7, 1, 0.0, 1.0, "x", None)], schema.CUES)
-    srt.write_tree(cues, str(tmp_path / "tree"))
-    assert next((tmp_path / "tree" / "file_id=7").glob("*.txt")).read_text().startswith("1\n00:00:00,000 --> 00:00:01,000\nx\n")
+    files.write(srt.serialise(cues).selectExpr("concat(file_id, '.srt') AS name", "content"), str(tmp_path / "tree"))
+    assert (tmp_path / "tree" / "7.srt").read_text().startswith("1\n00:00:00,000 --> 00:00:01,000\nx\n")
 
 
 def test_caches_come_back(spark, tmp_path):

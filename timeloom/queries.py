@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from timeloom.functions import text as T
 from timeloom.operators import glossary, jobs, joins, metrics, protect, retime, review, sequence
 from timeloom.plans import batch, process, training
-from timeloom.sources import glossaries
+from timeloom.sources import caches, files, glossaries, srt
 from timeloom.storage import shared_dir
 from timeloom.streaming import queue, sessions
 
@@ -816,6 +816,48 @@ def queue_flow(spark, sf_dir):
     return entries.join(queue.results(spark, place, "id string, n_orders bigint, cents bigint"), "id", "left").select("id", "state", "n_orders", "cents", "times")
 
 
+_FLAT = "trim(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ', 'g'))"
+
+
+@query(_with(C) + f"""SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY seq) AS INT) AS seq, start, "end", flat AS text FROM (SELECT *, {_FLAT} AS flat FROM c) WHERE flat <> ''""")
+def subtitle_files(spark, sf_dir):
+    """Conversations written as subtitle files, a file each, by a job that commits them together, and read back by file."""
+    rows = cues(spark, sf_dir).withColumn("text", F.trim(F.regexp_replace("text", "[ \\t\\n\\f\\r]+", " "))).where("text != ''")
+    place = f"{shared_dir(spark)}/subtitles-{uuid.uuid4().hex}"
+    files.write(srt.serialise(rows).select(F.concat(F.col("file_id").cast("string"), F.lit(".srt")).alias("name"), "content"), place)
+    texts = files.read(spark, place, "*.srt").select(F.regexp_extract("name", r"^(\d+)", 1).cast("bigint").alias("file_id"), srt.decode_subtitle("content").alias("content"))
+    return srt.parse(texts, strip_tags=False).select("file_id", "seq", "start", "end", "text")
+
+
+@query("""WITH v AS (SELECT user_id AS file_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CAST(floor(value * 100) AS BIGINT) % 32768 AS v FROM events),
+b AS (SELECT file_id, i // 4 AS bin, max(abs(v)) AS top, count(*) AS n FROM v GROUP BY ALL HAVING count(*) = 4)
+SELECT file_id, bin, CAST(top * 255 // greatest(max(top) OVER (PARTITION BY file_id), 1) AS BIGINT) AS peak FROM b""")
+def sound_files(spark, sf_dir):
+    """Values of each user as the samples of a sound file; files are committed together, read by ranges of a kilobyte and give peaks."""
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    sample = (F.floor(F.col("value") * 100).cast("bigint") % 32768).alias("sample")
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), i.alias("i"), sample)
+    place = f"{shared_dir(spark)}/sound-{uuid.uuid4().hex}"
+    files.write(caches.sound_files(rows).select(F.concat(F.col("file_id").cast("string"), F.lit(".wav")).alias("name"), "content"), place)
+    read = caches.read_wav(spark, place, range_bytes=1 << 10)
+    samples = read.select(F.regexp_extract("name", r"^(\d+)", 1).cast("bigint").alias("file_id"), "i", F.round(F.col("sample") * 32768).cast("bigint").alias("sample"))
+    return metrics.peaks(samples, 4)
+
+
+@query("""SELECT user_id AS file_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS seq, concat(event_type, '"', event_id) AS text, round(epoch_us(ts) / 20000000000.0, 3) AS start, round(epoch_us(ts) / 20000000000.0, 3) + 0.5 AS "end" FROM events""")
+def word_caches(spark, sf_dir):
+    """Words of each user as a cache file (JSON), written, checked against the settings they were made with and read back."""
+    start = F.round(F.expr(_MICROS) / F.lit(20000000000.0), 3)
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), seq.alias("seq"), F.concat("event_type", F.lit('"'), F.col("event_id").cast("string")).alias("text"), start.alias("start"), (start + 0.5).alias("end"))
+    settings = {"model": "stock", "beam": 5}
+    keys = rows.select("file_id").distinct().select("file_id", F.create_map(*[F.lit(str(x)) for kv in settings.items() for x in kv]).alias("key"), F.lit(1.5).alias("duration"))
+    place = f"{shared_dir(spark)}/caches-{uuid.uuid4().hex}"
+    files.write(caches.encode_cache(rows, keys).select(F.concat(F.col("file_id").cast("string"), F.lit(".words.json")).alias("name"), "content"), place)
+    found = caches.newest_per_stem(caches.read_word_caches(spark, place)).where(caches.matching_key(F.col("key"), settings))
+    return caches.cached_words(found.withColumn("file_id", F.col("stem").cast("bigint"))).select("file_id", F.col("seq").cast("int").alias("seq"), "text", "start", "end")
+
+
 @query(_with(C) + 'SELECT file_id, CAST(arg_min(seq, seq) AS INT) AS seq, arg_min("end", seq) AS "end" FROM c WHERE start <= 7.5 AND "end" > 7.5 GROUP BY file_id')
 def active_cue(spark, sf_dir):
     return review.active_cue(cues(spark, sf_dir), 7.5).select("file_id", "seq", "end")

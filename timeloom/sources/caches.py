@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import wave
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timeloom.sources import files
+
 CACHE = "key string, duration double, words array<array<string>>, _corrupt_record string"
 
 
@@ -44,22 +45,64 @@ def newest_per_stem(caches: DataFrame) -> DataFrame:
     return caches.where("valid").withColumn("stem", stem).withColumn("_n", place).where(F.col("_n") == 1).drop("_n")
 
 
-def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """(file_id, i, sample) of 16 kHz mono 16-bit files, samples from -1 to below 1; other files raise."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select(F.xxhash64("path").alias("file_id"), "content")
+#: Bytes of sound that one task reads at once.
+SOUND_BYTES = 16 << 20
+
+
+def sound_start(head: bytes) -> int:
+    """Where the samples begin in a sound file that is 16 kHz, mono and 16 bits; another one is an error."""
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        raise ValueError("no sound file")
+    at, known = 12, False
+    while at + 8 <= len(head):
+        kind, size = head[at : at + 4], int.from_bytes(head[at + 4 : at + 8], "little")
+        if kind == b"fmt ":
+            form, channels, rate, _, _, bits = struct.unpack("<HHIIHH", head[at + 8 : at + 24])
+            if (rate, channels, bits) != (16_000, 1, 16) or form not in (1, 0xFFFE):
+                raise ValueError("16 kHz mono 16-bit sound is needed")
+            known = True
+        if kind == b"data" and known:
+            return at + 8
+        at += 8 + size + size % 2
+    raise ValueError("no samples in the first bytes of a sound file")
+
+
+def read_wav(spark: SparkSession, path: str, range_bytes: int = SOUND_BYTES) -> DataFrame:
+    """(file_id, name, i, sample) of 16 kHz mono 16-bit files, samples from -1 to below 1; other files raise.
+
+    A file is cut by ranges of bytes, each with the file's first bytes beside it, so a long one is the work of many tasks."""
+    if range_bytes % 2:
+        raise ValueError("a sample has two bytes")
+    rows = files.read(spark, path, "*.wav", range_bytes, 1 << 16).select(F.xxhash64("path").alias("file_id"), "name", "offset", "size", "content", "head")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for file_id, content in frame.itertuples(index=False):
-                with wave.open(io.BytesIO(content)) as w:
-                    if (w.getframerate(), w.getnchannels(), w.getsampwidth()) != (16_000, 1, 2):
-                        raise ValueError("16 kHz mono 16-bit sound is needed")
-                    data = np.frombuffer(w.readframes(w.getnframes()), "<i2")
-                for first in range(0, len(data), 1 << 20):
-                    part = data[first : first + (1 << 20)]
-                    yield pd.DataFrame({"file_id": file_id, "i": np.arange(first, first + len(part)), "sample": part / 32768.0})
-
-    return files.mapInPandas(run, "file_id bigint, i bigint, sample double")
+            for file_id, name, offset, size, content, head in frame.itertuples(index=False):
+                start = sound_start(bytes(head))
+                stop = min(size, start + int.from_bytes(bytes(head)[start - 4 : start], "little"))
+                low, high = max(offset, start), min(offset + len(content), stop)
+                data = np.frombuffer(bytes(content)[low - offset : low - offset + (high - low) // 2 * 2], "<i2") if high > low else np.zeros(0, "<i2")
+                first = (low - start) // 2
+                for a in range(0, len(data), 1 << 20):
+                    part = data[a : a + (1 << 20)]
+                    yield pd.DataFrame({"file_id": file_id, "name": name, "i": np.arange(first + a, first + a + len(part)), "sample": part / 32768.0})
+
+    return rows.mapInPandas(run, "file_id bigint, name string, i bigint, sample double")
+
+
+def sound_files(samples: DataFrame) -> DataFrame:
+    """(file_id, content) of 16 kHz mono 16-bit sound files from whole samples (file_id, i, sample): each file is one row."""
+    ordered = F.array_sort(F.collect_list(F.struct("i", "sample")))
+
+    @F.pandas_udf("binary")
+    def encoded(values: pd.Series) -> pd.Series:
+        def one(v: np.ndarray) -> bytes:
+            data = np.clip(v, -32768, 32767).astype("<i2").tobytes()
+            return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16_000, 32_000, 2, 16) + b"data" + struct.pack("<I", len(data)) + data
+
+        return values.map(one)
+
+    return samples.groupBy("file_id").agg(F.transform(ordered, lambda x: x["sample"]).alias("v")).select("file_id", encoded("v").alias("content"))
 
 
 def read_jobs(spark: SparkSession, path: str, schema: str) -> DataFrame:

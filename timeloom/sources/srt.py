@@ -12,10 +12,9 @@ from pyspark.sql.types import StringType
 
 from timeloom.functions.text import timecode
 
-#: Endings of names that are never written.
+# --- fixed values: names that are never written, endings of media, how the format writes times ---
 PROTECTED = (".ref.srt", ".orig.srt")
 MEDIA = (".mkv", ".mp4", ".avi", ".mov", ".webm", ".m4v", ".ts", ".mp3", ".wav", ".m4a", ".flac", ".ogg", ".aac", ".opus")
-# --- fixed values: how the format writes times ---
 _TIMING = r"(\d+):(\d+):(\d+)[,.](\d+)\s*-->\s*(\d+):(\d+):(\d+)[,.](\d+)"
 _STRICT = r"(\d+):(\d\d):(\d\d)[,.](\d{3})\s*-->\s*(\d+):(\d\d):(\d\d)[,.](\d{3})"
 
@@ -116,11 +115,6 @@ def serialise(cues: DataFrame, rounded: bool = False) -> DataFrame:
     return format_cues(cues, rounded).groupBy("file_id").agg(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n").alias("content"))
 
 
-def write_tree(cues: DataFrame, path: str, rounded: bool = False) -> None:
-    """One text file per subtitle below path/file_id=...: each file is one row of one task."""
-    serialise(cues, rounded).write.partitionBy("file_id").option("lineSep", "\n").text(path)
-
-
 def is_protected(name: str) -> bool:
     return name.lower().endswith(PROTECTED)
 
