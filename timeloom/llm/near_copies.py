@@ -3,8 +3,8 @@
 Rows with equal sets are put together first. Candidates are sets whose SimHash fingerprints differ in three bits at most, and sets
 that agree in one of BANDS bands of BAND_ROWS least hashes each: at similarity 0.8 a pair of sets misses all bands with a chance of
 7 in 100,000, and less above. A band's sets are linked to the least of them, so rows stay linear. A cluster of such links of at most
-CLUSTER_SETS sets with CLUSTER_SHINGLES shingles comes together once, in one task; there pairs of a band that are not yet of one
-class are compared by their whole sets, and only links that the comparison confirms count.
+CLUSTER_SETS sets with CLUSTER_SHINGLES shingles comes together once, in one task; there all pairs that share one of their rarest
+shingles are compared by their whole sets, which near copies always do, and only links that the comparison confirms count.
 
 A larger cluster never does. Each of its sets is compared with PIVOTS of them, in chunks of rows. One minus the similarity is a
 metric, so a set linked to a pivot is settled where every set of another class is farther from that pivot than its own distance and
@@ -77,35 +77,41 @@ def common_of(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def confirmed(members: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of places, of the pairs of sets that share a band or stand in a cluster of two and are near copies."""
-    root = np.arange(len(members))
+    """A spanning forest, as pairs of places, of all pairs of sets that are near copies.
+
+    Near copies share a shingle among the rarest of each, as many as may be missing and one more. So a set is compared with those
+    before it that hold one of its rare shingles among theirs, where what follows the first of these in both is enough, and not with
+    sets of its class."""
+    n, root, up, down = len(members), np.arange(len(members)), *LEAST
     size = np.array([len(m) for m in members])
+    owner = np.repeat(np.arange(n), size)
+    _, shingle, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    by = np.lexsort((shingle, count[shingle], owner))  # rare ones first
+    place = np.arange(len(by)) - np.repeat(np.cumsum(size) - size, size)
+    few = (place < (size - (up * size + down - 1) // down + 1)[owner]) & (count[shingle[by]] > 1)
+    rare, of, left = shingle[by][few], owner[few], (size[owner] - place)[few]  # left: shingles from here on
+    dealt = np.argsort(rare, kind="stable")
+    holders, theirs, first = of[dealt], left[dealt], np.searchsorted(rare[dealt], rare)
+    before = np.empty(len(rare), np.int64)
+    before[dealt] = np.arange(len(rare))
     found: list[tuple[int, int]] = []
-    up, down = LEAST
-
-    def compare(places: np.ndarray) -> None:
-        for i, a in enumerate(places.tolist()):
-            rest = places[i + 1 :]
-            rest = rest[root[rest] != root[a]]
-            rest = rest[(down * size[rest] >= up * size[a]) & (down * size[a] >= up * size[rest])]
-            for b in rest.tolist():
-                if root[a] == root[b]:
-                    continue
-                common = common_of(members[a], members[b])
-                if down * common >= up * (size[a] + size[b] - common):
-                    found.append((a, b))
-                    low, high = sorted((root[a], root[b]))
-                    root[root == high] = low
-
-    if len(members) <= 32:
-        compare(np.arange(len(members)))
-        return found
-    keys = bands(np.concatenate(members), np.cumsum(size) - size)
-    for band in range(BANDS):
-        order = np.argsort(keys[:, band], kind="stable")
-        for places in np.split(order, np.flatnonzero(np.diff(keys[order, band])) + 1):
-            if len(places) > 1:
-                compare(places)
+    tried, sizes = np.full(n, -1), np.ones(n, np.int64)  # of classes, by their root
+    for at in range(len(rare)):
+        b = int(of[at])
+        if sizes[root[b]] == b + 1:  # all sets up to this one are of its class
+            continue
+        some, most = holders[first[at] : before[at]], np.minimum(theirs[first[at] : before[at]], left[at])
+        new = (root[some] != root[b]) & (tried[some] != b)
+        tried[some] = b
+        for a in some[new & ((up + down) * most >= up * (size[some] + size[b]))].tolist():
+            if root[a] == root[b]:
+                continue
+            common = common_of(members[a], members[b])
+            if down * common >= up * (size[a] + size[b] - common):
+                found.append((a, b))
+                low, high = sorted((root[a], root[b]))
+                sizes[low] += sizes[high]
+                root[root == high] = low
     return found
 
 
