@@ -698,10 +698,6 @@ def test_words_under_a_stem_still_match_misspelled():
         assert lexicon.maybe(word) and found >= 0 and n == edits
 
 
-def test_the_toxicity_sample_is_as_large_as_before_the_automaton():
-    assert toxicity.SAMPLE_ROWS == toxicity.learn.__defaults__[0] == 30_000
-
-
 def test_neighbours_of_repeated_ids(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(400, 8)).astype(np.float32)
@@ -716,3 +712,21 @@ def test_neighbours_of_repeated_ids(spark):
         want = sorted((round(s, 9), i) for s, i in pairs)[:20]
         mine = got[got["query_id"] == q].sort_values("rank")
         assert mine["rank"].tolist() == list(range(1, 21)) and mine["vec_id"].tolist() == [i for _, i in want]
+
+
+def test_one_id_of_many_rows_is_one_labelled_row(spark):
+    """What comes to the driver is bounded by the sample's ids, not by the rows that carry them."""
+    from timeloom.llm.common import one_text_each
+
+    docs = spark.range(5000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(2, None), (3, "c")], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (9, 1)], "doc_id bigint, toxic int")
+    assert sorted(map(tuple, one_text_each(docs, labels, "toxic").collect())) == [(1, "text 0", 1), (2, None, 0)]
+
+
+def test_the_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

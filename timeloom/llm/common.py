@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from timeloom.storage import cut, shared_dir  # noqa: F401
 
 #: Bytes of text that one numpy step handles; a longer text is a block of its own.
 BLOCK_BYTES = 1_000_000
@@ -21,18 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one in tests where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file:///tmp/checkpoints"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """The same rows; batches to Python workers are bounded by bytes, as texts have no bound of their own."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -41,12 +32,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder: a lost executor costs no earlier stage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write a table into the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -54,6 +39,13 @@ def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_text_each(docs: DataFrame, sample: DataFrame, label: str) -> DataFrame:
+    """Rows (doc_id, text, label) of a sample of labelled ids, the least text of each, in a table of its own: as many as the sample
+    has ids, however many rows of docs carry one of them."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", label)), "doc_id")  # the sample has a bound
+    return store(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min(label).alias(label)), "labelled")
+
+
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into (first row, byte offsets from 0, bytes); a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

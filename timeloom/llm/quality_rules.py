@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, append_columns, bounded_share, count_in, mix, words
+from .common import Rolling, append_columns, bounded_share, count_in, mix, one_text_each, words
 
 #: Labelled rows that the list is fitted on at most, on average over hash samples.
 SAMPLE_ROWS = 20_000
@@ -205,8 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = bounded_share(known.count(), sample_rows)
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # the sample has a bound
-    rows = text_stats(rows, ["doc_id", "quality"]).where(~base_failed())
+    rows = text_stats(one_text_each(docs, sample, "quality"), ["doc_id", "quality"]).where(~base_failed())
     names = features()
     got = rows.orderBy("doc_id").select("quality", *[c.alias(k) for k, c in names.items()]).toPandas()
     if not len(got):

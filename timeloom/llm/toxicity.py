@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, SliceCache, append_columns, blocks, bounded_share, count_in
+from .common import Rolling, SliceCache, append_columns, blocks, bounded_share, count_in, one_text_each
 
 #: Labelled documents that lexicon and model are fitted on at most, on average over a hash sample.
 SAMPLE_ROWS = 30_000
@@ -328,7 +328,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return Model()
     share = bounded_share(sum(totals.values()), sample_rows)
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # the sample has a bound
+    rows = one_text_each(docs, sample, "toxic")
     # what toxic documents use most is counted in the others as well
     ours = dict(map(tuple, _word_counts(rows.where("toxic > 0")).where("n >= 3").orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()))
     theirs = dict(map(tuple, _word_counts(rows.where("toxic = 0"), frozenset(ours)).collect()))
