@@ -152,6 +152,7 @@ class Rolling:
 
 
 #: Masks of the lowest bytes of a number.
+_EIGHTS = 8  # numbers of eight bytes that are compared at once; what goes on behind them is compared slice by slice
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
@@ -172,9 +173,9 @@ class SliceCache:
     def clear(self) -> None:
         self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.flat, self.used, self.filled, self.held = np.zeros(1 << 14, np.uint32), 0, 0, 0
-        # of each entry: where its numbers start and how many they are, its length and its first sixteen bytes
+        # of each entry: where its numbers start and how many they are, its length and its first bytes, eight in a number
         self.starts, self.counts, self.sizes = (np.zeros(1 << 12, np.int64) for _ in range(3))
-        self.head, self.next = (np.zeros(1 << 12, np.uint64) for _ in range(2))
+        self.eights = [np.zeros(1 << 12, np.uint64) for _ in range(_EIGHTS)]
         self.long: dict[int, bytes] = {}
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -203,37 +204,48 @@ class SliceCache:
             hashes, entries, at = hashes[~mine], entries[~mine], (at[~mine] + 1) & mask
 
     @staticmethod
-    def _first_bytes(raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first and the second eight bytes of each slice as numbers, zero where it ends before."""
-        eight = np.ndarray((len(raw) + 9,), "<u8", raw + bytes(16), strides=(1,))
-        return eight[starts] & _LOW[np.minimum(sizes, 8)], eight[np.minimum(starts + 8, len(raw))] & _LOW[np.clip(sizes - 8, 0, 8)]
+    def _eight(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8 * k and following of slices longer than that, as numbers, zero where one ends. raw: a number for each byte and its next seven."""
+        return raw[starts + 8 * k] & _LOW[np.minimum(sizes - 8 * k, 8)]
+
+    @staticmethod
+    def _overlapping(raw: bytes) -> np.ndarray:
+        return np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
 
     def _learn(self, slices: list[bytes]) -> np.ndarray:
         """Entries of different slices."""
         flat, counts = self.compute(slices)
         n = self.used + len(counts)
         while len(self.starts) < n:
-            self.starts, self.counts, self.sizes, self.head, self.next = (np.concatenate((x, x)) for x in (self.starts, self.counts, self.sizes, self.head, self.next))
+            self.starts, self.counts, self.sizes, *self.eights = (np.concatenate((x, x)) for x in (self.starts, self.counts, self.sizes, *self.eights))
         while len(self.flat) < self.filled + len(flat):
             self.flat = np.concatenate((self.flat, self.flat))
         sizes = np.fromiter(map(len, slices), np.int64, len(slices))
         mine = slice(self.used, n)
         self.starts[mine] = self.filled + np.cumsum(counts) - counts
         self.counts[mine], self.sizes[mine] = counts, sizes
-        self.head[mine], self.next[mine] = self._first_bytes(b"".join(slices), np.cumsum(sizes) - sizes, sizes)
-        for i in np.flatnonzero(sizes > 16).tolist():
+        whole, begin = self._overlapping(b"".join(slices)), np.cumsum(sizes) - sizes
+        for k, eights in enumerate(self.eights):
+            some = np.flatnonzero(sizes > 8 * k)
+            eights[self.used + some] = self._eight(whole, begin[some], sizes[some], k)
+        for i in np.flatnonzero(sizes > 8 * _EIGHTS).tolist():
             self.long[self.used + i] = slices[i]
         self.flat[self.filled : self.filled + len(flat)] = flat
-        self.held += len(flat) + int(sizes[sizes > 16].sum())
+        self.held += len(flat) + int(sizes[sizes > 8 * _EIGHTS].sum())
         self.used, self.filled = n, self.filled + len(flat)
         return np.arange(n - len(counts), n, dtype=np.int32)
 
     def _differ(self, at: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Which slices are not those of their entries."""
-        sizes = ends - starts
-        head, after = self._first_bytes(raw, starts, sizes)
-        same = (self.sizes[at] == sizes) & (self.head[at] == head) & (self.next[at] == after)
-        long = np.flatnonzero(same & (sizes > 16))
+        sizes, whole = ends - starts, self._overlapping(raw)
+        same = self.sizes[at] == sizes
+        some = np.flatnonzero(same)
+        for k, eights in enumerate(self.eights):
+            some = some[sizes[some] > 8 * k]
+            if not len(some):
+                break
+            same[some] &= eights[at[some]] == self._eight(whole, starts[some], sizes[some], k)
+        long = np.flatnonzero(same & (sizes > 8 * _EIGHTS))
         if len(long):
             same[long] = [raw[a:b] == self.long[i] for a, b, i in zip(starts[long].tolist(), ends[long].tolist(), at[long].tolist())]
         return np.flatnonzero(~same)
