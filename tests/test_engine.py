@@ -211,7 +211,7 @@ PERSON = {"name": "Ada Kaya", "actor": "Ece Su", "gender": "female", "role": "le
 
 def test_series_glossary(spark, tmp_path):
     folder = tmp_path / "show tvdb-42"
-    write(folder, series={"id": "42"}, characters={"characters": [PERSON]}, terms={"asr_corrections": [{"heard": "adı", "correct": "Ada"}], "terms": [{"tr": "abi", "en": "brother"}]})
+    write(folder, series={"id": "tvdb-42"}, characters={"characters": [PERSON]}, terms={"asr_corrections": [{"heard": "adı", "correct": "Ada"}], "terms": [{"tr": "abi", "en": "brother"}]})
     found = glossaries.load_series(spark, str(folder))
     assert found["characters"].first()["role"] == "lead" and found["corrections"].count() == found["terms"].count() == 1
     for bad, what in (({"gender": "x"}, "gender"), ({"role": "extra"}, "role"), ({"actor": ""}, "actor")):
@@ -221,6 +221,10 @@ def test_series_glossary(spark, tmp_path):
     write(folder, characters={"characters": []}, terms={"asr_corrections": [{"heard": "x"}]})
     with pytest.raises(glossaries.GlossaryError, match="heard and correct"):
         glossaries.load_series(spark, str(folder))
+    for wrong in ("43", "42", "tvdb-43"):
+        write(folder, series={"id": wrong})
+        with pytest.raises(glossaries.GlossaryError, match="folder"):
+            glossaries.load_series(spark, str(folder))
     write(folder, series={"id": "43"})
     with pytest.raises(glossaries.GlossaryError, match="folder"):
         glossaries.load_series(spark, str(folder))
@@ -238,14 +242,14 @@ def test_language_glossary(spark, tmp_path):
     found = load(good)
     assert found["interjections"].first()["text"] == "vay" and found["pairs"].first()["section"] == "address_terms" and found["phrases"].count() == 2
     assert load({})["phrases"].count() == 0
-    for bad, what in (({"asr_hallucinations": [False]}, "strings"), ({"idioms_and_phrases": [{"tr": "x"}]}, "tr and en"), ({"phrase_map": [{"tr": "x", "en": 1}]}, "strings tr and en"), ({"phrase_map": [{"tr": "X", "en": "a"}, {"tr": "x.", "en": "b"}]}, "2 translations")):
+    for bad, what in (({"asr_hallucinations": [False]}, "truth value"), ({"asr_hallucinations": ["x", 3]}, "holds 3"), ({"idioms_and_phrases": [{"tr": "x"}]}, "not en"), ({"formulae": [{"tr": "a", "en": "b"}, {"en": "b"}], "asr_hallucinations": [0]}, r"hallucinations\[0\].*formulae\[1\]"), ({"phrase_map": [{"tr": "x", "en": 1}]}, "strings tr and en"), ({"phrase_map": [{"tr": " ", "en": "y"}]}, "not tr"), ({"phrase_map": [{"tr": "X", "en": "a"}, {"tr": "x.", "en": "b"}]}, "2 translations")):
         with pytest.raises(glossaries.GlossaryError, match=what):
             load(good | bad)
 
 
 def test_fetched_lists_against_curated_ones(spark, tmp_path):
     folder = tmp_path / "show tvdb-7"
-    write(folder, series={"id": "7"}, characters={"characters": [PERSON]}, terms={})
+    write(folder, series={"id": "tvdb-7"}, characters={"characters": [PERSON]}, terms={})
     write(folder, credits={"cast": [{"name": "Ece Ö. Su", "roles": [{"character": " Ada ", "episode_count": 5}]}, {"name": "Can", "roles": [{"character": None}]}, {"name": "No", "roles": []}]})
     write(folder, extended={"data": {"characters": [{"name": "Zeynep", "personName": "ece su"}]}})
     season = lambda title, view: [{"season": 0, "episodes": [{"episode_number": 1}]}, {"season": 1, "episodes": [{"episode_number": 1, "name": title, "overview": view, "guest_stars": [{"name": "G"}]}, {"episode_number": 2, "name": ""}]}]

@@ -30,3 +30,12 @@ def test_edits_and_files(spark):
     assert {r["stem"]: r["path"] for r in R.library_index(paths).collect()} == {"e1": "/n/e1.mp4", "e.2": "/m/e.2.mkv"}
     streams = spark.createDataFrame([(1, 1, "eng"), (1, 2, "TUR"), (2, 0, None)], "file_id bigint, idx int, language string")
     assert {r["file_id"]: r["idx"] for r in R.pick_stream(streams).collect()} == {1: 2, 2: 0}
+
+
+def test_places_in_a_total_order(spark):
+    from timeloom.operators import ranks
+
+    rows = spark.range(500).selectExpr("(id * 7919) % 501 AS a", "id % 3 AS b").repartition(5)
+    got = ranks.numbered(rows, "a", "b").orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(500)) and [(r["a"], r["b"]) for r in got] == sorted((r["a"], r["b"]) for r in got)
+    assert ranks.numbered(rows.limit(0), "a").count() == 0
