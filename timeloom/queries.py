@@ -499,11 +499,37 @@ def timecodes(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- metrics
-#: Reference: turns; hypothesis: the same turns without each fifth word.
+#: Reference: turns; hypothesis: the same turns without each fifth word, with another in place of some and some said twice.
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ref = cues(spark, sf_dir)
-    w = T.words_of(F.col("text"))
-    return ref, ref.withColumn("text", F.array_join(F.filter(w, lambda x, i: (i + F.col("seq")) % 5 != 2), " "))
+    place = lambda i: i + F.col("seq")
+    changed = F.transform(T.words_of(F.col("text")), lambda x, i: F.when(place(i) % 5 == 2, F.array().cast("array<string>")).when(place(i) % 7 == 3, F.array(F.lit("other"))).when(place(i) % 11 == 4, F.array(x, x)).otherwise(F.array(x)))
+    return ref, ref.withColumn("text", F.array_join(F.flatten(changed), " "))
+
+
+_OTHER = """array_to_string(flatten(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x, i: CASE WHEN (i - 1 + seq) % 5 = 2 THEN [] WHEN (i - 1 + seq) % 7 = 3 THEN ['other'] WHEN (i - 1 + seq) % 11 = 4 THEN [x, x] ELSE [x] END)), ' ')"""
+
+
+def _cell(cost: str, subs: str, dels: str, inss: str, token: str = "''") -> str:
+    return f"{{'c': CAST({cost} AS INT), 's': CAST({subs} AS INT), 'd': CAST({dels} AS INT), 'x': CAST({inss} AS INT), 't': {token}}}"
+
+
+_DIAGONAL, _ABOVE, _LEFT = "prev[len(row)]", "prev[len(row) + 1]", "row[len(row)]"
+_UNEQUAL = "CAST(h[1].t <> r[1].t AS INT)"
+#: Errors of each window by a table of edits: a row of cells for each token of the reference, each made from those before it.
+_WER = _with(
+    C,
+    ("v", f'SELECT file_id, seq, CAST(floor((start + "end") / 2 / 6.0) AS BIGINT) AS bin, text, {_OTHER} AS other FROM c'),
+    ("t", f"SELECT file_id, bin, seq, {_TOKENS} AS a, {_TOKENS.replace('text', 'other')} AS b FROM v"),
+    ("g", "SELECT file_id, bin, flatten(list(a ORDER BY seq)) AS ref, flatten(list(b ORDER BY seq)) AS hyp FROM t GROUP BY file_id, bin"),
+    ("z", f"""SELECT file_id, bin, len(ref) AS n_ref, len(hyp) AS n_hyp,
+  list_reduce(list_concat([list_transform(range(0, len(hyp) + 1), lambda j: {_cell("j", "0", "0", "j")})], list_transform(ref, lambda t: [{_cell("0", "0", "0", "0", "t")}])),
+    lambda prev, r: list_reduce(list_concat([[{_cell("prev[1].c + 1", "0", "prev[1].d + 1", "0")}]], list_transform(hyp, lambda t: [{_cell("0", "0", "0", "0", "t")}])),
+      lambda row, h: list_append(row, CASE WHEN {_DIAGONAL}.c + {_UNEQUAL} <= least({_ABOVE}.c, {_LEFT}.c) + 1 THEN {_cell(f"{_DIAGONAL}.c + {_UNEQUAL}", f"{_DIAGONAL}.s + {_UNEQUAL}", f"{_DIAGONAL}.d", f"{_DIAGONAL}.x")}
+        WHEN {_ABOVE}.c <= {_LEFT}.c THEN {_cell(f"{_ABOVE}.c + 1", f"{_ABOVE}.s", f"{_ABOVE}.d + 1", f"{_ABOVE}.x")}
+        ELSE {_cell(f"{_LEFT}.c + 1", f"{_LEFT}.s", f"{_LEFT}.d", f"{_LEFT}.x + 1")} END)))[-1] AS e FROM g"""),
+    ("b", "SELECT file_id, bin, CAST(n_ref AS INT) AS n_ref, CAST(n_hyp AS INT) AS n_hyp, e.s AS subs, e.d AS dels, e.x AS inss, (e.s + e.d + e.x) / greatest(n_ref, 1) AS wer FROM z"),
+)
 
 
 def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -512,12 +538,12 @@ def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.aligned_bins(ref, hyp, tokens, tokens, 6.0)
 
 
-@query()
+@query(_WER + "FROM b")
 def wer_bins(spark, sf_dir):
     return metrics.window_errors(_bins(spark, sf_dir))
 
 
-@query()
+@query(_WER + "SELECT CAST(sum(n_ref) AS BIGINT) AS n_ref, CAST(sum(n_hyp) AS BIGINT) AS n_hyp, CAST(sum(subs) AS BIGINT) AS subs, CAST(sum(dels) AS BIGINT) AS dels, CAST(sum(inss) AS BIGINT) AS inss, (sum(subs) + sum(dels) + sum(inss)) / greatest(sum(n_ref), 1) AS wer FROM b")
 def wer_totals(spark, sf_dir):
     return metrics.total_errors(metrics.window_errors(_bins(spark, sf_dir)))
 
@@ -527,7 +553,7 @@ def wer_confusions(spark, sf_dir):
     return metrics.confusions(_bins(spark, sf_dir))
 
 
-@query()
+@query(_WER + "FROM b ORDER BY wer DESC, bin DESC, file_id DESC LIMIT 8")
 def wer_worst_windows(spark, sf_dir):
     return metrics.worst_windows(metrics.window_errors(_bins(spark, sf_dir)))
 
