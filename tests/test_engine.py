@@ -102,6 +102,11 @@ def test_bootstrap_draws_the_generator_s_rows_in_order(spark):
     df = spark.createDataFrame(rows, "pair_id struct<f:bigint,s:int>, h string, r string, g string").repartition(5)
     a, b = metrics.ngram_stats(df.select("pair_id", "h", "r")), metrics.ngram_stats(df.select("pair_id", F.col("g").alias("h"), "r"))
     got = metrics.bootstrap(a, b, rounds=40, block=7).first()
+    blocks = [metrics.bootstrap(a, b, rounds=300, block=7, by_block=True).first() for _ in range(2)]
+    whole = metrics.bootstrap(a, b, rounds=300, block=7).first()
+    assert blocks[0] == blocks[1] and blocks[0]["difference"] == got["difference"] and blocks[0]["pairs"] == got["pairs"]
+    width = whole["high"] - whole["low"]
+    assert abs(blocks[0]["low"] - whole["low"]) < 0.5 * width and abs(blocks[0]["high"] - whole["high"]) < 0.5 * width
     sa, sb = (metrics.gram_counts([r[k] for r in rows], [r[2] for r in rows]) for k in (1, 3))
     draw, diffs = random.Random(0), []
     for _ in range(40):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as T
-from timeloom.operators import glossary, jobs, joins, metrics, review
+from timeloom.operators import glossary, jobs, joins, metrics, retime, review, sequence
 from timeloom.plans import batch, training
 from timeloom.queries import C, W, _CLEAN, _GRAMS, _JOB, _jobs, _table, _with, cues, query, words
 from timeloom.sources import glossaries
@@ -85,6 +85,30 @@ def batch_plan(spark, sf_dir):
     return todo.agg(F.count("*").alias("pending")).join(kept.agg(F.count("*").alias("skipped"))).withColumn("series", F.lit(batch.series_of(rows)))  # one row each
 
 
+@query(_with(W) + """, f AS (SELECT c_custkey AS file_id, concat('/m/', c_custkey, '.mkv') AS path, concat(c_custkey, '.srt') AS output FROM customer WHERE c_nationkey < 20),
+i AS (SELECT *, CASE WHEN start - lag("end") OVER (PARTITION BY file_id ORDER BY seq) > 0.3 THEN 1 ELSE 0 END AS new FROM w),
+m AS (SELECT file_id, sum(new) + 1 AS cues FROM i GROUP BY file_id)
+SELECT path, CASE WHEN file_id % 5 = 0 THEN 'skipped' WHEN cues IS NULL THEN 'failed' ELSE 'ok' END AS status, CASE WHEN file_id % 5 = 0 OR cues IS NOT NULL THEN output END AS output,
+  CASE WHEN file_id % 5 <> 0 AND cues IS NULL THEN 'no speech was found' END AS error, CASE WHEN file_id % 5 <> 0 THEN CAST(cues AS BIGINT) END AS cues FROM f LEFT JOIN m USING (file_id)""")
+def batch_results(spark, sf_dir):
+    """Customers as files of a batch: every fifth is there already, many have no words; the others become cues, all in one plan."""
+    key = F.col("c_custkey").cast("string")
+    rows = _table(spark, sf_dir, "customer").where("c_nationkey < 20").select(F.col("c_custkey").cast("bigint").alias("file_id"), F.concat(F.lit("/m/"), key, F.lit(".mkv")).alias("path"), F.concat(key, F.lit(".srt")).alias("output"))
+    return batch.statuses(rows, rows.where("file_id % 5 = 0"), sequence.gap_cues(words(spark, sf_dir)))
+
+
+@query()
+def retime_refusals(spark, sf_dir):
+    """Conversations against the words of their own recording, and every third against that of another: what is refused, and why."""
+    file_id = F.floor(F.col("conv_id") / 10)
+    seq = F.row_number().over(Window.partitionBy(file_id).orderBy("conv_id", "turn")).cast("int")
+    rows = _table(spark, sf_dir, "conversations").select(file_id.alias("file_id"), seq.alias("seq"), "text")
+    timed = rows.withColumns({"start": F.col("seq") * 4.0, "end": F.col("seq") * 4.0 + 3.0, "speaker": F.lit(None).cast("string")})
+    spoken = sequence.token_times(timed, T.words_of(F.col("text"))).select("file_id", (F.col("seq") * 1000 + F.col("k")).alias("seq"), F.col("token").alias("text"), (F.col("time") + 2.0).alias("start"))
+    heard = spoken.select(F.explode(F.array_distinct(F.array(F.when(F.col("file_id") % 3 != 0, F.col("file_id")), F.when(F.col("file_id") % 3 == 1, F.col("file_id") - 1)))).alias("file_id"), "seq", "text", "start", F.col("start").alias("end")).where("file_id IS NOT NULL")
+    return retime.retime(timed, heard)[1].select("file_id", "cues", "anchored", "status", "reason", "method")
+
+
 @query("""WITH w AS (SELECT conv_id AS file_id, turn AS win, row_number() OVER (ORDER BY conv_id, turn) - 1 AS place, count(*) OVER () AS n FROM conversations WHERE role = 'user')
 SELECT file_id, win AS window FROM w WHERE place % greatest(n // 6, 1) = 0 AND place < greatest(n // 6, 1) * 6""")
 def shown_rows(spark, sf_dir):

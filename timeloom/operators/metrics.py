@@ -215,11 +215,14 @@ def _draws(n: int, rounds: int, seed: int, block: int) -> Iterator[pd.DataFrame]
         yield pd.DataFrame({"block": range(len(parts)), "round": r, "times": [p.tolist() for p in parts]})
 
 
-def bootstrap(stats_a: DataFrame, stats_b: DataFrame, rounds: int = 300, seed: int = 0, order: int = ORDER, block: int = BLOCK) -> DataFrame:
+def bootstrap(stats_a: DataFrame, stats_b: DataFrame, rounds: int = 300, seed: int = 0, order: int = ORDER, block: int = BLOCK, by_block: bool = False) -> DataFrame:
     """Difference of two systems' chrF over resampled pairs, with the interval from sorted places 7 and 292 of 300.
 
     Rows are numbered in order of pair_id. A resample is a vector of multiplicities; blocks of rows add up their numbers for all
     rounds by a matrix product, and only these sums, one row a round and block, come together.
+
+    by_block: multiplicities are Poisson numbers of mean 1 that each block draws from a seed of its own, so no task draws for all rows.
+    A resample then has about as many pairs as there are, not just as many; the interval is another draw of the same kind.
     """
     spark, width = stats_a.sparkSession, 3 * order
 
@@ -239,7 +242,6 @@ def bootstrap(stats_a: DataFrame, stats_b: DataFrame, rounds: int = 300, seed: i
     base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("part")]
     numbered = rows.withColumn("k", base + F.row_number().over(Window.partitionBy("part").orderBy("pair_id")) - 1)
     blocks = numbered.select(F.floor(F.col("k") / block).cast("int").alias("block"), "k", "v")
-    draws = spark.range(0, 1, 1, 1).mapInPandas(lambda _: _draws(total, rounds, seed, block), "block int, round int, times array<bigint>")
 
     def add_up(mine: pd.DataFrame, times: pd.DataFrame) -> pd.DataFrame:
         values = np.stack(mine.sort_values("k")["v"].to_numpy())
@@ -247,7 +249,15 @@ def bootstrap(stats_a: DataFrame, stats_b: DataFrame, rounds: int = 300, seed: i
         out = pd.DataFrame({"round": times["round"].to_numpy(), "sums": sums.tolist()})
         return pd.concat([out, pd.DataFrame({"round": [-1], "sums": [values.sum(axis=0).tolist()]})])
 
-    sums = blocks.groupBy("block").cogroup(draws.groupBy("block")).applyInPandas(add_up, "round int, sums array<bigint>")
+    def draw_and_add_up(mine: pd.DataFrame) -> pd.DataFrame:
+        draw = np.random.Generator(np.random.PCG64([seed, int(mine["block"].iloc[0])]))
+        return add_up(mine, pd.DataFrame({"round": range(rounds), "times": list(draw.poisson(1.0, (rounds, len(mine))))}))
+
+    if by_block:
+        sums = blocks.groupBy("block").applyInPandas(draw_and_add_up, "round int, sums array<bigint>")
+    else:
+        draws = spark.range(0, 1, 1, 1).mapInPandas(lambda _: _draws(total, rounds, seed, block), "block int, round int, times array<bigint>")
+        sums = blocks.groupBy("block").cogroup(draws.groupBy("block")).applyInPandas(add_up, "round int, sums array<bigint>")
     whole = sums.groupBy("round").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(2 * width)]).alias("sums"))
 
     def interval(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

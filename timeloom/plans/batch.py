@@ -58,6 +58,18 @@ def run(spark: SparkSession, files: DataFrame, outputs: DataFrame, work: Callabl
     return spark.createDataFrame(rows, RESULTS)
 
 
+def statuses(files: DataFrame, outputs: DataFrame, cues: DataFrame, overwrite: bool = False) -> DataFrame:
+    """Results (path, status, output, error, cues) of files (file_id, path, output) whose work is one plan over all of them: skipped
+    where the output is there, failed with a reason where nothing came of a file, else ok with how many cues."""
+    there = outputs.select("output", F.lit(True).alias("_there")).distinct()
+    made = cues.groupBy("file_id").agg(F.count("*").alias("cues"))
+    rows = files.join(there, "output", "left").join(made, "file_id", "left")
+    skipped = F.coalesce("_there", F.lit(False)) & F.lit(not overwrite)
+    status = F.when(skipped, "skipped").when(F.col("cues").isNull(), "failed").otherwise("ok")
+    rows = rows.withColumn("status", status)
+    return rows.select("path", "status", F.when(F.col("status") != "failed", F.col("output")).alias("output"), F.when(F.col("status") == "failed", "no speech was found").alias("error"), F.when(F.col("status") == "ok", F.col("cues")).alias("cues"))
+
+
 def status_counts(rows: DataFrame, status: str = "status", distinct: str | None = None) -> DataFrame:
     """(status, n) of results or any rows with a status; with a column also how many different values of it each status has."""
     more = [F.count_distinct(distinct).alias("distinct")] if distinct else []

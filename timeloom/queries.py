@@ -586,12 +586,15 @@ def chrf_corpus(spark, sf_dir):
 
 @query()
 def chrf_bootstrap(spark, sf_dir):
+    """The interval as drawn in one order, and beside it the one that blocks draw for themselves."""
     ref, hyp = _versions(spark, sf_dir)
     pair = F.struct("file_id", "seq").alias("pair_id")
     cleaned = T.clean_for_ngrams(F.col("text"))
     texts = ref.select(pair, cleaned.alias("r")).join(hyp.select(pair, cleaned.alias("h")), "pair_id")
     other = texts.withColumn("h", F.left("h", F.length("h") - 3))
-    return metrics.bootstrap(metrics.ngram_stats(texts), metrics.ngram_stats(other))
+    stats = [metrics.ngram_stats(x) for x in (texts, other)]
+    both = [metrics.bootstrap(*stats, by_block=by).withColumn("drawn", F.lit(name)) for by, name in ((False, "in order"), (True, "by block"))]
+    return both[0].unionByName(both[1])
 
 
 @query("""WITH b AS (SELECT user_id AS file_id, rn // 4 AS bin, max(abs(v)) AS top, count(*) AS n FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn, CAST(floor(value * 100) AS BIGINT) AS v FROM events) GROUP BY ALL HAVING count(*) = 4)
