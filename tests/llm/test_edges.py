@@ -98,3 +98,34 @@ def test_toxicity_of_odd_tables(spark):
     assert toxicity.score(docs.limit(0), model, ["doc_id"]).count() == 0
     nothing = toxicity.learn(docs.limit(0), labels.limit(0))
     assert toxicity.score(docs, nothing, ["doc_id"]).count() == len(rows) + 4
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_the_gate_before_the_automata_lets_every_match_through():
+    rng = random.Random(43)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    for _ in range(40):
+        terms, stems = list(dict.fromkeys(word(rng.randint(2, 8)) for _ in range(12))), [word(4)]
+        lexicon = toxicity.Lexicon(terms, stems)
+        for _ in range(200):
+            x = word(rng.randint(1, 9))
+            fits = [(edits(x, t), k) for k, t in enumerate(terms) if edits(x, t) <= toxicity.edits_allowed(len(t))]
+            fits += [(0, len(terms) + k) for k, s in enumerate(stems) if x.startswith(s)]
+            best = min(fits, default=None)
+            assert lexicon.match(x) == ((best[1], best[0]) if best else (-1, 0))
+            assert not best or lexicon.maybe(x)
+
+
+def test_a_lexicon_holds_all_terms_that_reach_the_ratio():
+    counts = [(f"term{i}x", False, 40, 0) for i in range(3000)] + [("termsome", True, 500, 0), ("rare", False, 2, 0), ("usual", False, 30, 60)]
+    terms, stems = toxicity.lexicon_of(counts, 5000, 5000)
+    assert len(terms) == 3000 and "usual" not in terms and stems == []
+    assert toxicity.lexicon_of([*counts, ("term", True, 900, 10)], 5000, 5000)[1] == ["term"]

@@ -26,8 +26,8 @@ from .common import Rolling, SliceCache, append_columns, blocks, bounded_share,
 
 #: Labelled documents that lexicon and model are fitted on at most, on average over a hash sample.
 SAMPLE_ROWS = 30_000
-#: Terms of the lexicon at most (words that a stem covers come on top), and terms of toxic documents that are weighed for it.
-TERMS, CANDIDATES = 400, 50_000
+#: A term's likelihood ratio and share of toxic documents at least; all terms that reach both are in the lexicon.
+LEAST_RATIO, PURITY = 25.0, 0.7
 WINDOW = 8
 STEMS = (4, 5, 6, 7)
 _STEM = "*"  # no word ends in it
@@ -109,35 +109,27 @@ class Lexicon:
                     self.ends.append([])
                 node = self.children[node][c]
             self.ends[node].append(i)
-        # an automaton can only accept a word that keeps one half of a term in place, and is about as long
-        self.gates: dict[int, tuple[dict[int, set[str]], dict[int, set[str]]]] = {}
+        # an automaton can only accept a word that is a term, or becomes equal to one when either loses a letter; stems by their length
+        self.near: set[str] = set()
         self.open_heads: dict[int, set[str]] = defaultdict(set)
         for term, stem in zip(self.terms, self.stem):
             if stem:
                 self.open_heads[len(term)].add(term)
                 continue
-            edits, half = edits_allowed(len(term)), len(term) // 2
-            for size in range(len(term) - edits, len(term) + edits + 1):
-                heads, tails = self.gates.setdefault(size, ({}, {}))
-                if edits:
-                    heads.setdefault(half, set()).add(term[:half])
-                    tails.setdefault(len(term) - half, set()).add(term[half:])
-                else:
-                    heads.setdefault(len(term), set()).add(term)
+            self.near.add(term)
+            if edits_allowed(len(term)):
+                self.near.update(term[:i] + term[i + 1 :] for i in range(len(term)))
+        self.longest = max(map(len, self.near), default=0) + 1
 
     def maybe(self, word: str) -> bool:
+        """Whether the automata have to be asked: few words pass, however many terms there are."""
         for n, found in self.open_heads.items():
             if word[:n] in found:
                 return True
-        gate = self.gates.get(len(word))
-        if gate:
-            for n, found in gate[0].items():
-                if word[:n] in found:
-                    return True
-            for n, found in gate[1].items():
-                if word[-n:] in found:
-                    return True
-        return False
+        near = self.near
+        if word in near:
+            return True
+        return len(word) <= self.longest and any(word[:i] + word[i + 1 :] in near for i in range(len(word)))
 
     def match(self, word: str) -> tuple[int, int]:
         """Nearest term (fewest edits, then first) and edits, or (-1, 0). The trie is walked together with the word's Levenshtein
@@ -247,9 +239,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
     return w
 
 
-def lexicon_of(counts: list[tuple[str, bool, int, int]], toxic: int, clean: int, least_ratio: float = 25.0, purity: float = 0.7) -> tuple[list[str], list[str]]:
-    """Words and stems whose likelihood ratio of use in toxic documents is large. Words that a stem covers follow the others, beside
-    the TERMS of those, as a stem takes no misspelling."""
+def lexicon_of(counts: list[tuple[str, bool, int, int]], toxic: int, clean: int, least_ratio: float = LEAST_RATIO, purity: float = PURITY) -> tuple[list[str], list[str]]:
+    """Words and stems whose likelihood ratio of use in toxic documents is large. Words that a stem covers follow the others, as a
+    stem takes no misspelling."""
     rate = toxic / max(toxic + clean, 1)
     good = []
     for term, stem, a, b in counts:
@@ -261,18 +253,26 @@ def lexicon_of(counts: list[tuple[str, bool, int, int]], toxic: int, clean: int,
         if ratio >= least_ratio:
             good.append((ratio, term, stem))
     good.sort(key=lambda x: (-x[0], x[1]))
-    words = {t for _, t, stem in good if not stem}
-    stems: list[str] = []
-    for ratio, term, stem in good:
+    beginnings = Counter(t[:k] for _, t, stem in good if not stem for k in range(1, len(t) + 1))
+    stems: dict[str, None] = {}
+    inside: set[str] = set()  # beginnings of stems
+    begun = lambda t: any(t[:k] in stems for k in range(1, len(t) + 1))
+    for _, term, stem in good:
         # a stem says more than its words only if several words share it
-        if stem and sum(w.startswith(term) for w in words) >= 3 and not any(term.startswith(s) or s.startswith(term) for s in stems):
-            stems.append(term)
-    stems = stems[:TERMS]
+        if stem and beginnings[term] >= 3 and term not in inside and not begun(term):
+            stems[term] = None
+            inside.update(term[:k] for k in range(1, len(term) + 1))
     terms, covered = [], []
     for _, t, stem in good:
         if not stem:
-            (covered if any(t.startswith(s) for s in stems) else terms).append(t)
-    return terms[:TERMS] + covered, stems
+            (covered if begun(t) else terms).append(t)
+    return terms + covered, list(stems)
+
+
+def least_use(toxic: int, clean: int) -> int:
+    """Documents that a term needs: with fewer toxic ones its ratio is too small even if no other document uses it."""
+    said = np.log((toxic + clean) / max(toxic, 1))
+    return max(3, int(np.ceil(LEAST_RATIO / (2 * max(said, 1e-9)))))
 
 
 def _word_counts(sample: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
@@ -329,11 +329,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     share = bounded_share(sum(totals.values()), sample_rows)
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     rows = one_text_each(docs, sample, "toxic")
-    # what toxic documents use most is counted in the others as well
-    ours = dict(map(tuple, _word_counts(rows.where("toxic > 0")).where("n >= 3").orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()))
+    sizes = {bool(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
+    # what toxic documents use often enough is counted in the others as well; the sample bounds how many terms that can be
+    least = least_use(sizes.get(True, 0), sizes.get(False, 0))
+    ours = dict(map(tuple, _word_counts(rows.where("toxic > 0")).where(F.col("n") >= least).collect()))
     theirs = dict(map(tuple, _word_counts(rows.where("toxic = 0"), frozenset(ours)).collect()))
     counts = [(term.rstrip(_STEM), term.endswith(_STEM), a, theirs.get(term, 0)) for term, a in ours.items()]
-    sizes = {bool(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     model = Model(*lexicon_of(counts, sizes.get(True, 0), sizes.get(False, 0)))
     model.worth = np.full(2 * len(model.terms + model.stems) + 3, 0.5)  # of misspellings that the sample lacks
     for code, a, b in _hit_counts(rows, Model(model.terms, model.stems)).collect():  # two rows for each term at most
