@@ -158,6 +158,20 @@ def test_flights_keep_probabilities_right():
     assert all(abs(taken[i] / 3000 - 0.3) < 0.04 for i in range(len(sizes)))
 
 
+def test_a_landing_drops_no_large_document_that_the_rest_cannot_replace():
+    """Nearly all documents of a source are wanted: the words that are too many go with small ones."""
+    for seed in range(200):
+        rng = random.Random(seed)
+        sizes = [int(rng.lognormvariate(5, 1)) + 1 for _ in range(50)]
+        flight = mixing.Flight(seed, float("inf"))
+        for i, size in enumerate(sizes):
+            flight.add([0.99, size, i])
+        flight.land()
+        assert len(flight.done) == 50
+        missed = abs(sum(sizes[i] * k for i, k in flight.done) - 0.99 * sum(sizes))
+        assert missed <= max(3, 0.01 * sum(sizes)), (seed, missed, sum(sizes))
+
+
 # ---------------------------------------------------------------- alignment
 def aligned_by_loops(texts):
     import json

@@ -5,8 +5,8 @@ the document's inclusion probability. Probabilities move together, three documen
 source's words and documents as they are (the null space of both totals), until one of them is 0 or 1. Which end of the line is
 taken is drawn with the chances that keep every probability right. Documents stream through such flights in buckets by hash, each
 of which leaves a few undecided ones; these meet again, FAN buckets at a time, until a source has at most FAN * LEFT of them. There
-the landing drops the total of documents: each document, the largest first, is drawn with what the words before it still owe, and
-the last few are settled by the subset whose words come nearest to what is wanted.
+the landing drops the total of documents: each document, the largest first, is drawn with what the words before it still owe, but
+not so that the documents after it could not make up for it, and the last few are settled by the subset whose words come nearest.
 
 So a source's words miss its target by little, whatever its size, and no step holds more than a few documents of a source in
 memory. Order and draws follow from hashes of ids and texts, so reruns agree however the table is partitioned.
@@ -111,12 +111,17 @@ class Flight:
 
     def land(self) -> None:
         """Settle all that is left, the largest first: each is drawn by its probability and the words that those before it took too
-        few or too many, so what is owed stays within a document's size; of the last ones the best subset is taken."""
+        few or too many, unless those after it could not make up for that; of the last ones the best subset is taken."""
         units, owed = sorted(self.rest(), key=lambda u: -u[1]), 0.0
         self.open = []
         self.held.clear()
+        give, take = sum(u[1] * (1 - u[0]) for u in units), sum(u[1] * u[0] for u in units)  # words that the rest may have more or less
+        beyond = lambda words: max(words - give, -take - words, 0.0)
         for p, size, row in units[:-LAST]:
+            give, take = give - size * (1 - p), take - size * p
             more = int(self.draw.random() < (p + owed / size if size else p))
+            if beyond(owed + size * (p - more)) > beyond(owed + size * (p - 1 + more)):
+                more = 1 - more
             owed += size * (p - more)
             self.done.append((row, more))
         units = units[-LAST:]
