@@ -39,3 +39,13 @@ def test_places_in_a_total_order(spark):
     got = ranks.numbered(rows, "a", "b").orderBy("place").collect()
     assert [r["place"] for r in got] == list(range(500)) and [(r["a"], r["b"]) for r in got] == sorted((r["a"], r["b"]) for r in got)
     assert ranks.numbered(rows.limit(0), "a").count() == 0
+
+
+def test_folders_between_steps_are_removed_on_demand(spark):
+    from timeloom import storage
+
+    storage.discard(spark)
+    path = storage.new_folder(spark, "table")
+    spark.range(3).write.parquet(path)
+    assert path.startswith(storage.shared_dir(spark)) and storage.new_folder(spark, "never")
+    assert storage.discard(spark) == 1 and storage.discard(spark) == 0

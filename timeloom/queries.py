@@ -6,7 +6,6 @@ of both kinds occur), cues are conversation turns or lines of documents, speaker
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
@@ -17,7 +16,7 @@ from timeloom.functions import text as T
 from timeloom.operators import glossary, jobs, joins, metrics, protect, retime, review, sequence
 from timeloom.plans import batch, process, training
 from timeloom.sources import caches, files, glossaries, srt
-from timeloom.storage import shared_dir
+from timeloom.storage import new_folder
 from timeloom.streaming import queue, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -769,7 +768,7 @@ def stream_sessions(spark, sf_dir):
     """Words of three groups of files that arrive one after another, a batch each; the stream starts anew for each from its checkpoint.
 
     A last word a day later is what lets the timers of the files before it run out."""
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = new_folder(spark, "stream")
     arrived = lambda n: F.timestamp_seconds(F.lit(n)).alias("arrived")
     rows = words(spark, sf_dir).select("file_id", "start", "end")
     parts = [rows.where(F.pmod("file_id", F.lit(3)) == i).select("*", arrived(3600 * (i + 1))) for i in range(3)]
@@ -796,7 +795,7 @@ SELECT CAST(user_id AS VARCHAR) AS id, arg_max(state, k) AS state, max(k) AS n_e
   any_value(lines)[-1] AS last FROM f JOIN l USING (user_id) GROUP BY user_id""")
 def job_stream(spark, sf_dir):
     """Events as a stream of job events in two batches, over a history in which every second job waits already."""
-    place = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    place = new_folder(spark, "jobs")
     kind = F.col("event_type")
     event = F.when(kind == "view", "submit").when(kind == "click", "start").when(kind == "purchase", "finish").when(kind == "error", "fail").otherwise("cancel")
     rows = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("at"), event.alias("event"), F.concat_ws(" ", event, F.col("event_id").cast("string")).alias("line"))
@@ -819,7 +818,7 @@ def job_stream(spark, sf_dir):
 def queue_flow(spark, sf_dir):
     """Seven jobs, a file each, that add up orders. The stream stops between the third job's entry and its end and starts again; one
     job fails and one is cancelled. Every job is in the ledger once."""
-    place = f"{shared_dir(spark)}/queue-{uuid.uuid4().hex}"
+    place = new_folder(spark, "queue")
     for i in range(7):
         spark.range(1).select(F.lit(str(i)).alias("id"), F.lit("fail" if i == 5 else "add").alias("task")).coalesce(1).write.mode("append").json(f"{place}/inbox")
     queue.cancel(spark, place, ["6"])
@@ -852,7 +851,7 @@ _FLAT = "trim(regexp_replace(text, '[ \\t\\n\\f\\r]+', ' ', 'g'))"
 def subtitle_files(spark, sf_dir):
     """Conversations written as subtitle files, a file each, by a job that commits them together, and read back by file."""
     rows = cues(spark, sf_dir).withColumn("text", F.trim(F.regexp_replace("text", "[ \\t\\n\\f\\r]+", " "))).where("text != ''")
-    place = f"{shared_dir(spark)}/subtitles-{uuid.uuid4().hex}"
+    place = new_folder(spark, "subtitles")
     files.write(srt.serialise(rows).select(F.concat(F.col("file_id").cast("string"), F.lit(".srt")).alias("name"), "content"), place)
     texts = files.read(spark, place, "*.srt").select(F.regexp_extract("name", r"^(\d+)", 1).cast("bigint").alias("file_id"), srt.decode_subtitle("content").alias("content"))
     return srt.parse(texts, strip_tags=False).select("file_id", "seq", "start", "end", "text")
@@ -866,7 +865,7 @@ def sound_files(spark, sf_dir):
     i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     sample = (F.floor(F.col("value") * 100).cast("bigint") % 32768).alias("sample")
     rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), i.alias("i"), sample)
-    place = f"{shared_dir(spark)}/sound-{uuid.uuid4().hex}"
+    place = new_folder(spark, "sound")
     files.write(caches.sound_files(rows).select(F.concat(F.col("file_id").cast("string"), F.lit(".wav")).alias("name"), "content"), place)
     read = caches.read_wav(spark, place, range_bytes=1 << 10)
     samples = read.select(F.regexp_extract("name", r"^(\d+)", 1).cast("bigint").alias("file_id"), "i", F.round(F.col("sample") * 32768).cast("bigint").alias("sample"))
@@ -881,7 +880,7 @@ def word_caches(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), seq.alias("seq"), F.concat("event_type", F.lit('"'), F.col("event_id").cast("string")).alias("text"), start.alias("start"), (start + 0.5).alias("end"))
     settings = {"model": "stock", "beam": 5}
     keys = rows.select("file_id").distinct().select("file_id", F.create_map(*[F.lit(str(x)) for kv in settings.items() for x in kv]).alias("key"), F.lit(1.5).alias("duration"))
-    place = f"{shared_dir(spark)}/caches-{uuid.uuid4().hex}"
+    place = new_folder(spark, "caches")
     files.write(caches.encode_cache(rows, keys).select(F.concat(F.col("file_id").cast("string"), F.lit(".words.json")).alias("name"), "content"), place)
     found = caches.newest_per_stem(caches.read_word_caches(spark, place)).where(caches.matching_key(F.col("key"), settings))
     return caches.cached_words(found.withColumn("file_id", F.col("stem").cast("bigint"))).select("file_id", F.col("seq").cast("int").alias("seq"), "text", "start", "end")

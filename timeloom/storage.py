@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that new_folder() named, of all sessions of this driver.
+_NAMED: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """What spark.checkpoint.dir names; on one machine, as in tests, a folder of its own where nothing is named."""
@@ -17,6 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, for a table or a stream; discard() removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _NAMED.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Remove all folders that new_folder() named, once the results that stand on them are written elsewhere; gives how many were there."""
+    gone, jvm = 0, spark._jvm
+    while _NAMED:
+        path = jvm.org.apache.hadoop.fs.Path(_NAMED.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared folder, so several uses and lost executors cost no work again."""
     shared_dir(df.sparkSession)
