@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.storage import cut, shared_dir  # noqa: F401
+from timeloom.storage import cut, new_folder  # noqa: F401
 
 #: Bytes of text that one numpy step handles; a longer text is a block of its own.
 BLOCK_BYTES = 1_000_000
@@ -34,7 +33,7 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write a table into the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -16,7 +16,6 @@ hash of their ids; rows without a doc_id come first. An empty table gives no blo
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .byte_bpe import cut as cut_binary
-from .common import BROADCAST_BYTES, append_columns, shared_dir, store
+from .common import BROADCAST_BYTES, append_columns, new_folder, store
 from .word_bpe import with_end, word_bpe
 
 #: Documents of a shard on average, ids of a block at least.
@@ -141,7 +140,7 @@ def _blocks(order: np.ndarray, kind: str):
 def write(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = DOCS_PER_SHARD, folder: str | None = None) -> str:
     """Encode all texts into block files in ascending order of ids; gives the folder, a new one where none is named."""
     spark = df.sparkSession
-    folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark, "tokens")
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     shards = max(1, -(-rows.count() // docs_per_shard))
     encoded = store(encode(rows, path, end, ["doc_id"]).withColumn("tie", F.xxhash64("ids")), "ids")
