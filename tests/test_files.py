@@ -75,3 +75,26 @@ def test_long_sound_is_the_work_of_many_tasks(spark, tmp_path):
     (tmp_path / "bad.wav").write_bytes(raw[:24] + struct.pack("<I", 8000) + raw[28:])
     with pytest.raises(Exception, match="16 kHz"):
         caches.read_wav(spark, str(tmp_path)).count()
+
+
+def test_many_short_files_share_tasks(spark, tmp_path):
+    values = {i: np.random.default_rng(i).integers(-32768, 32768, i % 7 * 9).astype("<i2") for i in range(400)}
+    for i, v in values.items():
+        with wave.open(str(tmp_path / f"{i}.wav"), "wb") as w:
+            w.setparams((1, 2, 16_000, 0, "NONE", ""))
+            w.writeframes(v.tobytes())
+    got = caches.read_wav(spark, str(tmp_path), range_bytes=64)
+    assert got.rdd.getNumPartitions() <= 2 * 4 * spark.sparkContext.defaultParallelism
+    rows = got.select(F.regexp_extract("name", r"^(\d+)", 1).cast("bigint").alias("f"), "i", F.round(F.col("sample") * 32768).cast("int").alias("v")).toPandas()
+    found = {f: x.sort_values("i") for f, x in rows.groupby("f")}
+    assert set(found) == {i for i, v in values.items() if len(v)}
+    for f, x in found.items():
+        assert x["i"].tolist() == list(range(len(values[f]))) and x["v"].tolist() == values[f].tolist()
+    # a task's share stays bounded, and each range is dealt once, in order
+    parts = [(f"{f}", 100 << 20, a, a + (1 << 20)) for f in range(3) for a in range(0, 100 << 20, 1 << 20)]
+    tasks = files.dealt(parts, 1 << 16, 8)
+    assert [x for t in tasks for x in t.parts] == parts and max(sum(b - a for _, _, a, b in t.parts) for t in tasks) <= files.TASK_BYTES
+    assert [len(t.parts) for t in files.dealt([("long", 1 << 30, a, a + (32 << 20)) for a in range(0, 1 << 30, 32 << 20)], 0, 8)] == [1] * 32
+    # peaks read their samples once
+    plan = metrics.peaks(got.select("file_id", "i", F.round(F.col("sample") * 32768).cast("bigint").alias("sample")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 1

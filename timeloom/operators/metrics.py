@@ -272,8 +272,8 @@ def bootstrap(stats_a: DataFrame, stats_b: DataFrame, rounds: int = 300, seed: i
 def peaks(samples: DataFrame, per_bin: int = 200) -> DataFrame:
     """Largest absolute sample of each whole bin, scaled to 0..255 by the largest of the file. samples: file_id, i, sample."""
     bins = samples.groupBy("file_id", F.floor(F.col("i") / per_bin).alias("bin")).agg(F.max(F.abs("sample")).alias("top"), F.count("*").alias("n")).where(F.col("n") == per_bin)
-    most = bins.groupBy("file_id").agg(F.max("top").alias("most"))
-    return bins.join(most, "file_id").select("file_id", "bin", F.expr("(top * 255) div greatest(most, 1)").alias("peak"))
+    most = F.max("top").over(Window.partitionBy("file_id"))  # samples are read once; a join with each file's largest would read them twice
+    return bins.withColumn("most", most).select("file_id", "bin", F.expr("(top * 255) div greatest(most, 1)").alias("peak"))
 
 
 def lower_median_anchors(offsets: DataFrame, least: int = 2) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +46,8 @@ def newest_per_stem(caches: DataFrame) -> DataFrame:
     return caches.where("valid").withColumn("stem", stem).withColumn("_n", place).where(F.col("_n") == 1).drop("_n")
 
 
-#: Bytes of sound that one task reads at once.
-SOUND_BYTES = 16 << 20
+#: Bytes of sound that one task reads at once, samples that it hands on together.
+SOUND_BYTES, SAMPLES = 16 << 20, 1 << 20
 
 
 def sound_start(head: bytes) -> int:
@@ -70,24 +71,37 @@ def sound_start(head: bytes) -> int:
 def read_wav(spark: SparkSession, path: str, range_bytes: int = SOUND_BYTES) -> DataFrame:
     """(file_id, name, i, sample) of 16 kHz mono 16-bit files, samples from -1 to below 1; other files raise.
 
-    A file is cut by ranges of bytes, each with the file's first bytes beside it, so a long one is the work of many tasks."""
+    A file is cut by ranges of bytes, each with the file's first bytes beside it, so a long one is the work of many tasks; short ones share tasks."""
     if range_bytes % 2:
         raise ValueError("a sample has two bytes")
     rows = files.read(spark, path, "*.wav", range_bytes, 1 << 16).select(F.xxhash64("path").alias("file_id"), "name", "offset", "size", "content", "head")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for file_id, name, offset, size, content, head in frame.itertuples(index=False):
-                start = sound_start(bytes(head))
-                stop = min(size, start + int.from_bytes(bytes(head)[start - 4 : start], "little"))
+    def put_together(names: pa.Array, ids: pa.Array, held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        rows = pa.array(np.repeat([at for at, _, _ in held], [len(x) for _, _, x in held]))
+        i = np.concatenate([np.arange(first, first + len(x)) for _, first, x in held])
+        sample = np.concatenate([x for _, _, x in held]) / 32768.0
+        return pa.RecordBatch.from_arrays([ids.take(rows), names.take(rows), pa.array(i), pa.array(sample)], names=["file_id", "name", "i", "sample"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, count = [], 0
+            for at, (offset, size, content, head) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("offset", "size", "content", "head")))):
+                start = sound_start(head)
+                stop = min(size, start + int.from_bytes(head[start - 4 : start], "little"))
                 low, high = max(offset, start), min(offset + len(content), stop)
-                data = np.frombuffer(bytes(content)[low - offset : low - offset + (high - low) // 2 * 2], "<i2") if high > low else np.zeros(0, "<i2")
+                data = np.frombuffer(content[low - offset : low - offset + (high - low) // 2 * 2], "<i2") if high > low else np.zeros(0, "<i2")
                 first = (low - start) // 2
-                for a in range(0, len(data), 1 << 20):
-                    part = data[a : a + (1 << 20)]
-                    yield pd.DataFrame({"file_id": file_id, "name": name, "i": np.arange(first + a, first + a + len(part)), "sample": part / 32768.0})
-
-    return rows.mapInPandas(run, "file_id bigint, name string, i bigint, sample double")
+                for a in range(0, len(data), SAMPLES):
+                    part = data[a : a + SAMPLES]
+                    if count + len(part) > SAMPLES:
+                        yield put_together(batch.column("name"), batch.column("file_id"), held)
+                        held, count = [], 0
+                    held.append((at, first + a, part))
+                    count += len(part)
+            if held:
+                yield put_together(batch.column("name"), batch.column("file_id"), held)
+
+    return rows.mapInArrow(run, "file_id bigint, name string, i bigint, sample double")
 
 
 def sound_files(samples: DataFrame) -> DataFrame:

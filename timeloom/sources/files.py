@@ -1,5 +1,6 @@
 """Whole files as rows: a data source that reads a folder by file or by ranges of bytes, and writes files that a job commits together.
 
+A task reads as many neighbouring files or ranges as amount to its share of bytes, so many small files are few tasks and a long one is many.
 Tasks write below a folder of the job; only when all of them have ended are files moved to their names, each by one rename. A job that
 fails leaves nothing. A name that is there already or stands twice fails the job, unless it overwrites; protected names always do.
 """
@@ -7,6 +8,7 @@ fails leaves nothing. A name that is there already or stands twice fails the job
 from __future__ import annotations
 
 import fnmatch
+import itertools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +22,8 @@ from timeloom.sources.srt import is_protected
 
 FORMAT = "timeloom_files"
 ROWS = "path string, name string, offset bigint, size bigint, content binary, head binary"
+#: Bytes that a task reads at most where its ranges are shorter, and what opening a file counts for.
+TASK_BYTES, OPEN_BYTES = 16 << 20, 64 << 10
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -28,11 +32,23 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 @dataclass
-class Range(InputPartition):
-    path: str
-    size: int
-    first: int
-    last: int
+class Ranges(InputPartition):
+    """(path, size of the file, first, last) of each range that a task reads."""
+
+    parts: list[tuple[str, int, int, int]]
+
+
+def dealt(parts: list[tuple[str, int, int, int]], head: int, tasks: int) -> list[Ranges]:
+    """Ranges in order, put together up to a task's share: all bytes over `tasks`, at most TASK_BYTES."""
+    costs = [OPEN_BYTES + min(head, size) + last - first for _, size, first, last in parts]
+    share, held, out = min(TASK_BYTES, sum(costs) / tasks), 0, []
+    for part, cost in zip(parts, costs):
+        if not out or held + cost > share:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].parts.append(part)
+        held += cost
+    return out
 
 
 @dataclass
@@ -44,23 +60,24 @@ class Written(WriterCommitMessage):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.pattern, self.step, self.head = options["path"], options.get("pattern", "*"), int(options.get("rangebytes", 0)), int(options.get("headbytes", 0))
+        self.tasks = int(options.get("tasks", 1))
 
-    def partitions(self) -> list[Range]:
-        """A part for each range of each file; only the listing is read here."""
+    def partitions(self) -> list[Ranges]:
+        """The ranges of all files, dealt to tasks; only the listing is read here."""
         system, root = opened(self.path)
         found = [x for x in system.get_file_info(fs.FileSelector(root, recursive=True)) if x.is_file and fnmatch.fnmatch(x.base_name, self.pattern) and not x.base_name.startswith(("_", ".")) and "/_" not in x.path[len(root) :]]
         step = lambda x: self.step or max(x.size, 1)
-        parts = [Range(x.path, x.size, a, min(a + step(x), x.size)) for x in sorted(found, key=lambda x: x.path) for a in range(0, max(x.size, 1), step(x))]
-        return parts or [Range("", 0, 0, 0)]
+        parts = [(x.path, x.size, a, min(a + step(x), x.size)) for x in sorted(found, key=lambda x: x.path) for a in range(0, max(x.size, 1), step(x))]
+        return dealt(parts, self.head, self.tasks) or [Ranges([])]
 
-    def read(self, part: Range) -> Iterator[tuple]:
-        if not part.path:
-            return
+    def read(self, task: Ranges) -> Iterator[tuple]:
         system, _ = opened(self.path)
-        with system.open_input_file(part.path) as file:
-            head = file.read(self.head) if self.head else None
-            file.seek(part.first)
-            yield part.path, part.path.rpartition("/")[2], part.first, part.size, file.read(part.last - part.first), head
+        for path, parts in itertools.groupby(task.parts, key=lambda x: x[0]):
+            with system.open_input_file(path) as file:
+                head = file.read(self.head) if self.head else None
+                for _, size, first, last in parts:
+                    file.seek(first)
+                    yield path, path.rpartition("/")[2], first, size, file.read(last - first), head
 
 
 class _Writer(DataSourceArrowWriter):
@@ -111,7 +128,7 @@ class _Writer(DataSourceArrowWriter):
 
 
 class Files(DataSource):
-    """Options: path; for reading pattern (of names), rangeBytes and headBytes (of the file's beginning, beside each range); for writing replace."""
+    """Options: path; for reading pattern (of names), rangeBytes, headBytes (of the file's beginning, beside each range) and tasks (as many at least, if there are ranges enough); for writing replace."""
 
     @classmethod
     def name(cls) -> str:
@@ -128,9 +145,10 @@ class Files(DataSource):
 
 
 def read(spark: SparkSession, path: str, pattern: str = "*", range_bytes: int = 0, head_bytes: int = 0) -> DataFrame:
-    """Rows of ROWS: each file below a path, or each range of so many bytes of it, in a task of its own; size is the whole file's."""
+    """Rows of ROWS: each file below a path, or each range of so many bytes of it; size is the whole file's."""
     spark.dataSource.register(Files)
-    return spark.read.format(FORMAT).option("path", path).option("pattern", pattern).option("rangeBytes", range_bytes).option("headBytes", head_bytes).load()
+    rows = spark.read.format(FORMAT).option("path", path).option("pattern", pattern).option("rangeBytes", range_bytes).option("headBytes", head_bytes)
+    return rows.option("tasks", 4 * spark.sparkContext.defaultParallelism).load()
 
 
 def write(rows: DataFrame, path: str, replace: bool = False) -> None:
