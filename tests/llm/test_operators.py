@@ -1,5 +1,6 @@
 """Operators on training text against brute force, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -355,6 +356,27 @@ def test_passages_beside_long_strings(spark):
     assert shared.encode() not in bytes(alone[0]["kept_passages"]) and bytes(alone[2]["kept_passages"]) == texts[2].encode()
 
 
+def test_the_query_tells_passages_that_its_strings_do_not_fit_into(spark, tmp_path):
+    import __spark_entry__
+
+    rng = random.Random(37)
+    words_of = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    shared, short, long = words_of(53), words_of(45), words_of(90)  # 317, 269 and 539 bytes
+    texts = [words_of(30) + f" {x} " + words_of(30) for x in (shared, shared, short, short, long, long)] + [None, words_of(120)]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in __spark_entry__.queries()["op7_suffix_dedup"](spark, str(tmp_path)).collect()}
+    for i, (n, gone, spans, kept) in enumerate(removed(texts, 400)):
+        want = (n, gone, spans, hashlib.sha256(kept).hexdigest(), kept.decode())
+        assert tuple(got[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "text")) == want, i
+    assert [got[i]["n_removed"] > 0 for i in range(8)] == [False] * 4 + [True] * 2 + [False] * 2
+    assert [got[i]["n_passages"] for i in range(8)] == [1, 1, 0, 0, 1, 1, 0, 0]
+    for i, (_, gone, _, kept) in enumerate(removed(texts, 200)):
+        if got[i]["n_passages"]:
+            assert (got[i]["passage_bytes"], got[i]["text_without_passages"]) == (gone, kept.decode()), i
+        else:
+            assert (got[i]["passage_bytes"], got[i]["text_without_passages"]) == (0, texts[i] or ""), i
+
+
 def test_repeated_rows_and_ids(spark):
     rng = random.Random(17)
     a, b = text_of(rng, 200), text_of(rng, 200)

@@ -55,10 +55,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """text: what is left, with U+FFFD where a cut splits a character."""
-    rows = suffix_dedup.remove(table(spark, sf_dir, "documents"), ["doc_id"])
-    text = F.make_valid_utf8(F.col("kept_bytes").cast("string"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), text.alias("text"))
+    """text: what is left, with U+FFFD where a cut splits a character.
+
+    Beside the contract's 400-byte strings: n_passages, passage_bytes and text_without_passages, for maximal repeats of over 50
+    words (200 bytes at least), most of which no 400-byte string fits into."""
+    rows = suffix_dedup.remove(table(spark, sf_dir, "documents"), ["doc_id"], passage=suffix_dedup.PASSAGE)
+    text, other = (F.make_valid_utf8(F.col(c).cast("string")) for c in ("kept_bytes", "kept_passages"))
+    contract = ["doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), text.alias("text")]
+    return rows.select(*contract, "n_passages", "passage_bytes", other.alias("text_without_passages"))
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
