@@ -1,8 +1,10 @@
 """Operators on training text against brute force, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,6 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from timeloom import storage
 from timeloom.llm import byte_bpe, components, language, nearest, packing, quality_rules, simhash, suffix_dedup, token_store, toxicity, url_rules
 from timeloom.llm.common import SliceCache, blocks
 from timeloom.llm.word_bpe import WordBpe
@@ -377,6 +380,31 @@ def test_the_query_tells_passages_that_its_strings_do_not_fit_into(spark, tmp_pa
             assert (got[i]["passage_bytes"], got[i]["text_without_passages"]) == (0, texts[i] or ""), i
 
 
+def test_suffix_dedup_leaves_no_shuffle_files_and_only_the_tables_of_its_result(spark):
+    manager, setting = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffle_files():
+        found = manager.getAllFiles()
+        return {x for i in range(found.size()) if (x := found.apply(i).getName()).startswith("shuffle_")}
+
+    named, before, own = list(storage._NAMED), shuffle_files(), spark.conf.get(setting)
+    texts = passages(random.Random(41))
+    rows = suffix_dedup.remove(documents(spark, texts), ["doc_id"], passage=(200, 51))
+    until = time.monotonic() + 20  # executors remove files a little later
+    while (left := shuffle_files() - before) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(setting) == own
+    mine = [x for x in storage._NAMED if x not in named]
+    assert sorted(re.sub("-[0-9a-f]{32}$", "", os.path.basename(x)) for x in mine) == ["anchors", "groups", "matches", "passages", "passages-of-texts"]
+    there = set(os.listdir(os.path.dirname(mine[0]).removeprefix("file:")))
+    assert all(os.path.basename(x) in there for x in mine)
+    assert not [x for x in there if x.startswith(("all-anchors", "repeated-anchors", "long-passages")) and x not in map(os.path.basename, named)]
+    got = {r["doc_id"]: r for r in rows.collect()}
+    for i, (n, gone, spans, kept) in enumerate(removed(texts, 400)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept_bytes"])) == (n, gone, spans, kept), i
+
+
 def test_repeated_rows_and_ids(spark):
     rng = random.Random(17)
     a, b = text_of(rng, 200), text_of(rng, 200)

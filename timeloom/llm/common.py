@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.storage import cut, new_folder  # noqa: F401
+from timeloom.storage import brief_shuffles, cut, discard, new_folder  # noqa: F401
 
 #: Bytes of text that one numpy step handles; a longer text is a block of its own.
 BLOCK_BYTES = 1_000_000
@@ -31,13 +31,29 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write a table into the shared folder and read it back."""
-    path = new_folder(df.sparkSession, name)
+def store(df: DataFrame, name: str, compression: str = "zstd", path: str | None = None) -> DataFrame:
+    """Write a table into the shared folder (path: a folder of new_folder()) and read it back."""
+    path = path or new_folder(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that go together as soon as no later step reads them; shuffle files of each go when it is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_folder(self.spark, name))
+        with brief_shuffles(self.spark):
+            return store(df, name, path=self.paths[-1])
+
+    def discard(self) -> None:
+        discard(self.spark, self.paths)
+        self.paths = []
+
+
 def one_text_each(docs: DataFrame, sample: DataFrame, label: str) -> DataFrame:
     """Rows (doc_id, text, label) of a sample of labelled ids, the least text of each, in a table of its own: as many as the sample
     has ids, however many rows of docs carry one of them."""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, blocks, mix, small_batches, store
+from .common import Rolling, Scratch, blocks, mix, small_batches
 
 #: Bytes of a string that counts, of text in one index; ranges that a passage is cut to.
 LENGTH, INDEX_BYTES, SPLIT = 400, 1_500_000, 4
@@ -295,14 +295,14 @@ def _matched(texts: DataFrame, length: int, index_bytes: int, step: int) -> Data
     return dealt.mapInArrow(run, FOUND)
 
 
-def _grouped(candidates: DataFrame, length: int, index_bytes: int, more: list) -> tuple[DataFrame, DataFrame]:
+def _grouped(candidates: DataFrame, length: int, index_bytes: int, more: list, tables: Scratch) -> tuple[DataFrame, DataFrame]:
     """Different passages with copies and one place of each (and `more`), and the anchors that different ones share, with parts."""
     one = F.struct("row", "row2", "first", "windows", "shift", "single")
-    passages = store(candidates.groupBy("anchor", "passage").agg(F.count("*").alias("copies"), F.min(one).alias("one"), *more), "passages")
+    passages = tables.store(candidates.groupBy("anchor", "passage").agg(F.count("*").alias("copies"), F.min(one).alias("one"), *more), "passages")
     alone = (F.col("copies") == 1) & F.col("one.single")
     groups = passages.groupBy("anchor").agg(F.count("*").alias("different"), F.count_if(alone).alias("alone"), F.sum(F.col("one.windows") + length).alias("bytes"))
     groups = groups.where((F.col("different") > 1) & (F.col("alone") > 0)).select("anchor", F.ceil(F.col("bytes") / index_bytes).cast("int").alias("parts"))
-    return passages, store(groups, "groups")
+    return passages, tables.store(groups, "groups")
 
 
 def _wanted(passages: DataFrame, groups: DataFrame) -> DataFrame:
@@ -317,13 +317,18 @@ def _wanted(passages: DataFrame, groups: DataFrame) -> DataFrame:
 MARKS = ["row", "row2", "first", "windows"]
 
 
-def repeated(rows: DataFrame, length: int, index_bytes: int) -> DataFrame:
-    """Rows (row, row2, spans) from rows of _rows: for each document the runs [a, b] of its strings that repeat, in order."""
-    all_anchors = store(_anchor_rows(rows, length), "all-anchors")
+def repeated(rows: DataFrame, length: int, index_bytes: int, tables: Scratch) -> DataFrame:
+    """Rows (row, row2, spans) from rows of _rows: for each document the runs [a, b] of its strings that repeat, in order.
+
+    tables: where those go that the result stands on; `rows` are not read after the return.
+    """
+    of_all = Scratch(rows.sparkSession)
+    all_anchors = of_all.store(_anchor_rows(rows, length), "all-anchors")
     # kept as a table: a join of two plain exchanges is one whose hot anchors adaptive execution can split
-    twice = store(all_anchors.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "repeated-anchors")
-    candidates = store(all_anchors.join(twice, "anchor", "left_semi").withColumn("single", F.lit(True)), "anchors")
-    passages, groups = _grouped(candidates, length, index_bytes, [])
+    twice = of_all.store(all_anchors.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "repeated-anchors")
+    candidates = tables.store(all_anchors.join(twice, "anchor", "left_semi").withColumn("single", F.lit(True)), "anchors")
+    of_all.discard()
+    passages, groups = _grouped(candidates, length, index_bytes, [], tables)
 
     # text of one copy of each passage that has to be compared; substring of the bytes: JVM-side, one slice for each passage
     places = _wanted(passages, groups)
@@ -335,13 +340,13 @@ def repeated(rows: DataFrame, length: int, index_bytes: int) -> DataFrame:
     step, marks = length - anchor_bytes(length) + 1, []
     while True:
         step = -(-step // SPLIT)
-        found = store(_matched(texts, length, index_bytes, step), "matches")
+        found = tables.store(_matched(texts, length, index_bytes, step), "matches")
         equal = candidates.where("single").join(passages.where(F.col("copies") > 1).select("anchor", "passage"), ["anchor", "passage"], "left_semi")
         marks += [equal.select(*MARKS), found.where(F.col("anchor").isNull()).select(*MARKS)]
         if groups.where(F.col("parts") > 1).isEmpty():
             break
         candidates = found.where(F.col("anchor").isNotNull())
-        passages, groups = _grouped(candidates, length, index_bytes, [F.any_value("passage_text").alias("passage_text")])
+        passages, groups = _grouped(candidates, length, index_bytes, [F.any_value("passage_text").alias("passage_text")], tables)
         texts = _wanted(passages, groups)
     all_marks = functools.reduce(DataFrame.unionByName, marks)
     # strings in order of their start; what they cover is put together where it is cut
@@ -383,15 +388,17 @@ def remove(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: s
     of shorter ones, so with both only texts with long enough runs are searched again.
     """
     rows = _rows(docs, id_col, text_col)
-    found = None
+    found, first, last, long = None, *(Scratch(docs.sparkSession) for _ in range(3))
     if passage:
-        found = repeated(rows, passage[0], index_bytes).withColumnRenamed("spans", "passages")
+        found = repeated(rows, passage[0], index_bytes, first).withColumnRenamed("spans", "passages")
         if length and passage[0] <= length:
-            found = store(found, "passages-of-texts")
+            found = last.store(found, "passages-of-texts")
+            first.discard()
             reach = F.array_max(F.transform("passages", lambda x: x["b"])) - F.element_at("passages", 1)["a"]
-            rows = store(rows.join(found.where(reach >= length).select("row", "row2"), ["row", "row2"], "left_semi"), "long-passages")
+            rows = long.store(rows.join(found.where(reach >= length).select("row", "row2"), ["row", "row2"], "left_semi"), "long-passages")
     if length:
-        spans = repeated(rows, length, index_bytes)
+        spans = repeated(rows, length, index_bytes, last)
+        long.discard()
         found = spans if found is None else found.join(spans, ["row", "row2"], "full")
     schema = ", ".join([CUT] * bool(length) + [PASSAGE_CUT] * bool(passage))
     names = [x.split()[0] for x in schema.split(", ")]
