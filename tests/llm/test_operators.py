@@ -380,6 +380,33 @@ def test_the_query_tells_passages_that_its_strings_do_not_fit_into(spark, tmp_pa
             assert (got[i]["passage_bytes"], got[i]["text_without_passages"]) == (0, texts[i] or ""), i
 
 
+def test_long_strings_are_searched_only_where_all_shorter_ones_repeat(spark):
+    """Short passages far apart in a text, as any that shares two with others, gave the second search the whole text."""
+    rng = random.Random(43)
+    words_of = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    one, two = words_of(53), words_of(53)
+    apart = [f"{words_of(30)} {one} {words_of(40)} {two} {words_of(30)}" for _ in range(6)]
+    base = words_of(150)
+    chained = [base, base[:399] + words_of(30), words_of(30) + base[150:549], words_of(20) + base[300:701] + words_of(9)]
+    own = words_of(80)
+    texts = [*chained, f"{own} {own}", "é" * 300, "ab" * 450, None, "", base[:400], base[:399]]
+
+    def search(texts):
+        named = set(storage._NAMED)
+        rows = suffix_dedup.remove(documents(spark, texts), ["doc_id"], passage=(200, 51))
+        got = {r["doc_id"]: r for r in rows.collect()}
+        for i, (n, gone, spans, kept) in enumerate(removed(texts, 400)):
+            assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept_bytes"])) == (n, gone, spans, kept), i
+        assert [got[i]["n_passages"] for i in range(len(texts))] == [r["n_passages"] for r in sorted(suffix_dedup.remove(documents(spark, texts), ["doc_id"], length=None, passage=(200, 51)).collect(), key=lambda r: r["doc_id"])]
+        (anchors,) = [x for x in storage._NAMED if x not in named and os.path.basename(x).startswith("anchors-")][:1]
+        return got, spark.read.parquet(anchors).count()
+
+    got, strings = search(apart)
+    assert strings == 0 and all(got[i]["n_passages"] == 2 for i in range(6))
+    got, strings = search(texts)
+    assert strings > 0 and [got[i]["n_removed"] > 0 for i in range(5)] == [True, False, False, True, True]
+
+
 def test_suffix_dedup_leaves_no_shuffle_files_and_only_the_tables_of_its_result(spark):
     manager, setting = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -458,6 +485,27 @@ def test_long_slices_of_one_hash_stay_apart(spark):
         assert np.frombuffer(b"".join(x for _, x in mine), "<u4").tolist() == [*want[i], 2]
 
 
+def test_long_matches_equal_those_of_all_statistics():
+    """Suffixes in order over several rounds and alphabets; matches under `least` cost no search and change no longer one."""
+    rng = random.Random(47)
+    some = [bytes(rng.randrange(250) for _ in range(300)), bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(300))]
+    for texts in ([b"ab" * 400, b"a" * 700, b"b" + b"ab" * 300], [some[0], some[0][:150] + b"#" + some[0][150:], some[0]], [some[1] * 2, some[1][50:] + b"!", b"x", b""], [b"a"], [b"", b""]):
+        whole = b"".join(t + b"\0" for t in texts)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        stop = np.repeat(ends, [len(t) + 1 for t in texts])
+        symbols, left = np.frombuffer(whole, np.uint8).astype(np.int64) + 1, stop - np.arange(len(whole))
+        symbols[ends] = 0
+        want = sorted(range(len(whole)), key=lambda i: (symbols[i : stop[i]].tolist() + [0], i))
+        assert suffix_dedup.suffix_order(symbols, left, int(left.max()) + 1).tolist() == want
+        index = suffix_dedup.RunLengthIndex(texts)
+        statistics = index.matching_statistics()
+        for length in (1, 7, 100, 149, 150, 151, 299, 300):
+            found = np.zeros(len(whole), bool)
+            for text, first, count in zip(*suffix_dedup.RunLengthIndex(texts, length).long_matches(length)):
+                found[index.starts[text] + first : index.starts[text] + first + count] = True
+            assert found.tolist() == (statistics >= length).tolist(), length
+
+
 def test_matching_statistics_equal_brute_force():
     rng = random.Random(19)
     for _ in range(30):

@@ -33,6 +33,8 @@ from .common import Rolling, Scratch, blocks, mix, small_batches
 
 #: Bytes of a string that counts, of text in one index; ranges that a passage is cut to.
 LENGTH, INDEX_BYTES, SPLIT = 400, 1_500_000, 4
+#: Groups that are smaller share an index up to this size, and texts a block in the search for anchors: arrays stay in a core's cache.
+SHARED_BYTES = 250_000
 #: Bytes and words of a passage: over 50 words, which seldom take less than 200 bytes.
 PASSAGE = (200, 51)
 #: shift: how far the anchor stands behind the start of the first string.
@@ -43,8 +45,11 @@ def anchor_bytes(length: int) -> int:
     return max(1, length // 4)
 
 
-def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text, anchor, passage hash, first string, strings, shift) for each run of strings of `length` bytes that share an anchor."""
+def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, asked: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text, anchor, passage hash, first string, strings, shift) for each run of strings of `length` bytes that share an anchor.
+
+    asked: for each byte whether a string that starts there counts, if not all do.
+    """
     k = anchor_bytes(length)
     n, w = len(data), length - k + 1
     none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
@@ -69,6 +74,8 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tupl
     np.add.at(edge, np.maximum(offsets[1:] - length + 1, offsets[:-1]), 1)
     np.add.at(edge, offsets[1:], -1)
     inside = np.cumsum(edge[: len(least)]) == 0
+    if asked is not None:
+        inside &= asked[: len(inside)]
     head = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (inside[1:] != inside[:-1]))))
     count = np.diff(np.append(head, len(least)))
     real = inside[head]
@@ -80,6 +87,18 @@ def anchors(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tupl
     return owner, rolling.slices(prefix, place, place + k), rolling.slices(prefix, first, first + count + length - 1), first - offsets[owner], count, place - first
 
 
+def within(offsets: np.ndarray, n: int, spans: pa.ListArray, length: int, shorter: int) -> np.ndarray:
+    """For each of n bytes whether all strings of `shorter` bytes in the one of `length` that starts there repeat; spans: those of each text."""
+    text, ends = np.repeat(np.arange(len(spans)), np.diff(spans.offsets.to_numpy())), spans.flatten()
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, offsets[text] + ends.field("a").to_numpy(), 1)
+    np.add.at(edge, offsets[text] + ends.field("b").to_numpy() - (shorter - 1), -1)
+    out = np.zeros(n, bool)
+    for first, count in zip(*ranges(np.cumsum(edge[:-1]) > 0)):
+        out[first : first + max(0, count - (length - shorter))] = True
+    return out
+
+
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of texts, each closed by an end mark of its own, with samples at run ends.
 
@@ -87,7 +106,8 @@ class RunLengthIndex:
     neighbour in the other run; suffix array and text are dropped after building.
     """
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], least: int = 0) -> None:
+        """least: matches that are shorter count as none."""
         sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(sizes + 1) - (sizes + 1)
         self.stops = self.starts + sizes
@@ -103,7 +123,7 @@ class RunLengthIndex:
         heads = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] == 0))))
         self.run_symbols, self.run_lengths = before[heads].astype(np.int16), np.diff(np.append(heads, n))
         up, tails = heads[1:], heads[1:] - 1
-        match = common_beginnings(text, left, order[up], order[tails])
+        match = common_beginnings(text, left, order[up], order[tails], least)
         self.head_at, self.head_match = self._by_place(order[up], match)
         self.tail_at, self.tail_match = self._by_place(order[tails], match)
 
@@ -125,43 +145,61 @@ class RunLengthIndex:
                 np.maximum(out[at[0] :], known, out=out[at[0] :])
         return out
 
-    def long_matches(self, length: int) -> list[np.ndarray]:
-        """For each text, at which of its positions a match of `length` or more starts."""
-        long = self.matching_statistics() >= length
-        return [long[a : max(a, b - length + 1)] for a, b in zip(self.starts.tolist(), self.stops.tolist())]
+    def long_matches(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first, number) of the runs of positions where a match of `length` or more starts; none goes beyond its text's end mark."""
+        first, count = ranges(self.matching_statistics() >= length)
+        owner = np.searchsorted(self.starts, first, "right") - 1
+        return owner, first - self.starts[owner], count
 
 
 def suffix_order(symbols: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order, by doubling of 7-symbol keys; end marks differ, the earlier one sorts first."""
-    n, step = len(symbols), 7
-    wide = np.concatenate((symbols, np.zeros(step, np.int64)))
-    key = np.zeros(n, np.int64)
-    for i in range(step):
-        key = (key << 9) | np.where(left >= i, wide[i : i + n], 0)
-    order = np.argsort(key, kind="stable")
+    """Suffixes in order: by keys of a few symbols, then by several ranks at a time; end marks differ, the earlier one sorts first."""
+    n = len(symbols)
+    small = (np.cumsum(np.bincount(symbols) > 0) - 1)[symbols]  # numbered without gaps, in order; 0 stays the end mark's
+    bits = max(1, int(small.max(initial=0)).bit_length())
+    step = 63 // bits
+    key = small.copy()
+    for i in range(1, step):
+        key <<= bits
+        key[: max(0, n - i)] |= np.where(left[: max(0, n - i)] >= i, small[i:], 0)
+    order = np.argsort(key)
     sorted_ = key[order]
+    # equal keys with an end mark within them: by their place
+    ended = np.flatnonzero(left[order] < step)
+    order[ended] = order[ended][np.lexsort((order[ended], sorted_[ended]))]
     new = np.concatenate(([True], (sorted_[1:] != sorted_[:-1]) | (left[order[1:]] < step)))
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    wide = max(1, n.bit_length())
+    ranks = max(2, 63 // wide)
     while step < depth and not new.all():
-        # only suffixes whose place is not settled move, within their group
+        # only suffixes whose place is not settled move, within their group; one that is open has its end mark beyond `step`, and
+        # a later rank decides only if the one before is equal, so it lies before the end mark as well
         open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
         some = order[open_]
-        pair = rank[some] << 32 | rank[np.minimum(some + step, n - 1)]
-        by = np.argsort(pair)
-        some, pair = some[by], pair[by]
+        key = rank[some]
+        for i in range(1, ranks):
+            key = key << wide | rank[np.minimum(some + i * step, n - 1)]
+        by = np.argsort(key)
+        some, key = some[by], key[by]
         order[open_] = some
-        new[open_] = np.concatenate(([True], pair[1:] != pair[:-1]))
+        new[open_] = np.concatenate(([True], key[1:] != key[:-1]))
         rank[some] = np.maximum.accumulate(np.where(new[open_], open_, 0))
-        step *= 2
+        step *= ranks
     return order
 
 
-def common_beginnings(text: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the longest common beginning of pairs of suffixes, by binary search on hashes of their slices."""
+def common_beginnings(text: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray, least: int = 0) -> np.ndarray:
+    """Length of the longest common beginning of pairs of suffixes (0 if under `least`), by binary search on hashes of their slices."""
     rolling = Rolling(13, prime=True)
     prefix = rolling.prefix(text)
     low, high = np.zeros(len(a), np.int64), np.minimum(left[a], left[b])
+    if least:
+        enough = np.flatnonzero(high >= least)
+        x, y = a[enough], b[enough]
+        enough = enough[rolling.slices(prefix, x, x + least) == rolling.slices(prefix, y, y + least)]
+        low[enough] = least
+        high = np.where(low > 0, high, 0)
     while len(open_ := np.flatnonzero(low < high)):
         middle = (low[open_] + high[open_] + 1) // 2
         x, y = a[open_], b[open_]
@@ -207,12 +245,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
 
 
-def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
+def _anchor_rows(rows: DataFrame, length: int, shorter: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, row2 = batch.column(0), batch.column(1)
-            for at, offsets, data in blocks(batch.column(2)):
-                owner, anchor, passage, first, count, shift = anchors(offsets, data, length)
+            for at, offsets, data in blocks(batch.column(2), SHARED_BYTES):
+                asked = within(offsets, len(data), batch.column(3).slice(at, len(offsets) - 1), length, shorter) if shorter else None
+                owner, anchor, passage, first, count, shift = anchors(offsets, data, length, asked)
                 mine = pa.array(owner + at)
                 yield pa.RecordBatch.from_arrays([row.take(mine), row2.take(mine), pa.array(anchor.view(np.int64)), pa.array(passage.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (first, count, shift))], names=[x.split()[0] for x in ANCHORS.split(", ")])
 
@@ -245,7 +284,7 @@ def _matched(texts: DataFrame, length: int, index_bytes: int, step: int) -> Data
     def answer(held: list[tuple]) -> pa.RecordBatch:
         row, row2, first, windows, shift, single, anchor, text = columns(held)
         # strings of a range whose core no other passage holds cannot repeat, so their bytes stay out of the index
-        of, begin, n, _, core, _ = pieces(text, windows, shift, anchor, length, step)
+        of, begin, n, _, core, _ = pieces(text, windows, shift, anchor, length, -(-step // SPLIT))
         _, at, count = np.unique(core, return_inverse=True, return_counts=True)
         open_ = np.flatnonzero(count[at] > 1)
         if not len(open_):
@@ -254,17 +293,13 @@ def _matched(texts: DataFrame, length: int, index_bytes: int, step: int) -> Data
         tail = np.append(head[1:], len(open_)) - 1
         low, high = begin[open_[tail]], begin[open_[head]] + n[open_[head]]
         low, high = np.minimum(low, begin[open_[head]]), np.maximum(high, begin[open_[tail]] + n[open_[tail]])
-        index = RunLengthIndex([text[i][a : b + length - 1] for i, a, b in zip(mine.tolist(), low.tolist(), high.tolist())])
-        out: list[list] = [[], [], []]
-        for i, a, marks in zip(mine.tolist(), low.tolist(), index.long_matches(length)):
-            if single[i]:
-                begins, sizes = ranges(marks)
-                out[0] += [i] * len(begins)
-                out[1] += (begins + (first[i] + a)).tolist()
-                out[2] += sizes.tolist()
-        who = np.array(out[0], np.int64)
+        index = RunLengthIndex([text[i][a : b + length - 1] for i, a, b in zip(mine.tolist(), low.tolist(), high.tolist())], length)
+        of, begins, sizes = index.long_matches(length)
+        asked = single[mine[of]]
+        of, begins, sizes = of[asked], begins[asked], sizes[asked]
+        who = mine[of]
         empty = [None] * len(who)
-        return batch_of([row[who], row2[who], out[1], out[2], empty, empty, empty, empty, empty])
+        return batch_of([row[who], row2[who], first[who] + low[of] + begins, sizes, empty, empty, empty, empty, empty])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -280,7 +315,7 @@ def _matched(texts: DataFrame, length: int, index_bytes: int, step: int) -> Data
                         yield cut(large)
                         large, beyond = [], 0
                     continue
-                if size >= index_bytes and anchor != here:
+                if size >= min(index_bytes, SHARED_BYTES) and anchor != here:
                     yield answer(held)
                     held, size = [], 0
                 here = anchor
@@ -317,23 +352,26 @@ def _wanted(passages: DataFrame, groups: DataFrame) -> DataFrame:
 MARKS = ["row", "row2", "first", "windows"]
 
 
-def repeated(rows: DataFrame, length: int, index_bytes: int, tables: Scratch) -> DataFrame:
+def repeated(rows: DataFrame, length: int, index_bytes: int, tables: Scratch, shorter: int | None = None) -> DataFrame:
     """Rows (row, row2, spans) from rows of _rows: for each document the runs [a, b] of its strings that repeat, in order.
 
-    tables: where those go that the result stands on; `rows` are not read after the return.
+    tables: where those go that the result stands on; `rows` are not read after the return. shorter: rows have the result for
+    strings of so many bytes as their fourth column, and only strings are searched that hold none but repeated ones of them.
     """
-    of_all = Scratch(rows.sparkSession)
-    all_anchors = of_all.store(_anchor_rows(rows, length), "all-anchors")
-    # kept as a table: a join of two plain exchanges is one whose hot anchors adaptive execution can split
-    twice = of_all.store(all_anchors.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "repeated-anchors")
-    candidates = tables.store(all_anchors.join(twice, "anchor", "left_semi").withColumn("single", F.lit(True)), "anchors")
+    candidates, of_all = _anchor_rows(rows, length, shorter), Scratch(rows.sparkSession)
+    if not shorter:  # else nearly all repeat
+        all_anchors = of_all.store(candidates, "all-anchors")
+        # kept as a table: a join of two plain exchanges is one whose hot anchors adaptive execution can split
+        twice = of_all.store(all_anchors.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), "repeated-anchors")
+        candidates = all_anchors.join(twice, "anchor", "left_semi")
+    candidates = tables.store(candidates.withColumn("single", F.lit(True)), "anchors")
     of_all.discard()
     passages, groups = _grouped(candidates, length, index_bytes, [], tables)
 
     # text of one copy of each passage that has to be compared; substring of the bytes: JVM-side, one slice for each passage
     places = _wanted(passages, groups)
     asked = places.groupBy("row", "row2").agg(F.collect_list(F.struct(*[c for c in places.columns if c not in ("row", "row2")])).alias("asked"))
-    one_each = rows.join(asked, ["row", "row2"]).dropDuplicates(["row", "row2"])
+    one_each = rows.select("row", "row2", "text").join(asked, ["row", "row2"]).dropDuplicates(["row", "row2"])
     cut_out = F.substring("bytes", F.col("first") + 1, F.col("windows") + length - 1)
     texts = one_each.select("row", "row2", F.inline("asked"), F.encode("text", "utf-8").alias("bytes")).withColumn("passage_text", cut_out)
 
@@ -384,20 +422,22 @@ def remove(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: s
 
     passage: (bytes, words) of what counts as a passage, for texts whose repeats are shorter than `length`: maximal runs of
     repeated strings of so many bytes go if they hold so many words at least. It adds n_passages, passage_bytes (how many
-    go) and kept_passages (what is left); without a length only these are given. A repeated string of `length` lies in a run
-    of shorter ones, so with both only texts with long enough runs are searched again.
+    go) and kept_passages (what is left); without a length only these are given. All shorter strings in a repeated one of `length`
+    repeat, so with both only runs of theirs that are long enough are searched again.
     """
     rows = _rows(docs, id_col, text_col)
-    found, first, last, long = None, *(Scratch(docs.sparkSession) for _ in range(3))
+    found, first, last, long, shorter = None, *(Scratch(docs.sparkSession) for _ in range(3)), None
     if passage:
         found = repeated(rows, passage[0], index_bytes, first).withColumnRenamed("spans", "passages")
         if length and passage[0] <= length:
             found = last.store(found, "passages-of-texts")
             first.discard()
+            shorter = passage[0]
             reach = F.array_max(F.transform("passages", lambda x: x["b"])) - F.element_at("passages", 1)["a"]
-            rows = long.store(rows.join(found.where(reach >= length).select("row", "row2"), ["row", "row2"], "left_semi"), "long-passages")
+            runs = found.where(reach >= length).select("row", "row2", "passages")
+            rows = long.store(rows.join(runs, ["row", "row2"]), "long-passages")
     if length:
-        spans = repeated(rows, length, index_bytes, last)
+        spans = repeated(rows, length, index_bytes, last, shorter)
         long.discard()
         found = spans if found is None else found.join(spans, ["row", "row2"], "full")
     schema = ", ".join([CUT] * bool(length) + [PASSAGE_CUT] * bool(passage))
